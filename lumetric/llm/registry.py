@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules
+from . import line_dedup, quality_rules, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
 }
 
 SQL = {

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, simhash
+from . import bpe, line_dedup, quality_rules, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
 }
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality_rules, simhash
+from . import bpe, line_dedup, quality_rules, simhash, token_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_token_store": token_store.op5_token_store,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality_rules, simhash, token_store, warc
+from . import bpe, decontamination, line_dedup, quality_rules, simhash, token_store, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_token_store": token_store.op5_token_store,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op10_warc": warc.op10_warc,
 }
 

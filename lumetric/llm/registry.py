@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, quality_rules, simhash, token_store, warc
+from . import bpe, decontamination, line_dedup, quality_rules, simhash, token_store, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_store": token_store.op5_token_store,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, quality_rules, simhash, token_store, toxicity, warc
+from . import bpe, decontamination, line_dedup, quality_model, quality_rules, simhash, token_store, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_token_store": token_store.op5_token_store,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_quality_classifier": quality_model.op7_quality_classifier,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,

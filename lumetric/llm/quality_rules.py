@@ -39,60 +39,72 @@ def without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def repeated_words(words: Column) -> Column:
-    """How many words stand in 3-word windows that occur twice or more.
+def matched(text: Column, characters: str) -> Column:
+    """How many code points are of a character class; only runs of them are visited."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{characters}+", ""))
+
+
+def window_hashes(hashes: Column) -> Column:
+    """One 64-bit hash for each 3-word window, from a column of word hashes (a
+    materialised one: the lambda reads it by place)."""
+    whole = F.slice(hashes, 1, F.greatest(F.size(hashes) - 2, F.lit(0)))
+    return F.transform(whole, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
 
-    Windows compare by a 64-bit hash of their three word hashes. Documents
-    without a repeated window, nearly all, end after one hash set.
-    """
-    n = F.size(words)
 
-    def windows(h: Column) -> Column:
-        m = F.greatest(F.size(h) - 2, F.lit(0))
-        pairs = F.zip_with(F.slice(h, 1, m), F.slice(h, 2, m), lambda a, b: F.xxhash64(a, b))
-        return F.zip_with(pairs, F.slice(h, 3, m), lambda a, b: F.xxhash64(a, b))
+def repeats(ordered: Column) -> Column:
+    """The distinct values that stand twice or more in a sorted column."""
+    m = F.greatest(F.size(ordered) - 1, F.lit(0))
+    twice = F.zip_with(F.slice(ordered, 1, m), F.slice(ordered, 2, m), lambda a, b: F.when(a == b, a))
+    return F.array_distinct(F.filter(twice, lambda x: x.isNotNull()))
 
-    return F.when(n >= 4, windows(F.transform(words, lambda w: F.xxhash64(w)))).otherwise(F.array().cast("array<bigint>"))
 
+def covered(windows: Column, twice: Column) -> Column:
+    """Words under the windows that stand twice or more, each word once.
 
-def covered(windows: Column) -> Column:
-    """Words under the windows whose hash occurs twice or more, each word once."""
+    A few repeated hashes are looked up one by one; many are found by sorting
+    (hash, place) pairs, so that the time stays n log n for any text.
+    """
+    m = F.greatest(F.size(windows) - 1, F.lit(0))
     ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    m = F.size(windows)
-    same = F.zip_with(F.slice(ordered, 1, m - 1), F.slice(ordered, 2, m - 1), lambda a, b: a["h"] == b["h"])
+    same = F.zip_with(F.slice(ordered, 1, m), F.slice(ordered, 2, m), lambda a, b: a["h"] == b["h"])
     no = F.array(F.lit(False))
-    flagged = F.zip_with(
+    by_order = F.zip_with(
         ordered, F.zip_with(F.concat(no, same), F.concat(same, no), lambda a, b: a | b),
-        lambda x, twice: F.when(twice, x["i"]),
+        lambda x, repeated: F.when(repeated, x["i"]),
+    )
+    by_lookup = F.transform(windows, lambda h, i: F.when(F.array_contains(twice, h), i))
+    places = F.when(F.size(twice) <= 32, F.filter(by_lookup, lambda i: i.isNotNull())).otherwise(F.array_sort(F.filter(by_order, lambda i: i.isNotNull())))
+    return F.aggregate(
+        places, F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).alias("last")),
+        lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
+        lambda a: a["n"],
     )
-    places = F.array_sort(F.filter(flagged, lambda i: i.isNotNull()))
-    before = F.concat(F.array(F.lit(-3)), places)
-    steps = F.zip_with(places, F.slice(before, 1, F.size(places)), lambda p, q: F.least(F.lit(3), p - q))
-    return F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, b: a + b)
 
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, text and the features that the rules read (all bigint)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    spaced = F.length(text)
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(without(x, ASCII_SPACE)) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     base = take(docs, "doc_id", "text").select(
         "doc_id", "text",
         F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words_"),
         lines.alias("lines_"),
-        F.length(without(text, ASCII_SPACE)).cast("bigint").alias("word_chars"),
-        (spaced - F.length(without(text, SYMBOLS))).cast("bigint").alias("n_symbols"),
+        matched(text, f"[{SYMBOLS}]").cast("bigint").alias("n_symbols"),
     )
     base = base.select(
         "*",
         F.size("words_").cast("bigint").alias("n_words"),
+        F.length(F.array_join("words_", "")).cast("bigint").alias("word_chars"),
         F.size("lines_").cast("bigint").alias("n_lines"),
         (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("bigint").alias("n_dup_lines"),
-        repeated_words(F.col("words_")).alias("windows_"),
-    )
+        F.transform("words_", lambda w: F.xxhash64(w)).alias("hashes_"),
+    ).drop("words_", "lines_")
+    base = base.select("*", window_hashes(F.col("hashes_")).alias("windows_")).drop("hashes_")
+    alone = F.size(F.array_distinct("windows_")) == F.size("windows_")
+    base = base.select("*", F.when(alone, F.array().cast("array<bigint>")).otherwise(repeats(F.sort_array("windows_"))).alias("twice_"))
     return base.select(
         "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-        F.when(F.size(F.array_distinct("windows_")) < F.size("windows_"), covered(F.col("windows_"))).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        F.when(F.size("twice_") == 0, F.lit(0)).otherwise(covered(F.col("windows_"), F.col("twice_"))).cast("bigint").alias("n_repeat_words"),
     )
 
 
@@ -107,7 +119,7 @@ class Rule:
 
 def default_rules() -> list[Rule]:
     text, n = F.coalesce(F.col("text"), F.lit("")), F.col("n_words")
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    letters = matched(text, r"\p{L}")
     return [
         Rule("too_few_words", n < 50, base=True),
         Rule("repeated_passages", 100 * F.col("n_repeat_words") > 50 * n, base=True),
@@ -115,7 +127,7 @@ def default_rules() -> list[Rule]:
         Rule("short_words", F.col("word_chars") < 2 * n),
         Rule("long_words", F.col("word_chars") > 14 * n),
         Rule("repeated_lines", 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
-        Rule("capitals", 100 * F.regexp_count(text, F.lit(r"\p{Lu}")) > 40 * letters),
+        Rule("capitals", 100 * matched(text, r"\p{Lu}") > 40 * letters),
         Rule("few_letters", 100 * letters < 60 * F.col("word_chars")),
     ]
 
@@ -126,9 +138,9 @@ def measured_order(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SA
     The sample only sets the order in which rules are tried, never a verdict.
     """
     few = take(docs, "doc_id", "text")
-    sample = shared_table(
-        features(few.orderBy(F.xxhash64(F.col("doc_id"), F.lit(SAMPLE_SALT))).limit(sample_rows)), "quality_rules", "sample"
-    )
+    share = min(1.0, 4 * sample_rows / max(few.count(), 1))
+    drawn = few.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SAMPLE_SALT)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(sample_rows)
+    sample = shared_table(features(drawn), "quality_rules", "sample")
     total, ranked = sample.count(), []
     if not total:
         return list(rules)

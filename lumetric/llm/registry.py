@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, quality_model, quality_rules, simhash, token_store, toxicity, warc
+from . import bpe, decontamination, html_extraction, line_dedup, quality_model, quality_rules, simhash, token_store, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_token_store": token_store.op5_token_store,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,

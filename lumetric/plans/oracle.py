@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _administrations(items: int) -> str:
-    return f"""(SELECT model_id, item_id, row_number() OVER (PARTITION BY model_id, item_id ORDER BY l_orderkey, l_linenumber) AS rep,
+    return f"""(SELECT model_id, item_id, row_number() OVER (PARTITION BY model_id, item_id ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_returnflag, l_shipdate, l_tax) AS rep,
       CAST(('0x' || substr(h, 1, 8))::BIGINT / 4294967296e0 < 1 / (1 + exp(-((0.4e0 + (item_id * 17 % {items}) / {items}e0 * 1.6e0)
         * (((model_id * 53 % 150) / 150e0 * 4 - 2) - ((item_id * 37 % {items}) / {items}e0 * 3 - 1.5e0))))) AS INT) AS correct,
       l_returnflag AS template, l_linenumber % 4 AS rotation, l_extendedprice * l_tax / 1e6 AS cost_usd, l_shipdate AS ts
@@ -111,7 +111,7 @@ def _binomial(k: str, n: str) -> str:
 VIEWS |= {
     "groups_true": "(SELECT 'planted' AS split, i AS model_id, i % 2 = 1 AS focal FROM range(150) t(i))",
     "mh_true": MH.replace("groups", "groups_true"),
-    "groups_date": "(SELECT 'after 1992-01' AS split, model_id, substr(release_date, 1, 7) > '1992-01' AS focal FROM models WHERE release_date <> '')",
+    "groups_date": "(SELECT 'after 1995-01' AS split, model_id, substr(release_date, 1, 7) > '1995-01' AS focal FROM models WHERE release_date <> '')",
     "mh_date": MH.replace("groups", "groups_date"),
     "res_b": "(SELECT benchmark, model_id, item_id, z, correct FROM res JOIN items60 USING (item_id))",
     "sizes_b": "(SELECT benchmark, count(DISTINCT item_id) AS n_items FROM res_b GROUP BY ALL)",
@@ -166,6 +166,77 @@ BODIES |= {
         JOIN (SELECT model_id, sum((x - g) ** 2) AS s FROM (SELECT model_id, template, avg(correct) AS x FROM tmpl GROUP BY ALL) JOIN (SELECT model_id, avg(correct) AS g FROM tmpl GROUP BY ALL) USING (model_id) GROUP BY ALL) t USING (model_id))""",
 }
 
+_U = "('0x' || substr(md5(concat_ws('|', {0})), 1, 8))::BIGINT / 4294967296e0"
+
+
+def _u(*parts: str) -> str:
+    return _U.format(", ".join(parts))
+
+
+_OPTIONS = "list_transform([3, 5, 7, 11], lambda k: 'option ' || (item_id * k % 23 + k))"
+VIEWS |= {
+    "pinfo": "(SELECT item_id, information, row_number() OVER w AS n, avg(information) OVER (ORDER BY information DESC, item_id ROWS UNBOUNDED PRECEDING) AS mean_information FROM (SELECT item_id, a * a * (1 - p) / p * ((p - c) / (1 - c)) ** 2 AS information FROM (SELECT *, c + (1 - c) / (1 + exp(a * b)) AS p FROM params3)) WINDOW w AS (ORDER BY information DESC, item_id))",
+    "slope": "(SELECT avg(c + (1 - c) / (1 + exp(-(a * (0.05e0 - b)))) - c - (1 - c) / (1 + exp(-(a * (-0.05e0 - b))))) / 0.1e0 AS slope FROM params3)",
+    "orders_by": "(SELECT item_id, 'informative' AS method, row_number() OVER (ORDER BY a DESC, item_id) AS place FROM params60 UNION ALL SELECT item_id, 'plain', item_id + 1 FROM params60)",
+    "score_curve": "(SELECT method, n, round(corr(score, theta), 9) AS value FROM (SELECT method, n, model_id, avg(correct) AS score FROM dense JOIN orders_by USING (item_id), (SELECT unnest([5, 10, 20, 40, 60]) AS n) WHERE place <= n GROUP BY ALL) JOIN abilities USING (model_id) GROUP BY ALL)",
+    "base_curve": "(SELECT n AS n1, lag(n) OVER (ORDER BY n) AS n0, value AS v1, lag(value) OVER (ORDER BY n) AS v0 FROM score_curve WHERE method = 'plain')",
+    "bounds": "(SELECT model_id, round(theta, 6) AS theta, round(theta - 1.959964e0 * se, 6) AS lo, round(theta + 1.959964e0 * se, 6) AS hi FROM eap)",
+    "answered": "(SELECT model_id, item_id, benchmark FROM dense JOIN items60 USING (item_id) WHERE item_id % 3 = 0)",
+    "used": "(SELECT model_id, benchmark, count(*) AS used FROM answered GROUP BY ALL)",
+    "used_all": "(SELECT model_id, count(*) AS total FROM answered GROUP BY ALL)",
+    "strata": "(SELECT benchmark, n, row_number() OVER (ORDER BY benchmark) - 1 AS place, n / sum(n) OVER () AS weight FROM (SELECT benchmark, count(*) AS n FROM items GROUP BY ALL))",
+    "strata60": "(SELECT benchmark, n / sum(n) OVER () AS weight FROM (SELECT benchmark, count(*) AS n FROM items60 GROUP BY ALL))",
+    "seats": "(SELECT benchmark, n, (base + (row_number() OVER (ORDER BY round(exact - base, 9) DESC, benchmark) <= 61 - sum(base) OVER ())::INT)::BIGINT AS seats FROM (SELECT benchmark, n, 61e0 * n / sum(n) OVER () AS exact, floor(61e0 * n / sum(n) OVER ()) AS base FROM (SELECT benchmark, count(*) AS n FROM items WHERE item_id % 7 <> 0 GROUP BY ALL)))",
+    "counts_nr": "(SELECT item_id, q, sum(post) AS n, sum(post * correct) AS r FROM dense JOIN post USING (model_id) GROUP BY ALL)",
+    "em_p": "(SELECT item_id, a, -a * b AS d, x, n, r, least(greatest(1 / (1 + exp(-(a * x - a * b))), 1e-10), 1 - 1e-10) AS p FROM counts_nr JOIN params60 USING (item_id) JOIN quad USING (q))",
+    "em_h": "(SELECT item_id, a, d, sum((r - n * p) * x) - (a - 1) AS ga, sum(r - n * p) - d / 16 AS gd, sum(n * p * (1 - p) * x * x) + 1 AS haa, sum(n * p * (1 - p) * x) AS had, sum(n * p * (1 - p)) + 1 / 16e0 AS hdd FROM em_p GROUP BY item_id, a, d)",
+    "em_s": "(SELECT *, greatest(haa * hdd - had * had, 1e-10) AS det FROM em_h)",
+    "lettered": f"(SELECT item_id, benchmark, kind, {_OPTIONS} AS options, ({_OPTIONS})[item_id % 4 + 1] AS answer FROM items)",
+    "posed": "(SELECT item_id, benchmark, item_id % 3 AS task, kind, item_id % 13 = 0 AS withheld, CASE WHEN item_id % 10 = 3 THEN options[1:1] ELSE options END AS options, CASE WHEN item_id % 17 = 0 THEN '' WHEN item_id % 19 = 0 AND kind = 'free_response' THEN 'none' WHEN item_id % 23 = 0 THEN 'elsewhere' ELSE answer END AS answer FROM lettered)",
+    "labels_of": "(SELECT benchmark, task, list_sort(list(DISTINCT answer)) AS labels FROM posed WHERE answer <> '' GROUP BY ALL)",
+    "listed_words": "(SELECT DISTINCT listed, w FROM (SELECT DISTINCT lower(p_type) AS listed, unnest(string_split_regex(lower(p_type), '[^a-z0-9.]+')) AS w FROM part) WHERE w <> '')",
+    "word_weight": "(SELECT w, 1e0 / count(*) AS weight FROM listed_words GROUP BY ALL)",
+    "wanted_words": "(SELECT DISTINCT wanted, w FROM (SELECT DISTINCT lower(p_type) AS wanted, unnest(string_split_regex(lower(p_type), '[^a-z0-9.]+')) AS w FROM part WHERE p_partkey % 50 = 0) WHERE w <> '')",
+    "squeezed": "(SELECT doc_id, source, doc_id % 2 AS answer, substr(sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') || chr(31) || lang), 1, 16) AS key FROM documents)",
+}
+Z = "1.959963984540054e0"
+_SHIFT = f"(effect / 100e0 / slope / sqrt(1 / (n * mean_information)))"
+
+
+def _upper(z: str) -> str:
+    half = f"({_tail(f'(({z}) * ({z}))')}) / 2"
+    return f"CASE WHEN {z} >= 0 THEN {half} ELSE 1 - {half} END"
+
+
+BODIES |= {
+    "wilson_interval": "SELECT model_id, k, n, round(greatest((k / n + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4e0 * n * n)) / (1 + z * z / n), 0), 6) AS lo, round(least((k / n + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4e0 * n * n)) / (1 + z * z / n), 1), 6) AS hi FROM (SELECT model_id, sum(correct)::BIGINT AS k, count(*) AS n, 1.959964e0 AS z FROM responses GROUP BY ALL)",
+    "power_prefix_information": "SELECT item_id, round(information, 6) AS information, n, round(mean_information, 6) AS mean_information FROM pinfo",
+    "power_grid": f"SELECT effect, n, round({_upper(f'({Z} - {_SHIFT})')} + {_upper(f'({Z} + {_SHIFT})')}, 4) AS power FROM pinfo, slope, range(1, 6) e(effect)",
+    "equivalent_budget": "SELECT n, round(min_by(CASE WHEN n0 IS NULL OR v0 >= value THEN n1 ELSE n0 + (value - v0) / (v1 - v0) * (n1 - n0) END, n1) FILTER (v1 >= value), 3) AS equivalent FROM (SELECT n, value FROM score_curve WHERE method = 'informative'), base_curve GROUP BY ALL",
+    "separated_pairs": "SELECT x.model_id AS leader, count(*) AS n_below FROM bounds x JOIN bounds y ON x.lo > y.hi AND x.theta > y.theta GROUP BY ALL",
+    "power_validation": "SELECT floor(abs(x.theta - y.theta) / 0.5 + 1e-9)::BIGINT AS band, count(*) AS pairs, round(avg((sign(x.theta - y.theta) = sign(x.score - y.score))::INT), 5) AS right_order FROM truth x JOIN truth y ON x.model_id < y.model_id GROUP BY ALL HAVING count(*) >= 20",
+    "benchmark_strata": "SELECT benchmark, n, place, round(weight, 6) AS weight FROM strata",
+    "selector_step": "SELECT model_id, item_id, benchmark, round(information, 6) AS information FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY round(weight * greatest(coalesce(total, 0), 1) - coalesce(used, 0), 9) DESC, benchmark, round(information, 9) DESC, item_id) AS r FROM (SELECT abilities.model_id, items60.item_id, items60.benchmark, weight, total, used, a * a * (1 / (1 + exp(-(a * (theta - b))))) * (1 - 1 / (1 + exp(-(a * (theta - b))))) AS information FROM abilities CROSS JOIN items60 JOIN params60 USING (item_id) JOIN strata60 USING (benchmark) LEFT JOIN used USING (model_id, benchmark) LEFT JOIN used_all USING (model_id) ANTI JOIN answered ON answered.model_id = abilities.model_id AND answered.item_id = items60.item_id)) WHERE r = 1",
+    "random_subset": f"SELECT model_id, item_id FROM responses QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY {_u(chr(39) + 'random' + chr(39), 'model_id', 'item_id')}, item_id) <= 10",
+    "sample_per_benchmark": f"SELECT benchmark, item_id FROM items QUALIFY row_number() OVER (PARTITION BY benchmark ORDER BY {_u(chr(39) + 'sample' + chr(39), 'item_id')}, item_id) <= 12",
+    "stratified_subset": f"SELECT benchmark, run::INT AS run, item_id FROM (SELECT *, row_number() OVER (PARTITION BY benchmark, run ORDER BY {_u(chr(39) + 'strata' + chr(39), 'item_id')}, item_id) AS r FROM (SELECT *, CASE WHEN m <= want THEN 0 WHEN pos < m % 4 * (m // 4 + 1) THEN pos // (m // 4 + 1) ELSE m % 4 + (pos - m % 4 * (m // 4 + 1)) // greatest(m // 4, 1) END AS run FROM (SELECT item_id, benchmark, count(*) OVER (PARTITION BY benchmark) AS m, round_even(50e0 * count(*) OVER (PARTITION BY benchmark) / count(*) OVER (), 0)::INT AS want, row_number() OVER (PARTITION BY benchmark ORDER BY b, item_id) - 1 AS pos FROM items JOIN params USING (item_id)))) WHERE want > 0 AND r <= CASE WHEN m <= want THEN m ELSE greatest(want // 4, 1) END",
+    "suite_apportion": "SELECT * FROM seats",
+    "suite_choose": f"SELECT benchmark, item_id FROM items JOIN seats USING (benchmark) WHERE item_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY benchmark ORDER BY {_u(chr(39) + 'suite' + chr(39), 'item_id')}, item_id) <= seats",
+    "cost_by_checkpoint": f"SELECT model_id, n, round(spend, 5) AS spend FROM (SELECT model_id, count(*) OVER w AS n, sum(cost_usd) OVER w AS spend FROM adm WHERE rep = 1 WINDOW w AS (PARTITION BY model_id ORDER BY {_u(chr(39) + 'cost' + chr(39), 'model_id', 'item_id')}, item_id ROWS UNBOUNDED PRECEDING)) WHERE n IN (10, 20, 50)",
+    "run_estimate": "SELECT alias, calls, input_tokens, round(cost, 6) AS cost_usd, round(cost * 1.25, 6) AS with_margin FROM (SELECT *, CASE WHEN alias <> 'src3' THEN (input_tokens * (length(alias) * 0.1e0) + calls * 200 * (length(alias) * 0.5e0)) / 1e6 * CASE WHEN alias = 'src1' THEN 0.5e0 ELSE 1e0 END END AS cost FROM (SELECT source AS alias, count(*) AS calls, sum(floor(length(text) / 4 + 0.5))::BIGINT AS input_tokens FROM documents GROUP BY ALL))",
+    "em_one_step": "SELECT item_id, round(least(greatest(a + least(greatest((hdd * ga - had * gd) / det, -2), 2), -6), 6), 4) + 0 AS a, round(least(greatest(d + least(greatest((haa * gd - had * ga) / det, -4), 4), -30), 30), 4) + 0 AS d FROM em_s",
+    "item_se": "SELECT item_id, round(sqrt(hdd / det), 4) AS se_a, round(sqrt(greatest((d / (a * a)) ** 2 * hdd / det + (1 / a) ** 2 * haa / det + 2 * (d / (a * a)) * (1 / a) * had / det, 0)), 4) AS se_b FROM em_s",
+    "rotate_options": "SELECT item_id, k::INT AS k, array_to_string(list_transform(range(4), lambda i: options[(i - k + 4) % 4 + 1]), '|') AS rotated FROM lettered, range(4) r(k)",
+    "answer_letter": "SELECT item_id, substr('ABCDEFGHIJ', list_position(options, answer)::INT, 1) AS letter, array_to_string(list_transform(range(4), lambda i: substr('ABCDEFGHIJ', (i + 1)::INT, 1) || '. ' || options[i + 1]), chr(10)) AS shown FROM lettered",
+    "item_hash": "SELECT item_id, substr(sha256('bench' || chr(0) || t || array_to_string(list_transform(w[1:3], lambda o: chr(1) || trim(regexp_replace(o, '\\s+', ' ', 'g'), ' ')), '') || chr(2) || trim(regexp_replace(w[1], '\\s+', ' ', 'g'), ' ')), 1, 16) AS hash FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t, string_split(text, ' ') AS w FROM benchmark)",
+    "question_key_duplicates": "SELECT key, count(*) AS size, min(doc_id) AS first_item, count(DISTINCT source) > 1 AS cross_benchmark, count(DISTINCT answer) > 1 AS keys_disagree FROM squeezed GROUP BY ALL HAVING count(*) > 1",
+    "decision_choice": "SELECT item_id, CASE WHEN item_id % 11 = 0 THEN NULL WHEN item_id % 11 = 1 THEN 'B' WHEN a > b AND a > c THEN 'A' WHEN b > a AND b > c THEN 'B' WHEN c > a AND c > b THEN 'C' END AS choice FROM (SELECT item_id, item_id * 2 % 7 AS a, item_id * 3 % 7 AS b, item_id * 5 % 7 AS c FROM items)",
+    "family_classify": "SELECT i AS model_id, ['merge', 'tuned', 'base', 'tuned', 'tuned', 'other', 'base', 'tuned'][i * 5 % 8 + 1] AS family FROM range(150) t(i)",
+    "administrable_reasons": "SELECT item_id, benchmark, CASE WHEN withheld THEN 'question withheld' WHEN answer = '' THEN 'no answer key' WHEN kind <> 'multiple_choice' AND NOT regexp_matches(answer, '[0-9]') THEN 'no final answer' WHEN kind <> 'multiple_choice' THEN NULL WHEN len(offered) < 2 THEN 'fewer than two labels' WHEN NOT list_contains(offered, answer) THEN 'key is not an option' END AS reason FROM (SELECT *, CASE WHEN len(options) >= 2 THEN options ELSE coalesce(labels, []) END AS offered FROM posed LEFT JOIN labels_of USING (benchmark, task))",
+    "route_nearest": "SELECT wanted, listed, round(score, 6) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY round(score, 9) DESC, listed) AS place FROM (SELECT wanted, listed, sum(weight) AS score FROM wanted_words JOIN listed_words USING (w) JOIN word_weight USING (w) GROUP BY ALL)) WHERE place <= 4",
+    "incomplete_items": "SELECT item_id FROM items WHERE item_id % 4 IN (0, 1) AND item_id % 6 <> 0",
+}
+
 
 def _needed(body: str) -> list[str]:
     """The views a text uses, those they use first."""
@@ -175,7 +246,7 @@ def _needed(body: str) -> list[str]:
 
     def add(text: str) -> None:
         for name in VIEWS:
-            if name not in out and re.search(rf"\b(FROM|JOIN|,)\s*\(?\s*{name}\b", text):
+            if name not in out and re.search(rf"(?:\bFROM|\bJOIN|,)\s*\(?\s*{name}\b", text):
                 add(VIEWS[name])
                 if name not in out:
                     out.append(name)

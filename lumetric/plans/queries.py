@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import irt
-from ..operators import agreement, bank, dependence, dif, experiments, itemfit, scoring
+from ..operators import agreement, bank, dependence, dif, emstep, experiments, itemfit, power, scoring, selection, text
 from ..sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,7 +206,7 @@ def dif_summary(spark, sf):
 
 @query
 def contamination_dif(spark, sf):
-    groups = dif.by_date(fx.models(spark, sf), "1992-01", "after 1992-01")
+    groups = dif.by_date(fx.models(spark, sf), "1995-01", "after 1995-01")
     return rounded(dif.mantel_haenszel(fx.responses_dense(spark, sf), binned(spark), groups), 4, "delta", "p").drop("chi2")
 
 
@@ -330,3 +330,201 @@ def position_bias(spark, sf):
 @query
 def framing(spark, sf):
     return rounded(experiments.framing(first_of(spark, sf, "template"), 0.1), 5, "item_share", "template_share", "interaction_share", "noise_share")
+
+
+# ---- power and selection -----------------------------------------------------
+
+
+@query
+def wilson_interval(spark, sf):
+    n = responses(spark, sf).groupBy("model_id").agg(F.sum("correct").alias("k"), F.count(F.lit(1)).alias("n"))
+    lo, hi = irt.wilson(F.col("k"), F.col("n"))
+    return n.select("model_id", "k", "n", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+
+
+@query
+def power_prefix_information(spark, sf):
+    return rounded(power.prefix_information(fx.params(spark, guessing=True)), 6, "information", "mean_information")
+
+
+@query
+def power_grid(spark, sf):
+    effects = spark.range(1, 6).select(F.col("id").alias("effect"))
+    return rounded(power.power_grid(fx.params(spark, guessing=True), effects), 4, "power")
+
+
+def score_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the score over the first n items follows ability: items by
+    discrimination against items by number."""
+    placed = fx.params(spark, fx.DENSE_ITEMS)
+    by_a = agreement.ranked(placed.withColumn("minus_a", -F.col("a")), "item_id", "minus_a").select("item_id", F.lit("informative").alias("method"), F.col("rank_minus_a").alias("place"))
+    orders = by_a.unionByName(placed.select("item_id", F.lit("plain").alias("method"), (F.col("item_id") + 1).alias("place")))
+    steps = spark.createDataFrame([(n,) for n in (5, 10, 20, 40, 60)], "n int")
+    cells = fx.responses_dense(spark, sf).join(F.broadcast(orders), "item_id").join(F.broadcast(steps), F.col("place") <= F.col("n"))
+    scored = cells.groupBy("method", "n", "model_id").agg(F.avg("correct").alias("score")).join(F.broadcast(fx.abilities(spark)), "model_id")
+    return scored.groupBy("method", "n").agg(F.round(F.corr("score", "theta"), 9).alias("value"))
+
+
+@query
+def equivalent_budget(spark, sf):
+    return rounded(power.equivalent_budget(score_curve(spark, sf), "informative", "plain"), 3, "equivalent")
+
+
+def dense_eap(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.eap(fx.responses_dense(spark, sf), fx.params(spark, fx.DENSE_ITEMS), fx.quadrature(spark))
+
+
+@query
+def separated_pairs(spark, sf):
+    able = dense_eap(spark, sf).select("model_id", F.round("theta", 6).alias("theta"), F.round(F.col("theta") - irt.Z95 * F.col("se"), 6).alias("lo"), F.round(F.col("theta") + irt.Z95 * F.col("se"), 6).alias("hi"))
+    return power.separated_pairs(able).groupBy("leader").agg(F.count(F.lit(1)).alias("n_below"))
+
+
+@query
+def power_validation(spark, sf):
+    return rounded(power.power_validation(truth(spark, sf)), 5, "right_order")
+
+
+@query
+def benchmark_strata(spark, sf):
+    return rounded(selection.strata(fx.items(spark)), 6, "weight")
+
+
+@query
+def selector_step(spark, sf):
+    dense = fx.responses_dense(spark, sf).where("item_id % 3 = 0")
+    items = fx.items(spark, fx.DENSE_ITEMS)
+    out = selection.selector_step(fx.abilities(spark), dense, items.join(fx.params(spark, fx.DENSE_ITEMS), "item_id"), selection.strata(items))
+    return rounded(out, 6, "information")
+
+
+@query
+def random_subset(spark, sf):
+    return selection.random_subset(responses(spark, sf).select("model_id", "item_id"), 10, "random")
+
+
+@query
+def sample_per_benchmark(spark, sf):
+    return selection.per_benchmark(fx.items(spark), 12, "sample").select("benchmark", "item_id")
+
+
+@query
+def stratified_subset(spark, sf):
+    return selection.stratified_subset(fx.items(spark).join(fx.params(spark), "item_id"), 50, "strata")
+
+
+@query
+def suite_apportion(spark, sf):
+    return selection.apportion(fx.items(spark).where("item_id % 7 <> 0"), 61)
+
+
+@query
+def suite_choose(spark, sf):
+    return selection.suite(fx.items(spark).where("item_id % 7 <> 0"), 61, "suite")
+
+
+@query
+def cost_by_checkpoint(spark, sf):
+    cells = fx.administrations(spark, sf).where("rep = 1")
+    return rounded(selection.cost_by_checkpoint(cells, [10, 20, 50], "cost"), 5, "spend")
+
+
+@query
+def run_estimate(spark, sf):
+    prompts = fx.table(spark, sf, "documents").select(F.col("source").alias("alias"), F.length("text").alias("chars"))
+    prices = prompts.select("alias").distinct().where("alias <> 'src3'").select("alias", (F.length("alias") * 0.1).alias("input"), (F.length("alias") * 0.5).alias("output"), F.when(F.col("alias") == "src1", F.lit(0.5)).alias("batch"))
+    return rounded(selection.run_estimate(prompts, prices, 200), 6, "cost_usd", "with_margin")
+
+
+# ---- one EM step -------------------------------------------------------------
+
+
+def dense_sums(spark: SparkSession, sf: str) -> DataFrame:
+    counts = emstep.expected_counts(fx.responses_dense(spark, sf), dense_post(spark, sf))
+    return emstep.sums(counts, fx.params(spark, fx.DENSE_ITEMS), fx.quadrature(spark))
+
+
+@query
+def em_one_step(spark, sf):
+    return rounded(emstep.step(dense_sums(spark, sf)), 4, "a", "d")
+
+
+@query
+def item_se(spark, sf):
+    return rounded(emstep.standard_errors(dense_sums(spark, sf)), 4, "se_a", "se_b")
+
+
+# ---- text --------------------------------------------------------------------
+
+
+def lettered(spark: SparkSession) -> DataFrame:
+    """Items with four options, generated from their numbers."""
+    i = F.col("item_id")
+    option = [F.concat(F.lit("option "), (i * k % 23 + k).cast("string")) for k in (3, 5, 7, 11)]
+    return fx.items(spark).select("item_id", "benchmark", F.array(*option).alias("options"), F.element_at(F.array(*option), (i % 4 + 1).cast("int")).alias("answer"))
+
+
+@query
+def rotate_options(spark, sf):
+    out = lettered(spark).select("item_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "options")
+    return out.select("item_id", "k", F.array_join(text.rotate(F.col("options"), F.col("k")), "|").alias("rotated"))
+
+
+@query
+def answer_letter(spark, sf):
+    return lettered(spark).select("item_id", text.answer_letter(F.col("options"), F.col("answer")).alias("letter"), text.format_options(F.col("options")).alias("shown"))
+
+
+@query
+def item_hash(spark, sf):
+    docs = fx.table(spark, sf, "benchmark")
+    words = F.split("text", " ")
+    return docs.select("item_id", text.item_hash(F.lit("bench"), F.col("text"), F.slice(words, 1, 3), F.element_at(words, 1)).alias("hash"))
+
+
+@query
+def question_key_duplicates(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    keyed = docs.select(F.col("doc_id").alias("item_id"), F.col("source").alias("benchmark"), text.question_key(F.col("text"), F.array(F.col("lang"))).alias("key"), (F.col("doc_id") % 2).alias("answer"))
+    return text.duplicates(keyed)
+
+
+@query
+def decision_choice(spark, sf):
+    i = F.col("item_id")
+    p = [(i * k % 7).cast("string") for k in (2, 3, 5)]
+    body = F.concat(F.lit('{"answer": {"probabilities": {"A": 0.'), p[0], F.lit(', "B": 0.'), p[1], F.lit(', "C": 0.'), p[2], F.lit(', "Z": 0.99}}}'))
+    reply = F.when(i % 11 == 0, F.lit("not json")).when(i % 11 == 1, F.lit('{"answer": {"choice": "B"}}')).otherwise(body)
+    return fx.items(spark).select("item_id", text.decision_choice(reply, 3).alias("choice"))
+
+
+@query
+def family_classify(spark, sf):
+    kinds = F.array(*map(F.lit, ("Base merges and moerges", "continuously pretrained", "pretrained", "fine-tuned on domain data", "chat models", "unknown", "Pretrained base", "instruction")))
+    return spark.range(fx.MODELS).select(F.col("id").alias("model_id"), text.family(F.element_at(kinds, (F.col("id") * 5 % 8 + 1).cast("int"))).alias("family"))
+
+
+@query
+def administrable_reasons(spark, sf):
+    i, base = F.col("item_id"), lettered(spark)
+    rows = base.join(fx.items(spark).select("item_id", "kind"), "item_id").select(
+        "item_id", "benchmark", (i % 3).alias("task"), "kind", F.when(i % 13 == 0, "[encrypted_text]").otherwise("What?").alias("question"),
+        F.when(i % 10 == 3, F.slice("options", 1, 1)).otherwise(F.col("options")).alias("options"),
+        F.when(i % 17 == 0, F.lit("")).when((i % 19 == 0) & (F.col("kind") == "free_response"), "none").when(i % 23 == 0, "elsewhere").otherwise(F.col("answer")).alias("answer"),
+    )
+    return text.administrable(rows)
+
+
+@query
+def route_nearest(spark, sf):
+    names = fx.table(spark, sf, "part").select(F.lower("p_type").alias("listed")).distinct()
+    wanted = fx.table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.lower("p_type").alias("wanted")).distinct()
+    return rounded(text.nearest_routes(wanted, names), 6, "score")
+
+
+@query
+def incomplete_items(spark, sf):
+    i = F.col("item_id")
+    options = F.when(i % 4 == 0, F.array(*map(F.lit, ("I only", "II only", "I and II", "I, II and III")))).when(i % 4 == 1, F.array(*map(F.lit, ("1 only", "2 only", "1,2", "3")))).when(i % 4 == 2, F.array(*map(F.lit, ("4, 7", "5, 5", "3, 9", "9, 8")))).otherwise(F.array(*map(F.lit, ("$1,000", "1,824", "4", "5"))))
+    question = F.when(i % 6 == 0, "Which holds? I. It rains. II. It snows.").otherwise("Which of the statements holds?")
+    return text.incomplete(fx.items(spark).select("item_id", question.alias("question"), options.alias("options")))

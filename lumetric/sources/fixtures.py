@@ -45,7 +45,7 @@ def administrations(spark: SparkSession, sf_dir: str, items: int = ITEMS) -> Dat
         "*", (F.col("o_custkey") % MODELS).alias("model_id"), (F.col("l_partkey") % items).alias("item_id")
     )
     p = 1 / (1 + F.exp(-(a_true(F.col("item_id"), items) * (theta_true(F.col("model_id")) - b_true(F.col("item_id"), items)))))
-    order = W.partitionBy("model_id", "item_id").orderBy("l_orderkey", "l_linenumber")
+    order = W.partitionBy("model_id", "item_id").orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate", "l_tax")
     return cells.select(
         "model_id", "item_id",
         F.row_number().over(order).alias("rep"),

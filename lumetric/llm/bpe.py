@@ -40,6 +40,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -256,18 +257,24 @@ def distinct_pieces(column: pa.ListArray) -> tuple[list[str], np.ndarray, np.nda
     return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), offsets
 
 
-def gather(lists: list[list[int]], numbers: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of lists[numbers[0]], lists[numbers[1]], ... and the rows' offsets among them."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
+def gather(packed: list[bytes], numbers: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of packed[numbers[0]], packed[numbers[1]], ... (4 bytes each) and the
+    rows' offsets among them."""
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    flat = np.frombuffer(b"".join(packed), "<u4")
     begin = np.r_[0, np.cumsum(sizes)]
     each = sizes[numbers]
     ends = np.cumsum(each)
-    at = np.repeat(begin[numbers] - (ends - each), each) + np.arange(int(each.sum()))
+    at = np.repeat(begin[numbers] - (ends - each), each)
+    at += np.arange(len(at))
     return flat[at], np.r_[0, ends][offsets]
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def pack(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -282,7 +289,7 @@ class Codec:
         gc.disable()  # the tables have no cycles, and walking through them takes as long as filling them
         self.machine = Transducer(ranks)
         self.decoder = StreamDecoder(self.machine.spelled)
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> Codec:
@@ -290,7 +297,7 @@ class Codec:
             cls._held = {id(ranks): cls(ranks)}
         return cls._held[id(ranks)]
 
-    def encode(self, distinct: list[str]) -> list[list[int]]:
+    def encode(self, distinct: list[str]) -> list[bytes]:
         if len(self.memo) > MOST_PIECES:
             self.memo = {}
         memo, machine = self.memo, self.machine
@@ -298,7 +305,7 @@ class Codec:
         for piece in distinct:
             ids = memo.get(piece)
             if ids is None:
-                ids = memo[piece] = machine.encode(piece.encode("utf-8"))
+                ids = memo[piece] = pack(machine.encode(piece.encode("utf-8")))
             out.append(ids)
         return out
 

@@ -33,6 +33,8 @@ Defined results
 
 from __future__ import annotations
 
+import contextlib
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,12 +47,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import distinct_pieces, gather, pieces
+from .bpe import distinct_pieces, gather, pack, pieces
 from .common import read, shared_table, take
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 SEGMENT_IDS = 1_000_000
-MOST_PIECES = 400_000
+MOST_PIECES = 300_000
 MAGIC, BLOCK = b"DAC1", 512
 #: Bits of the levels; the last level takes what is left.
 WIDTHS = (8, 8, 16)
@@ -155,9 +157,10 @@ class Library:
     _held: dict[int, Library] = {}
 
     def __init__(self, vocabulary: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, vocabulary: str) -> Library:
@@ -165,13 +168,29 @@ class Library:
             cls._held = {id(vocabulary): cls(vocabulary)}
         return cls._held[id(vocabulary)]
 
-    def encode(self, distinct: list[str]) -> list[list[int]]:
+    def encode(self, distinct: list[str]) -> list[bytes]:
         if len(self.memo) > MOST_PIECES:
             self.memo = {}
-        new = [p for p in distinct if p not in self.memo]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.memo[p] = e.ids
-        return [self.memo[p] for p in distinct]
+        memo = self.memo
+        new = [p for p in distinct if p not in memo]
+        for at in range(0, len(new), 2048):
+            some = new[at : at + 2048]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                memo[p] = pack(e.ids)
+        return [memo[p] for p in distinct]
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows, for a job that runs inside; whole
+    texts as lists of pieces are large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def write_segments(docs: DataFrame, owner: str = OWNER, path: str | None = None, segment_ids: int = SEGMENT_IDS, end_id: int = END_ID, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
@@ -211,10 +230,11 @@ def write_segments(docs: DataFrame, owner: str = OWNER, path: str | None = None,
             yield segment()
 
     rows = take(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     split = ordered.select("doc_id", pieces(F.col("text")).alias("pieces"), F.spark_partition_id().alias("part"))
     table = split.mapInArrow(run, "part int, number bigint, inside bigint, doc_ids array<bigint>, n_ids bigint, data binary")
-    return shared_table(table, owner, "segments")
+    with arrow_rows(docs.sparkSession, 1000):
+        return shared_table(table, owner, "segments")
 
 
 def with_starts(segments: DataFrame) -> DataFrame:

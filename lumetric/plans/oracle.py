@@ -234,6 +234,7 @@ BODIES |= {
     "family_classify": "SELECT i AS model_id, ['merge', 'tuned', 'base', 'tuned', 'tuned', 'other', 'base', 'tuned'][i * 5 % 8 + 1] AS family FROM range(150) t(i)",
     "administrable_reasons": "SELECT item_id, benchmark, CASE WHEN withheld THEN 'question withheld' WHEN answer = '' THEN 'no answer key' WHEN kind <> 'multiple_choice' AND NOT regexp_matches(answer, '[0-9]') THEN 'no final answer' WHEN kind <> 'multiple_choice' THEN NULL WHEN len(offered) < 2 THEN 'fewer than two labels' WHEN NOT list_contains(offered, answer) THEN 'key is not an option' END AS reason FROM (SELECT *, CASE WHEN len(options) >= 2 THEN options ELSE coalesce(labels, []) END AS offered FROM posed LEFT JOIN labels_of USING (benchmark, task))",
     "route_nearest": "SELECT wanted, listed, round(score, 6) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY round(score, 9) DESC, listed) AS place FROM (SELECT wanted, listed, sum(weight) AS score FROM wanted_words JOIN listed_words USING (w) JOIN word_weight USING (w) GROUP BY ALL)) WHERE place <= 4",
+    "bank_build": "SELECT count(*) AS cells, count(DISTINCT item_id) AS items, count(DISTINCT model_id) AS models, round(count(*) / (count(DISTINCT item_id) * count(DISTINCT model_id)), 6) AS density FROM responses WHERE item_id IN (SELECT item_id FROM responses GROUP BY item_id HAVING count(*) >= 40)",
     "incomplete_items": "SELECT item_id FROM items WHERE item_id % 4 IN (0, 1) AND item_id % 6 <> 0",
 }
 

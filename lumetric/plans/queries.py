@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import irt
 from ..operators import agreement, bank, dependence, dif, emstep, experiments, itemfit, power, scoring, selection, text
 from ..sources import fixtures as fx
+from ..sources import records, scratch
+from ..streaming import ability_stream as streaming
+from . import fitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -528,3 +531,117 @@ def incomplete_items(spark, sf):
     options = F.when(i % 4 == 0, F.array(*map(F.lit, ("I only", "II only", "I and II", "I, II and III")))).when(i % 4 == 1, F.array(*map(F.lit, ("1 only", "2 only", "1,2", "3")))).when(i % 4 == 2, F.array(*map(F.lit, ("4, 7", "5, 5", "3, 9", "9, 8")))).otherwise(F.array(*map(F.lit, ("$1,000", "1,824", "4", "5"))))
     question = F.when(i % 6 == 0, "Which holds? I. It rains. II. It snows.").otherwise("Which of the statements holds?")
     return text.incomplete(fx.items(spark).select("item_id", question.alias("question"), options.alias("options")))
+
+
+# ---- iterative, random and per-model operators (rows only) --------------------
+
+
+def dense_bank(spark: SparkSession) -> DataFrame:
+    return fx.items(spark, fx.DENSE_ITEMS).join(fx.params(spark, fx.DENSE_ITEMS), "item_id")
+
+
+@query
+def fit_2pl(spark, sf):
+    return fitting.fit(fx.responses_dense(spark, sf), most=40).params
+
+
+@query
+def fit_3pl(spark, sf):
+    choice = fx.items(spark, fx.DENSE_ITEMS).where("kind = 'multiple_choice'").select("item_id")
+    return fitting.fit(fx.responses_dense(spark, sf), choice, most=15).params
+
+
+@query
+def adaptive_path(spark, sf):
+    return fitting.adaptive_paths(fx.responses_dense(spark, sf), dense_bank(spark))
+
+
+@query
+def loo_curve(spark, sf):
+    kinds = {i: f"b{i % 5}" for i in range(fx.DENSE_ITEMS)}
+    out = fitting.leave_one_out(fx.responses_dense(spark, sf), kinds, list(range(0, fx.MODELS, 10)))
+    both = out.join(F.broadcast(fx.abilities(spark).withColumnRenamed("theta", "true_theta")), "model_id")
+    return both.groupBy("method", "n").agg(F.count(F.lit(1)).alias("models"), F.corr("theta", "true_theta").alias("r"))
+
+
+@query
+def kendall_bootstrap(spark, sf):
+    return fitting.kendall_bootstrap(truth(spark, sf), "score", "theta", draws=400)
+
+
+@query
+def bootstrap_items(spark, sf):
+    return fitting.bootstrap_items(fx.responses_dense(spark, sf))
+
+
+@query
+def logistic_dif(spark, sf):
+    return fitting.logistic_dif(fx.responses_dense(spark, sf), fx.abilities(spark), planted_groups(spark))
+
+
+@query
+def parallel_analysis(spark, sf):
+    rows = fx.responses_dense(spark, sf).join(F.broadcast(fx.items(spark, fx.DENSE_ITEMS)), "item_id")
+    return fitting.parallel_analysis(dependence.complete_cases(rows))
+
+
+@query
+def tetrachoric_exact(spark, sf):
+    pairs = dependence.item_pairs(dependence.complete_cases(benchmark_residuals(spark, sf).where("item_id < 30")), "correct")
+    n = {x + y: F.count_if((F.col("correct1") == int(x)) & (F.col("correct2") == int(y))).cast("double").alias(f"n{x}{y}") for x in "10" for y in "10"}
+    t = pairs.groupBy("benchmark", "i", "j").agg(*n.values())
+    return t.select("benchmark", "i", "j", fitting.tetrachoric_exact("n11", "n10", "n01", "n00").alias("rho"))
+
+
+@query
+def ability_mle(spark, sf):
+    return fitting.ability_mle(fx.responses_dense(spark, sf), fx.params(spark, fx.DENSE_ITEMS))
+
+
+@query
+def dense_block(spark, sf):
+    return fitting.dense_block(responses(spark, sf)).groupBy("model_id").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+@query
+def stratified_panel(spark, sf):
+    owner = (F.col("model_id") % 20).cast("string")
+    return fitting.stratified_panel(bank.scores(responses(spark, sf)).select("model_id", owner.alias("owner"), F.round("score", 6).alias("average")), 30)
+
+
+REPLIES = ["Answer: B", "The final answer is (C).", "d", "I think a cat", "**A**", "Answer: E", "B and C both", "It is $\\boxed{\\frac{1}{2}}$", "so 1,234 apples", "Answer: 3/4", "", "no idea"]
+
+
+def reply_rows(spark: SparkSession) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, REPLIES)), (F.col("item_id") % len(REPLIES) + 1).cast("int"))
+    return lettered(spark).select("item_id", "options", said.alias("reply"))
+
+
+@query
+def parse_choice(spark, sf):
+    return reply_rows(spark).select("item_id", fitting.parse_choice(F.col("reply"), F.lit(4), F.col("options")).alias("choice"))
+
+
+@query
+def parse_math(spark, sf):
+    return reply_rows(spark).select("item_id", fitting.parse_math(F.col("reply")).alias("value"))
+
+
+@query
+def bank_build(spark, sf):
+    """Collapse, floor, restrict, save, load and verify: the bank's own summary."""
+    rows = bank.collapse_repeats(fx.administrations(spark, sf)).drop("n")
+    kept = bank.restrict(rows, bank.item_floor(rows))
+    path = scratch.shared_path(spark, "bank")
+    records.save_bank(spark, path, "v1", kept, fx.items(spark), fx.models(spark, sf))
+    loaded = records.load_bank(spark, path, "v1")
+    n = loaded["responses"].agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("item_id").alias("items"), F.count_distinct("model_id").alias("models"))
+    return n.withColumn("density", F.round(F.col("cells") / (F.col("items") * F.col("models")), 6))
+
+
+@query
+def ability_stream(spark, sf):
+    path = scratch.shared_path(spark, "stream")
+    rows = fx.responses_dense(spark, sf).select("model_id", "item_id", "correct", bank.request_hash(F.col("model_id"), F.col("item_id")).alias("request_sha256"))
+    rows.repartition(4, "item_id").write.json(f"{path}/in")
+    return streaming.final_abilities(spark, f"{path}/in", fx.params(spark, fx.DENSE_ITEMS), f"{path}/out", f"{path}/checkpoint")

@@ -234,6 +234,19 @@ BODIES |= {
     "family_classify": "SELECT i AS model_id, ['merge', 'tuned', 'base', 'tuned', 'tuned', 'other', 'base', 'tuned'][i * 5 % 8 + 1] AS family FROM range(150) t(i)",
     "administrable_reasons": "SELECT item_id, benchmark, CASE WHEN withheld THEN 'question withheld' WHEN answer = '' THEN 'no answer key' WHEN kind <> 'multiple_choice' AND NOT regexp_matches(answer, '[0-9]') THEN 'no final answer' WHEN kind <> 'multiple_choice' THEN NULL WHEN len(offered) < 2 THEN 'fewer than two labels' WHEN NOT list_contains(offered, answer) THEN 'key is not an option' END AS reason FROM (SELECT *, CASE WHEN len(options) >= 2 THEN options ELSE coalesce(labels, []) END AS offered FROM posed LEFT JOIN labels_of USING (benchmark, task))",
     "route_nearest": "SELECT wanted, listed, round(score, 6) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY round(score, 9) DESC, listed) AS place FROM (SELECT wanted, listed, sum(weight) AS score FROM wanted_words JOIN listed_words USING (w) JOIN word_weight USING (w) GROUP BY ALL)) WHERE place <= 4",
+    "worst_items": "SELECT item_id, round(a, 6) AS a, round(b, 6) + 0 AS b, n_models FROM params JOIN (SELECT item_id, count(*) AS n_models FROM responses GROUP BY ALL HAVING count(*) >= 60) USING (item_id) ORDER BY params.a, item_id LIMIT 20",
+    "slope_histogram": "SELECT least(floor((least(greatest(a, 0.5e0), 1.9e0) - 0.5e0) / ((1.9e0 - 0.5e0) / 14) + 1e-9), 13)::BIGINT AS bin, count(*) AS n FROM params GROUP BY ALL",
+    "information_curve": "SELECT grid, round(sum(i), 4) AS whole, round(sum(i) FILTER (r <= 50), 4) AS best FROM (SELECT *, row_number() OVER (PARTITION BY grid ORDER BY i DESC) AS r FROM (SELECT t::BIGINT AS grid, a * a * (1 - p) / p * ((p - c) / (1 - c)) ** 2 AS i FROM (SELECT *, c + (1 - c) / (1 + exp(-(a * (t / 4e0 - b)))) AS p FROM params3, range(-12, 13) g(t)))) GROUP BY ALL",
+    "flagged_evidence": "SELECT flagged, k, n, round((k / n + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4e0 * n * n)) / (1 + z * z / n), 6) AS lo, round((k / n + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4e0 * n * n)) / (1 + z * z / n), 6) AS hi FROM (SELECT item_id % 9 = 0 AS flagged, sum(correct)::BIGINT AS k, count(*) AS n, 1.96e0 AS z FROM responses GROUP BY ALL)",
+    "decision_table": "SELECT model_id, k, n, round(greatest((k / n + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4e0 * n * n)) / (1 + z * z / n), 0), 6) AS lo, round(least((k / n + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4e0 * n * n)) / (1 + z * z / n), 1), 6) AS hi, round(theta, 4) + 0 AS theta, round(theta - 1.96e0 * se, 4) + 0 AS theta_lo, round(theta + 1.96e0 * se, 4) + 0 AS theta_hi FROM (SELECT model_id, sum(correct)::BIGINT AS k, count(*) AS n, 1.959964e0 AS z FROM dense GROUP BY ALL) JOIN eap USING (model_id)",
+    "panel_table": "SELECT model_id, count(*) AS usable, round(avg(correct), 6) AS accuracy, round(sum(cost_usd), 5) AS spend FROM adm WHERE rep = 1 GROUP BY ALL",
+    "observed_output": "SELECT role AS alias, round(avg(length(text)), 5) AS mean_output, count(*) AS n FROM conversations WHERE turn % 5 <> 4 AND text IS NOT NULL GROUP BY ALL",
+    "template_flip_rates": "SELECT template, round(avg(1 - agreement), 6) AS flip_rate, count(*) AS n FROM (SELECT x.template, model_id, avg((x.correct = y.correct)::INT) AS agreement FROM first_a x JOIN second_a y USING (model_id, item_id) GROUP BY ALL) GROUP BY ALL",
+    "results_table": "SELECT 'kendall_tau' AS measure, round(sum(sx * sy) / sqrt(sum(abs(sx))::DOUBLE * sum(abs(sy))), 5) AS point, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, count(*) AS n FROM (SELECT sign(x.score - y.score) AS sx, sign(x.theta - y.theta) AS sy FROM truth x JOIN truth y ON x.model_id < y.model_id) UNION ALL SELECT 'repeat_agreement', round(coalesce(count(*) FILTER (n > 1 AND (k = 0 OR k = n))::DOUBLE / nullif(count(*) FILTER (n > 1), 0), 1), 6), NULL, NULL, count(*) FILTER (n > 1) FROM cells",
+    "raw_instances": "SELECT item_id::VARCHAR AS id, least(len(string_split(text, ' ')), 3)::INT AS n_options, string_split(text, ' ')[2] AS answer FROM benchmark",
+    "run_names": "SELECT p_partkey, lower(p_brand) || ':subject=' || p_size || ',split=test' AS scenario_key, lower(replace(p_type, ' ', '_')) AS model FROM part",
+    "task_identities": "SELECT source AS task, doc_id, answer_key, substr(sha256(source || chr(0) || q || CASE WHEN same > 1 THEN chr(31) || answer_key || chr(31) || pos ELSE '' END), 1, 16) AS item_id FROM (SELECT *, count(*) OVER (PARTITION BY source, q) AS same, row_number() OVER (PARTITION BY source, q, answer_key ORDER BY doc_id) AS pos FROM (SELECT source, doc_id, (doc_id % 2)::VARCHAR AS answer_key, trim(regexp_replace(substr(text, 1, 20), '\\s+', ' ', 'g'), ' ') AS q FROM documents))",
+    "leaderboard_candidates": "SELECT 'm' || (s_suppkey % 37) AS fullname, s_name AS eval_name, s_acctbal AS average FROM supplier WHERE s_suppkey % 11 <> 0 QUALIFY row_number() OVER (PARTITION BY s_suppkey % 37 ORDER BY s_acctbal DESC, s_name) = 1",
     "bank_build": "SELECT count(*) AS cells, count(DISTINCT item_id) AS items, count(DISTINCT model_id) AS models, round(count(*) / (count(DISTINCT item_id) * count(DISTINCT model_id)), 6) AS density FROM responses WHERE item_id IN (SELECT item_id FROM responses GROUP BY item_id HAVING count(*) >= 40)",
     "incomplete_items": "SELECT item_id FROM items WHERE item_id % 4 IN (0, 1) AND item_id % 6 <> 0",
 }

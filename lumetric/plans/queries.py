@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import irt
-from ..operators import agreement, bank, dependence, dif, emstep, experiments, itemfit, power, scoring, selection, text
+from ..operators import agreement, bank, dependence, dif, emstep, experiments, itemfit, power, raw, scoring, selection, text
 from ..sources import fixtures as fx
 from ..sources import records, scratch
 from ..streaming import ability_stream as streaming
-from . import fitting
+from . import fitting, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -533,6 +533,92 @@ def incomplete_items(spark, sf):
     return text.incomplete(fx.items(spark).select("item_id", question.alias("question"), options.alias("options")))
 
 
+# ---- reports and raw records ---------------------------------------------------
+
+
+@query
+def worst_items(spark, sf):
+    counts = responses(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_models"))
+    return rounded(reports.worst_items(fx.params(spark), counts), 6, "a", "b")
+
+
+@query
+def slope_histogram(spark, sf):
+    return reports.histogram(fx.params(spark), "a", 0.5, 1.9, 14)
+
+
+@query
+def information_curve(spark, sf):
+    points = spark.range(-12, 13).select(F.col("id").alias("grid"), (F.col("id") / 4).alias("theta"))
+    return rounded(reports.information_curve(fx.params(spark, guessing=True), points, 50), 4, "whole", "best")
+
+
+@query
+def flagged_evidence(spark, sf):
+    return rounded(reports.flagged_evidence(responses(spark, sf), fx.items(spark).where("item_id % 9 = 0")), 6, "lo", "hi")
+
+
+@query
+def decision_table(spark, sf):
+    out = reports.decision_table(fx.responses_dense(spark, sf), dense_eap(spark, sf))
+    return rounded(rounded(out, 6, "lo", "hi"), 4, "theta", "theta_lo", "theta_hi")
+
+
+@query
+def panel_table(spark, sf):
+    return rounded(rounded(reports.panel_table(administration(spark, sf, 1)), 6, "accuracy"), 5, "spend")
+
+
+@query
+def observed_output(spark, sf):
+    said = fx.table(spark, sf, "conversations")
+    records = said.select(F.col("role").alias("alias"), F.when(F.col("turn") % 5 == 4, "length").otherwise("stop").alias("finish_reason"), F.length("text").cast("bigint").alias("output_tokens"))
+    return rounded(reports.observed_output(records), 5, "mean_output")
+
+
+@query
+def template_flip_rates(spark, sf):
+    two = administration(spark, sf, 1).select("model_id", "item_id", "template", F.col("correct").alias("x")).join(administration(spark, sf, 2).select("model_id", "item_id", F.col("correct").alias("y")), ["model_id", "item_id"])
+    agree = two.groupBy("template", F.col("model_id").alias("alias")).agg(F.avg((F.col("x") == F.col("y")).cast("int")).alias("agreement"))
+    return rounded(reports.flip_rates(agree), 6, "flip_rate")
+
+
+@query
+def results_table(spark, sf):
+    tau = agreement.kendall(truth(spark, sf), "score", "theta", "model_id").select(F.round("tau", 5).alias("point"), F.col("pairs").alias("n"))
+    repeat = bank.repeat_agreement(fx.administrations(spark, sf)).select(F.round("agreement", 6).alias("point"), F.col("repeated_cells").alias("n"))
+    return reports.results(kendall_tau=tau, repeat_agreement=repeat)
+
+
+@query
+def raw_instances(spark, sf):
+    """Documents as raw instances of JSON, read back by the instance scan."""
+    words = F.slice(F.split("text", " "), 1, 3)
+    one = F.transform(words, lambda w, i: F.struct(F.struct(w.alias("text")).alias("output"), F.when(i == 1, F.array(F.lit("correct"))).otherwise(F.array().cast("array<string>")).alias("tags")))
+    js = F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), F.struct(F.col("text")).alias("input"), one.alias("references")))
+    parsed = fx.table(spark, sf, "benchmark").select(F.from_json(js, raw.INSTANCE).alias("i")).select("i.*")
+    return raw.instances(parsed).select("id", F.size("options").alias("n_options"), "answer")
+
+
+@query
+def run_names(spark, sf):
+    name = F.concat(F.lower("p_brand"), F.lit(":subject="), F.col("p_size").cast("string"), F.lit(",model="), F.lower(F.regexp_replace("p_type", " ", "_")), F.lit(",split=test"))
+    key, model = raw.run_name(name)
+    return fx.table(spark, sf, "part").select("p_partkey", key.alias("scenario_key"), model.alias("model"))
+
+
+@query
+def task_identities(spark, sf):
+    docs = fx.table(spark, sf, "documents").select(F.col("source").alias("task"), "doc_id", F.substring("text", 1, 20).alias("question"), (F.col("doc_id") % 2).cast("string").alias("answer_key"))
+    return raw.identities(docs)
+
+
+@query
+def leaderboard_candidates(spark, sf):
+    rows = fx.table(spark, sf, "supplier").select(F.concat(F.lit("m"), (F.col("s_suppkey") % 37).cast("string")).alias("fullname"), "s_acctbal", F.col("s_name").alias("eval_name"), F.col("s_acctbal").alias("average"), (F.col("s_suppkey") % 11 == 0).alias("flagged"))
+    return raw.candidates(rows).select("fullname", "eval_name", "average")
+
+
 # ---- iterative, random and per-model operators (rows only) --------------------
 
 

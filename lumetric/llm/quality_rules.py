@@ -130,7 +130,8 @@ def default_rules() -> list[Rule]:
         Rule("symbols", 100 * F.col("n_symbols") > 10 * n),
         Rule("short_words", F.col("word_chars") < 2 * n),
         Rule("long_words", F.col("word_chars") > 14 * n),
-        Rule("repeated_lines", 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+        # a header that returns as a footer is no repetition: three lines are left alone
+        Rule("repeated_lines", (F.col("n_dup_lines") > 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
         Rule("capitals", 100 * matched(text, r"\p{Lu}") > 40 * letters),
         Rule("few_letters", 100 * letters < 60 * F.col("word_chars")),
     ]
@@ -213,7 +214,7 @@ f AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * n_words
-            OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 100 * n_dup_lines > 30 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR n_dup_lines > 3 AND 100 * n_dup_lines > 30 * n_lines
             OR 100 * upper_letters > 40 * letters OR 100 * letters < 60 * word_chars) AS kept
 FROM f
 """

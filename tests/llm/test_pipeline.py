@@ -20,7 +20,7 @@ def passes(text):
     letters = sum(c.isalpha() for c in text)
     upper = sum(c.isupper() for c in text)
     lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
-    return not (n < 50 or 100 * repeat > 50 * n or 100 * symbols > 10 * n or chars < 2 * n or chars > 14 * n or 100 * dup > 30 * lines or 100 * upper > 40 * letters or 100 * letters < 60 * chars)
+    return not (n < 50 or 100 * repeat > 50 * n or 100 * symbols > 10 * n or chars < 2 * n or chars > 14 * n or (dup > 3 and 100 * dup > 30 * lines) or 100 * upper > 40 * letters or 100 * letters < 60 * chars)
 
 
 def test_pipeline(spark, sf):

@@ -24,8 +24,9 @@ def append_records(rows: DataFrame, path: str) -> None:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; a line that isn't whole (a writer was stopped) is dropped."""
-    rows = spark.read.schema(RECORD + ", corrupt_ string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt_").json(path)
-    return rows.where(F.col("corrupt_").isNull()).drop("corrupt_")
+    read = F.from_json("value", RECORD + ", corrupt_ string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt_"})
+    rows = spark.read.text(path).where("trim(value) <> ''").select(read.alias("r"))
+    return rows.where(F.col("r.corrupt_").isNull()).select("r.*").drop("corrupt_")
 
 
 def panel(records: DataFrame, suite: DataFrame) -> DataFrame:

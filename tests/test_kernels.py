@@ -19,7 +19,7 @@ def planted(models=300, items=120, guess=0.0, holes=0.0, seed=1):
 
 @pytest.mark.parametrize("holes", [0.0, 0.5])
 def test_two_parameter_recovery(holes):
-    _, a, b, y = planted(holes=holes)
+    _, a, b, y = planted(models=1000, holes=holes)
     fit = em.fit_matrix(np.nan_to_num(y), ~np.isnan(y))
     assert fit.converged
     assert np.corrcoef(em.difficulty(fit.a, fit.d), b)[0, 1] > 0.95

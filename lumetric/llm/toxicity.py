@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from .common import read, take
 
 #: The bound of the labelled sample, and the folds of which one is held out.
-MOST_LABELLED, FOLDS = 12_000, 5
+MOST_LABELLED, FOLDS = 8_000, 5
 NEGATION_REACH, TARGET_REACH, THREAT_REACH = 3, 4, 5
 #: Insults: least toxic documents, least likelihood ratio of a pattern, most patterns.
 LEAST_DOCS, LEAST_RATIO, MOST_PATTERNS = 4, 12.0, 400
@@ -200,23 +200,36 @@ def patterns(texts: list[str], toxic: np.ndarray) -> list[tuple[str, float, bool
     """(word or beginning, weight, is beginning), greedily: each must tell apart
     the documents that those before it don't reach."""
     fixed = {w for words in FIXED.values() for w in words.split()}
-    docs, count = [], (Counter(), Counter())
-    for text, label in zip(texts, toxic.tolist(), strict=True):
-        words = set(re.findall(r"[^\W\d_]+", text.lower())) - fixed
-        keys = {(w, False) for w in words} | {(w[:k], True) for w in words for k in PREFIXES if len(w) > k}
-        count[label].update(keys)
-        docs.append(keys)
     pos, neg = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not pos or not neg:
         return []
-    strong = {k: ratio(a, count[0][k], pos, neg) for k, a in count[1].items() if a >= LEAST_DOCS and a * neg > 10 * pos * count[0][k]}
+    labels = toxic.tolist()
+
+    def keys(text: str) -> tuple[set[str], set[str]]:
+        words = set(re.findall(r"[^\W\d_]+", text.lower())) - fixed
+        return words, {w[:k] for w in words for k in PREFIXES if len(w) > k}
+
+    # candidates come from the toxic documents alone, which bounds what is counted
+    count: tuple[Counter, Counter] = (Counter(), Counter())
+    for text, label in zip(texts, labels, strict=True):
+        if label:
+            for is_prefix, found in enumerate(keys(text)):
+                count[1].update((k, bool(is_prefix)) for k in found)
+    count = (Counter(), Counter({k: n for k, n in count[1].items() if n >= LEAST_DOCS}))
+    known = tuple({k for k, is_prefix in count[1] if is_prefix == kind} for kind in (False, True))
+    for text, label in zip(texts, labels, strict=True):
+        if not label:
+            for is_prefix, found in enumerate(keys(text)):
+                count[0].update((k, bool(is_prefix)) for k in found & known[is_prefix])
+    strong = {k: ratio(a, count[0][k], pos, neg) for k, a in count[1].items() if a * neg > 10 * pos * count[0][k]}
     strong = {k for k, v in strong.items() if v >= LEAST_RATIO}
     holders: dict[tuple[str, bool], set[int]] = {k: set() for k in strong}
-    for i, keys in enumerate(docs):
-        for k in keys & strong:
-            holders[k].add(i)
-    chosen, open_docs = [], set(range(len(docs)))
-    labels = toxic.tolist()
+    strong_by = tuple({k for k, is_prefix in strong if is_prefix == kind} for kind in (False, True))
+    for i, text in enumerate(texts):
+        for is_prefix, found in enumerate(keys(text)):
+            for k in found & strong_by[is_prefix]:
+                holders[k, bool(is_prefix)].add(i)
+    chosen, open_docs = [], set(range(len(texts)))
     while strong and len(chosen) < MOST_PATTERNS:
         def gain(k: tuple[str, bool]) -> tuple[float, int, str]:
             left = holders[k] & open_docs

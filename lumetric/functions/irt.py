@@ -28,6 +28,12 @@ def information(theta: Column, a: Column, b: Column, c: Column | None = None) ->
     return a * a * (1 - p) / p * F.pow((p - guess) / (1 - guess), 2)
 
 
+def pearson(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation; null where a side is constant, also under ANSI arithmetic."""
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx > 1e-9) & (sy > 1e-9), F.try_divide(F.covar_pop(x, y), sx * sy))
+
+
 def wilson(k: Column, n: Column, z: float = Z95, clamp: bool = True) -> tuple[Column, Column]:
     """Wilson score interval of k of n; null where n is 0."""
     p, zz = F.try_divide(k, n), z * z

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.irt import pearson
+
 
 def kendall(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
     """Tau-b over every two rows. The rows are models, hundreds at most."""
@@ -24,7 +26,7 @@ def ranked(rows: DataFrame, key: str, *names: str, by: str | None = None) -> Dat
 
 def spearman(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
     r = ranked(rows, key, x, y)
-    return r.agg(F.count(F.lit(1)).alias("n"), F.corr(F.col(f"rank_{x}").cast("double"), F.col(f"rank_{y}").cast("double")).alias("rho"))
+    return r.agg(F.count(F.lit(1)).alias("n"), pearson(F.col(f"rank_{x}").cast("double"), F.col(f"rank_{y}").cast("double")).alias("rho"))
 
 
 def decile_overlap(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
@@ -44,6 +46,6 @@ def cross_bank(pairs: DataFrame) -> DataFrame:
         return F.col(c).cast("double")
 
     return r.groupBy("scope").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("b1", "b2").alias("pearson_b"), F.corr(d("rank_b1"), d("rank_b2")).alias("spearman_b"),
-        F.corr("a1", "a2").alias("pearson_a"), F.corr(d("rank_a1"), d("rank_a2")).alias("spearman_a"),
+        F.count(F.lit(1)).alias("n"), pearson("b1", "b2").alias("pearson_b"), pearson(d("rank_b1"), d("rank_b2")).alias("spearman_b"),
+        pearson("a1", "a2").alias("pearson_a"), pearson(d("rank_a1"), d("rank_a2")).alias("spearman_a"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.irt import pearson
+
 FLAG, BLOCK, LEAST_MODELS = 0.2, 0.8, 20
 
 
@@ -28,7 +30,7 @@ def item_pairs(rows: DataFrame, *values: str) -> DataFrame:
 def q3(residuals: DataFrame) -> DataFrame:
     """benchmark, i, j, n, q3 (null where a side is constant) over complete cases."""
     pairs = item_pairs(complete_cases(residuals), "z")
-    out = pairs.groupBy("benchmark", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("z1") > 1e-9) & (F.stddev_pop("z2") > 1e-9), F.corr("z1", "z2")).alias("q3"))
+    out = pairs.groupBy("benchmark", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("z1") > 1e-9) & (F.stddev_pop("z2") > 1e-9), pearson("z1", "z2")).alias("q3"))
     return out.where(F.col("n") >= LEAST_MODELS)
 
 
@@ -84,5 +86,5 @@ def ability_correlations(abilities: DataFrame, least: int = 5) -> DataFrame:
     left = abilities.select("model_id", F.col("benchmark").alias("b1"), F.col("theta").alias("t1"))
     right = abilities.select("model_id", F.col("benchmark").alias("b2"), F.col("theta").alias("t2"))
     both = left.join(right, "model_id").where("b1 < b2")
-    r = F.when((F.count(F.lit(1)) >= least) & (F.stddev_pop("t1") > 1e-9) & (F.stddev_pop("t2") > 1e-9), F.corr("t1", "t2"))
+    r = F.when((F.count(F.lit(1)) >= least) & (F.stddev_pop("t1") > 1e-9) & (F.stddev_pop("t2") > 1e-9), pearson("t1", "t2"))
     return both.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("n"), r.alias("r"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.irt import binomial_two_sided
+from ..functions.irt import binomial_two_sided, pearson
 
 LEAST_LETTER = 30
 #: Expected range of k standard normal values, by k (fixed values).
@@ -17,7 +17,7 @@ def retest(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two administrations of the same cells, by model: agreement, phi, flips up
     and down, net points and the exact McNemar test."""
     both = first.select("model_id", "item_id", F.col("correct").alias("x")).join(second.select("model_id", "item_id", F.col("correct").alias("y")), ["model_id", "item_id"])
-    phi = F.when((F.stddev_pop("x") > 1e-9) & (F.stddev_pop("y") > 1e-9), F.corr(F.col("x").cast("double"), F.col("y").cast("double")))
+    phi = F.when((F.stddev_pop("x") > 1e-9) & (F.stddev_pop("y") > 1e-9), pearson(F.col("x").cast("double"), F.col("y").cast("double")))
     out = both.groupBy("model_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col("x") == F.col("y")).cast("int")).alias("agreement"), phi.alias("phi"),
         F.count_if(F.expr("x = 0 AND y = 1")).alias("up"), F.count_if(F.expr("x = 1 AND y = 0")).alias("down"),

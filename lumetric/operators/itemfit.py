@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.irt import clip, information, p_correct
+from ..functions.irt import clip, information, p_correct, pearson
 
 BINS = 5
 LOW_A, HIGH_OUTFIT, LOW_OUTFIT, DROP, LEAST_BIN = 0.3, 1.3, 0.7, 0.15, 5
@@ -30,7 +30,7 @@ def infit_outfit(res: DataFrame) -> DataFrame:
 
 def safe_corr(x: str, y: str) -> Column:
     """Pearson correlation; null where a side is constant."""
-    return F.when((F.stddev_pop(x) > 1e-9) & (F.stddev_pop(y) > 1e-9), F.corr(x, y))
+    return F.when((F.stddev_pop(x) > 1e-9) & (F.stddev_pop(y) > 1e-9), pearson(x, y))
 
 
 def point_biserial(responses: DataFrame, abilities: DataFrame) -> DataFrame:

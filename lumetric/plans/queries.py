@@ -365,7 +365,7 @@ def score_curve(spark: SparkSession, sf: str) -> DataFrame:
     steps = spark.createDataFrame([(n,) for n in (5, 10, 20, 40, 60)], "n int")
     cells = fx.responses_dense(spark, sf).join(F.broadcast(orders), "item_id").join(F.broadcast(steps), F.col("place") <= F.col("n"))
     scored = cells.groupBy("method", "n", "model_id").agg(F.avg("correct").alias("score")).join(F.broadcast(fx.abilities(spark)), "model_id")
-    return scored.groupBy("method", "n").agg(F.round(F.corr("score", "theta"), 9).alias("value"))
+    return scored.groupBy("method", "n").agg(F.round(irt.pearson("score", "theta"), 9).alias("value"))
 
 
 @query
@@ -647,7 +647,7 @@ def loo_curve(spark, sf):
     kinds = {i: f"b{i % 5}" for i in range(fx.DENSE_ITEMS)}
     out = fitting.leave_one_out(fx.responses_dense(spark, sf), kinds, list(range(0, fx.MODELS, 10)))
     both = out.join(F.broadcast(fx.abilities(spark).withColumnRenamed("theta", "true_theta")), "model_id")
-    return both.groupBy("method", "n").agg(F.count(F.lit(1)).alias("models"), F.corr("theta", "true_theta").alias("r"))
+    return both.groupBy("method", "n").agg(F.count(F.lit(1)).alias("models"), irt.pearson("theta", "true_theta").alias("r"))
 
 
 @query
@@ -722,7 +722,7 @@ def bank_build(spark, sf):
     records.save_bank(spark, path, "v1", kept, fx.items(spark), fx.models(spark, sf))
     loaded = records.load_bank(spark, path, "v1")
     n = loaded["responses"].agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("item_id").alias("items"), F.count_distinct("model_id").alias("models"))
-    return n.withColumn("density", F.round(F.col("cells") / (F.col("items") * F.col("models")), 6))
+    return n.withColumn("density", F.round(F.try_divide(F.col("cells").cast("double"), F.col("items") * F.col("models")), 6))
 
 
 @query

@@ -1,19 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Every item's 5-word runs are its seeds. One scan of the corpus finds, for each
-document and item, the seeds that occur and the words around them. Seeds are then
-weighed over all documents: a seed is rare unless it is in more than
-COMMON_RATIO of the documents *and* in over COMMON_TIMES as many as its item's
-rarest one, so that stock phrases seed nothing while an item that leaked
-very often keeps its seeds. Passages with a rare seed are aligned with the item (match 1,
-mismatch and gap -1); the best local score over the item's length says how much
-of it the document holds, edited words and gaps allowed.
+document and item, the words around the seeds that occur. Every such passage
+that holds enough of the item's words to reach the least score, in any order, is
+aligned with the item (match 1, mismatch and gap -1), however many documents
+share its seeds; the best local score over the item's length says how much of it
+the document holds, edited words and gaps allowed.
 
 Scale: items are searched in blocks of at most BLOCK_WORDS words, a proven bound
 on what is broadcast; a larger benchmark takes one scan for each block. Only
-document numbers, word numbers and seed numbers leave a scan, a row for each
-(document, item) that shares a seed; nothing is grouped by document or by seed
-except through counts.
+document numbers and word numbers leave a scan, a row for each (document, item)
+that shares a seed; nothing is grouped by document or by seed.
 
 Defined results
     null or empty text   no passage, whatever the item
@@ -38,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import read, shared_table, take
 
 SEED_WORDS, LEAST_SCORE = 5, 0.6
-COMMON_RATIO, COMMON_TIMES = 0.01, 8
 #: Words of the items that are searched in one scan.
 BLOCK_WORDS = 400_000
 OWNER = "decontamination"
@@ -148,7 +144,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int |
 def _scan(docs: DataFrame, index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Index = index.value
-        schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("seeds", pa.list_(pa.int64())), ("passage", pa.list_(pa.int32()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("passage", pa.list_(pa.int32()))])
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0), b.column(1), strict=True):
@@ -159,35 +155,24 @@ def _scan(docs: DataFrame, index) -> DataFrame:
                 items = found.seed_item[seeds]
                 for item in np.unique(items).tolist():
                     mine = items == item
-                    out.append((doc_id.as_py(), item, np.unique(seeds[mine]), windows(ids, places[mine], len(found.items[item]))))
+                    out.append((doc_id.as_py(), item, windows(ids, places[mine], len(found.items[item]))))
             for at in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[at : at + 2000], strict=True), schema, strict=True)], schema=schema)
 
     rows = take(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return rows.mapInArrow(run, "doc_id bigint, item bigint, seeds array<bigint>, passage array<int>")
+    return rows.mapInArrow(run, "doc_id bigint, item bigint, passage array<int>")
 
 
-def _rare(hits: DataFrame, index: Index, n_docs: int, common_ratio: float, common_times: int) -> np.ndarray:
-    """Which seeds may start an alignment; as many flags as the block has seeds."""
-    counts = hits.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-    n = np.zeros(len(index.seed_hash), np.int64)
-    for row in counts.toLocalIterator():  # as many rows as the block has seeds, at most
-        n[row["seed"]] = row["n"]
-    least = np.full(len(index.items) + 1, np.iinfo(np.int64).max)
-    seen = n > 0
-    np.minimum.at(least, index.seed_item[seen], n[seen])
-    return ~((n > common_ratio * n_docs) & (n > common_times * least[index.seed_item]))
-
-
-def _align(hits: DataFrame, index, rare, least_score: float) -> DataFrame:
+def _align(hits: DataFrame, index, least_score: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, flags, memo = index.value, rare.value, {}
+        found, memo = index.value, {}
         for b in batches:
             out = []
-            for doc_id, item, seeds, passage in zip(*[b.column(i) for i in range(4)], strict=True):
-                if not flags[seeds.values.to_numpy()].any():
-                    continue
+            for doc_id, item, passage in zip(*[b.column(i) for i in range(3)], strict=True):
                 words, own = passage.values.to_numpy(), item.as_py()
+                # no alignment has more matches than the item has words of the passage
+                if np.isin(found.items[own], words).sum() / len(found.items[own]) < least_score:
+                    continue
                 key = (own, words.tobytes())
                 if key not in memo:
                     memo = memo if len(memo) < 5000 else {}
@@ -201,19 +186,17 @@ def _align(hits: DataFrame, index, rare, least_score: float) -> DataFrame:
     return hits.mapInArrow(run, "doc_id bigint, item_id bigint, score double")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, seed_words: int = SEED_WORDS, common_ratio: float = COMMON_RATIO, common_times: int = COMMON_TIMES, block_words: int = BLOCK_WORDS, owner: str = OWNER) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS, owner: str = OWNER) -> DataFrame:
     """doc_id, item_id, score: every document and item that align well enough."""
     spark = docs.sparkSession
-    sc, found, n_docs = spark.sparkContext, [], None
+    sc, found = spark.sparkContext, []
     for block in _blocks(benchmark, block_words):
         index = Index(block, seed_words)
         if not len(index.seed_hash):
             continue
-        n_docs = docs.count() if n_docs is None else n_docs
         shared = sc.broadcast(index)
         hits = shared_table(_scan(docs, shared), owner, "hits")
-        rare = sc.broadcast(_rare(hits, index, n_docs, common_ratio, common_times))
-        found.append(_align(hits, shared, rare, least_score))
+        found.append(_align(hits, shared, least_score))
     if not found:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double")
     out = found[0]

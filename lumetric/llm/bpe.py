@@ -7,21 +7,28 @@ compatible with the last token before it. The merge table is compiled into that
 relation; the transducer's state is what the future can still depend on:
 
     live places   the ends i' of the read text from which a token that goes
-                  beyond the read text can start (the read text after i' is a
-                  proper prefix of a token), and the end of the text itself
-    for each      the tokens, not yet emitted, that lead to it
-
-On a byte, every live place is extended: one where a token ends gets a new live
-place (the unique compatible one), one where no token can go on is dropped.
-What all live places have in common is emitted. Since a token has at most
-`longest` bytes, the lookahead is bounded by that. States are found on demand
-and numbered: a (state, byte) entry of the table is computed the first time it
-is met, the determinised machine is never built whole, and a full table (its
-size is bounded) starts again from empty, which changes no result.
+                  beyond the read text can start (the read text after i' is an
+                  inner node of the vocabulary's trie), and the end of the text
+    for each      last(i')
+
+On a byte, every live place is extended: one where a token ends gives the new
+end its last token, one where no token can go on is dropped. The transition's
+output is last(i), from which the ids are read backwards. Ids are emitted at the
+end of a piece, and within a long one every WINDOW bytes up to where the ways
+back from all live places meet: a live place is at most a token's length back,
+so the lookahead is bounded. States are found on demand and numbered: a
+(state, byte) entry of the table is computed the first time it is met, the
+determinised machine is never built whole, and a full table starts again from
+the present state, within a piece too, which changes no result.
 
 Decoding. Tokens are byte strings, and a token may end within a character. An
 incremental UTF-8 state machine reads them: its states are the unfinished
-sequences (at most 3 bytes), and its transitions by token are memoised.
+sequences (at most 3 bytes), and its transitions by token are memoised. Runs of
+tokens that are whole characters don't leave its first state.
+
+Texts come in Arrow batches bounded by bytes and are split and encoded one after
+the other, very long ones in blocks. A worker holds the machine's table (bounded
+by entries) and a memo of short pieces (bounded by bytes).
 
 Defined results
     null text       encoded as the empty text: no ids
@@ -38,23 +45,27 @@ Defined results
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, take
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Entries after which the transducer's table and the piece memo start again.
-MOST_STATES, MOST_PIECES = 150_000, 300_000
+#: Entries after which the transducer's table starts again, and bytes after which the memo of pieces does.
+MOST_STATES, MEMO_BYTES = 400_000, 64_000_000
+#: Characters of a text that are split at once, of a memoised piece at most, and bytes of a piece between two emissions.
+BLOCK, SHORT, WINDOW = 1_000_000, 64, 1 << 16
+#: Bits of a token number (and one more value) in packed pairs.
+BITS = 17
+MASK = (1 << BITS) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -75,24 +86,47 @@ def merged(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> list[
 
 
 class Transducer:
-    """step(state, byte) -> (state, ids emitted); state 0 is the start."""
+    """step(state, byte) -> next state << BITS | last token; state 0 is the start."""
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES) -> None:
+        if max(ranks.values(), default=0) + 1 >= MASK:
+            raise ValueError(f"token numbers up to {MASK - 2} only")
         self.ranks, self.most_states = ranks, most_states
         self.spelled = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
-        self.starts = {b[:n] for b in ranks for n in range(1, len(b))}  # proper prefixes of tokens
-        self.fits: dict[tuple[int | None, int], bool] = {}
+        # the trie of all tokens: node << 8 | byte -> node, its token or -1, whether it goes on, its depth
+        self.child: dict[int, int] = {}
+        self.token, self.inner, self.depth = [-1], [False], [0]
+        for text, i in ranks.items():
+            node = 0
+            for byte in text:
+                at = node << 8 | byte
+                if at not in self.child:
+                    self.child[at] = len(self.token)
+                    self.inner[node] = True
+                    self.token.append(-1)
+                    self.inner.append(False)
+                    self.depth.append(self.depth[node] + 1)
+                node = self.child[at]
+            self.token[node] = i
+        self.fits: dict[int, bool] = {}
         self.edges: dict[int, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None] = {}
+        self.states: list[tuple[int, ...]] = []
+        self.number: dict[tuple[int, ...], int] = {}
+        self.table: dict[int, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        # a state: ((unread bytes after the place, ids that lead to it), ...), the end of the text last;
-        # ids begin with the last emitted one (None at the start), which compatibility still needs
-        start = ((b"", (None,)),)
-        self.states: list[tuple] = [start]
-        self.number = {start: 0}
-        self.table: dict[int, tuple[int, tuple[int, ...]]] = {}
+        # a state: (node << BITS | last token + 1, ...) of the live places, the furthest back first
+        for held in (self.states, self.number, self.table, self.fits):
+            held.clear()
+        self.numbered((0,))
+
+    def numbered(self, state: tuple[int, ...]) -> int:
+        number = self.number.get(state)
+        if number is None:
+            number = self.number[state] = len(self.states)
+            self.states.append(state)
+        return number
 
     def spines(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
         """The token's left and right edge parts, each with the rank at which it
@@ -113,58 +147,72 @@ class Transducer:
         """Whether the two encode together as themselves (and the token alone as
         itself): no part at the left one's end merges with one at the right one's
         beginning while both are there. Equal ranks merge leftmost first."""
-        pair = (before, token)
-        fits = self.fits.get(pair)
-        if fits is None:
-            own, ranks = self.spines(token), self.ranks
-            fits = own is not None
-            if fits and before is not None:
-                for a, until_a in self.spines(before)[1]:
-                    for b, until_b in own[0]:
-                        rank = ranks.get(a + b)
-                        if rank is not None and rank < until_a and rank <= until_b:
-                            fits = False
-                            break
-                    if not fits:
-                        break
-            self.fits[pair] = fits
-        return fits
-
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        one, live, end = bytes((byte,)), [], None
-        starts, ranks = self.starts, self.ranks
-        for tail, ids in self.states[state]:
-            grown = tail + one
-            if end is None and (token := ranks.get(grown)) is not None and self.compatible(ids[-1], token):
-                end = (b"", (*ids, token))
-            if grown in starts:
-                live.append((grown, ids))
-        live.append(end)
-        first, common = live[0][1], len(live[0][1])
-        for _, ids in live[1:]:
-            common = min(common, len(ids))
-            while first[:common] != ids[:common]:
-                common -= 1
-        new = tuple(live) if common == 1 else tuple([(tail, ids[common - 1 :]) for tail, ids in live])
-        number = self.number.get(new)
-        if number is None:
-            number = self.number[new] = len(self.states)
-            self.states.append(new)
-        return number, first[1:common]
+        own, rank_of = self.spines(token), self.ranks.get
+        if own is None or before is None:
+            return own is not None
+        for a, until_a in self.spines(before)[1]:
+            for b, until_b in own[0]:
+                rank = rank_of(a + b)
+                if rank is not None and rank < until_a and rank <= until_b:
+                    return False
+        return True
+
+    def step(self, state: int, byte: int) -> int:
+        places = self.states[state]
+        if len(self.table) >= self.most_states:
+            self.clear()
+            state = self.numbered(places)
+        child, token, inner, fits = self.child, self.token, self.inner, self.fits
+        live, end = [], -1
+        for place in places:
+            node = child.get((place >> BITS) << 8 | byte)
+            if node is None:
+                continue
+            last = place & MASK
+            if end < 0 and (new := token[node]) >= 0:
+                pair = last << BITS | new
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = fits[pair] = self.compatible(last - 1 if last else None, new)
+                if fit:
+                    end = new
+            if inner[node]:
+                live.append(node << BITS | last)
+        live.append(end + 1)
+        go = self.table[state << 8 | byte] = self.numbered(tuple(live)) << BITS | end
+        return go
+
+    def way_back(self, last: array, at: int) -> list[int]:
+        out, spelled = [], self.spelled
+        while at:
+            out.append(last[at - 1])
+            at -= len(spelled[last[at - 1]])
+        return out[::-1]
+
+    def settle(self, state: int, last: array) -> list[int]:
+        """Ids up to where the ways back from all live places meet; `last` then begins there."""
+        ends = {len(last) - self.depth[place >> BITS] for place in self.states[state]}
+        while len(ends) > 1:
+            far = max(ends)
+            ends.remove(far)
+            ends.add(far - len(self.spelled[last[far - 1]]))
+        at = ends.pop()
+        out = self.way_back(last, at)
+        del last[:at]
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.most_states or len(self.fits) > 4 * self.most_states:
-            self.clear()
-            self.fits = {}
-        table, state, out = self.table, 0, []
-        for byte in piece:
-            at = state << 8 | byte
-            if at not in table:
-                table[at] = self.step(state, byte)
-            state, emitted = table[at]
-            if emitted:
-                out += emitted
-        return out + list(self.states[state][-1][1][1:])
+        known, step, state, last, out = self.table.get, self.step, 0, array("i"), []
+        for at in range(0, len(piece), WINDOW):
+            if at:
+                out += self.settle(state, last)
+            for byte in piece[at : at + WINDOW]:
+                go = known(state << 8 | byte)
+                if go is None:
+                    go = step(state, byte)
+                state = go >> BITS
+                last.append(go & MASK)
+        return out + self.way_back(last, len(last))
 
 
 def utf8_advance(pending: bytes, data: bytes, final: bool = False) -> tuple[str, bytes]:
@@ -202,79 +250,95 @@ def utf8_advance(pending: bytes, data: bytes, final: bool = False) -> tuple[str,
 class StreamDecoder:
     """Ids in, text out, as far as characters are complete."""
 
+    MOST_MOVES = 200_000
+
     def __init__(self, spelled: dict[int, bytes]) -> None:
         self.spelled = spelled
-        self.closed: dict[int, str] = {}  # tokens that are whole characters
         self.moves: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        #: By id: the text of tokens that are whole characters, None for all others.
+        self.closed = np.full(max(spelled, default=0) + 1, None, object)
         for i, b in spelled.items():
             text, rest = utf8_advance(b"", b)
-            self.moves[b"", i] = (text, rest)
             if not rest and "\ufffd" not in text:
                 self.closed[i] = text
+        self.open = np.equal(self.closed, None)
+
+    def move(self, state: bytes, token: int) -> tuple[str, bytes]:
+        key = (state, token)
+        if key not in self.moves:
+            if len(self.moves) >= self.MOST_MOVES:
+                self.moves.clear()
+            self.moves[key] = utf8_advance(state, self.spelled[token])
+        return self.moves[key]
 
     def decode(self, ids: Iterable[int]) -> str:
-        out, state, closed, moves = [], b"", self.closed, self.moves
-        for i in ids:
-            if not state and i in closed:
-                out.append(closed[i])
+        ids = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.closed):
+            raise KeyError("an id outside the vocabulary")
+        parts, at = self.closed[ids].tolist(), 0
+        for begin in np.flatnonzero(self.open[ids]).tolist():
+            if begin < at:
                 continue
-            if (state, i) not in moves:
-                moves[state, i] = utf8_advance(state, self.spelled[i])
-            text, state = moves[state, i]
-            out.append(text)
-        if state:
-            out.append(utf8_advance(state, b"", final=True)[0])
-        return "".join(out)
-
-
-# ---- splitting, in the JVM -------------------------------------------------
-
-
-def pieces(text: Column) -> Column:
-    """array<string>: the matches of the tokenizer's pattern, in order.
-
-    The regular expression runs in the JVM, with Unicode white space. A text
-    with a code point that the JVM's Unicode tables don't know yet comes as one
-    element after a null, and is split by the executor's Python instead.
-    """
-    whole = F.coalesce(text, F.lit(""))
-    unknown = whole.rlike(r"\p{Cn}")
-    return F.when(unknown, F.array(F.lit(None).cast("string"), whole)).otherwise(F.regexp_extract_all(whole, F.lit("(?U)" + public_tokenizers.PATTERN), F.lit(0)))
-
-
-def distinct_pieces(column: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct pieces, each piece's number among them, and the rows' offsets."""
-    offsets = column.offsets.to_numpy()
-    flat = column.values.slice(offsets[0], offsets[-1] - offsets[0])
-    offsets = offsets - offsets[0]
-    if flat.null_count:
-        split, rows = regex.compile(public_tokenizers.PATTERN), []
-        for row in column.to_pylist():
-            rows.append(split.findall(row[1]) if row and row[0] is None else row)
-        flat = pa.array([p for row in rows for p in row], pa.string())
-        offsets = np.cumsum([0, *map(len, rows)])
-    coded = flat.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), offsets
-
-
-def gather(packed: list[bytes], numbers: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of packed[numbers[0]], packed[numbers[1]], ... (4 bytes each) and the
-    rows' offsets among them."""
-    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-    flat = np.frombuffer(b"".join(packed), "<u4")
-    begin = np.r_[0, np.cumsum(sizes)]
-    each = sizes[numbers]
-    ends = np.cumsum(each)
-    at = np.repeat(begin[numbers] - (ends - each), each)
-    at += np.arange(len(at))
-    return flat[at], np.r_[0, ends][offsets]
+            at, state = begin, b""
+            while at == begin or (state and at < len(ids)):
+                parts[at], state = self.move(state, int(ids[at]))
+                at += 1
+            if state:
+                parts.append(utf8_advance(state, b"", final=True)[0])
+        return "".join(parts)
+
+
+# ---- splitting -------------------------------------------------------------
+
+SPLIT = regex.compile(public_tokenizers.PATTERN)
+
+
+def pieces(text: str, block: int = BLOCK) -> Iterator[list[str]]:
+    """The matches of the tokenizer's pattern, in order, by blocks of the text. A match
+    depends on the text from its start to one character behind its end, so all
+    but the last of a block are those of the whole text; the next block begins
+    with that one."""
+    at, size = 0, block
+    while len(text) - at > size:
+        found = SPLIT.findall(text, at, at + size)
+        if len(found) < 2:
+            size *= 2
+            continue
+        last = found.pop()
+        yield found
+        at, size = at + size - len(last), block
+    yield SPLIT.findall(text, at)
+
+
+class Memo(dict):
+    """piece -> ids of 4 bytes each, by `encode`; forgets all when it holds `most` bytes."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int = MEMO_BYTES) -> None:
+        self.encode, self.most, self.held = encode, most, 0
+
+    def keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) <= SHORT:
+            self.held += len(piece) + len(ids) + 180
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[piece] = ids
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        self.keep(piece, ids)
+        return ids
+
+    def text_ids(self, text: str | None) -> np.ndarray:
+        """The ids of a whole text, uint32."""
+        return np.frombuffer(b"".join([b"".join(map(self.__getitem__, found)) for found in pieces(text or "")]), "<u4")
 
 
 def pack(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -286,10 +350,9 @@ class Codec:
     _held: dict[int, Codec] = {}
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        gc.disable()  # the tables have no cycles, and walking through them takes as long as filling them
         self.machine = Transducer(ranks)
         self.decoder = StreamDecoder(self.machine.spelled)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(lambda piece: pack(self.machine.encode(piece.encode("utf-8"))))
 
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> Codec:
@@ -297,51 +360,9 @@ class Codec:
             cls._held = {id(ranks): cls(ranks)}
         return cls._held[id(ranks)]
 
-    def encode(self, distinct: list[str]) -> list[bytes]:
-        if len(self.memo) > MOST_PIECES:
-            self.memo = {}
-        memo, machine = self.memo, self.machine
-        out = []
-        for piece in distinct:
-            ids = memo.get(piece)
-            if ids is None:
-                ids = memo[piece] = pack(machine.encode(piece.encode("utf-8")))
-            out.append(ids)
-        return out
-
 
-def encoded_batches(batches: Iterable[pa.RecordBatch], codec: Codec) -> Iterator[pa.RecordBatch]:
-    """(key, pieces) to (key, ids list<uint32>)."""
-    for b in sliced(batches):
-        words, numbers, offsets = distinct_pieces(b.column(1))
-        ids, ends = gather(codec.encode(words), numbers, offsets)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
-
-
-def decoded_batches(batches: Iterable[pa.RecordBatch], codec: Codec) -> Iterator[pa.RecordBatch]:
-    """Adds text, decoded from ids as a stream."""
-    for b in batches:
-        col = b.column(1)
-        flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
-        texts = [codec.decoder.decode(flat[s:e].tolist()) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
-
-
-def digest_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sha(x: bytes) -> str:
-        return hashlib.sha256(x).hexdigest()
-
-    for b in batches:
-        col = b.column(1)
-        flat, ends = col.values.to_numpy(zero_copy_only=False).astype("<u4"), col.offsets.to_numpy()
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column(0), pa.array(np.diff(ends).astype(np.int64)),
-                pa.array([sha(flat[s:e].tobytes()) for s, e in zip(ends[:-1], ends[1:], strict=True)]),
-                pa.array([sha(x.encode("utf-8")) for x in b.column(2).to_pylist()]),
-            ],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+def sha(x: bytes) -> str:
+    return hashlib.sha256(x).hexdigest()
 
 
 # ---- the operators ---------------------------------------------------------
@@ -352,8 +373,8 @@ def _ranks(spark: SparkSession, path: str | None):
     return spark.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(RANKS)))
 
 
-def _split(docs: DataFrame) -> DataFrame:
-    return take(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), pieces(F.col("text")).alias("pieces"))
+def _texts(docs: DataFrame) -> DataFrame:
+    return take(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -361,10 +382,12 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     ranks = _ranks(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in encoded_batches(batches, Codec.of(ranks.value)):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.list_(pa.int64()))], ["doc_id", "ids"])
+        memo = Codec.of(ranks.value).memo
+        for b in sliced(batches):
+            ids = [memo.text_ids(x.as_py()).astype(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return _split(docs).mapInArrow(run, "doc_id bigint, ids array<bigint>")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, ids array<bigint>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -372,9 +395,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     ranks = _ranks(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(ranks.value)
-        for b in batches:
-            texts = [codec.decoder.decode(x or ()) for x in b.column(1).to_pylist()]
+        decoder = Codec.of(ranks.value).decoder
+        for b in sliced(batches):
+            texts = [decoder.decode(x.as_py() or ()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return take(encoded, "doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
@@ -386,9 +409,16 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks.value)
-        return digest_batches(decoded_batches(encoded_batches(batches, codec), codec))
-
-    return _split(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        for b in sliced(batches):
+            sizes, of_ids, of_text = [], [], []
+            for x in b.column(1):
+                ids = codec.memo.text_ids(x.as_py())
+                sizes.append(len(ids))
+                of_ids.append(sha(ids.tobytes()))
+                of_text.append(sha(codec.decoder.decode(ids).encode("utf-8")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

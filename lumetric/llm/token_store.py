@@ -17,15 +17,21 @@ Segments travel as rows of a Parquet table, so any store that Spark writes holds
 them, commits are atomic, and a lost executor costs a repeated task. A segment
 ends after SEGMENT_IDS ids, at the end of a document.
 
-Encoding runs in the tokenizers library. The pattern splits texts in the JVM
-(the library would split at the same places), and the library encodes each
-distinct piece of a batch once.
+Encoding runs in the tokenizers library, before anything is shuffled: only packed
+ids travel (2 bytes each where the vocabulary allows). Texts are split by the
+pattern as the library would (the same places for every code point), and the
+library encodes each piece that a bounded memo doesn't hold; a text that
+contains an added token (such as an end-of-text marker) goes to the library whole.
+
+Parts are ranges of doc_id. Their bounds come from a scan of doc_id alone; a
+doc_id (or the rows without one) that holds several parts' worth of rows is dealt
+over as many parts by the rows' places in their input.
 
 Defined results
     null text       encoded as the empty text: the end id alone
     very long text  whole text; a document lies within one segment
     repeated rows   each is a document of its own; rows of one doc_id are
-                    ordered by the text
+                    neighbours, ordered by their ids within a part
     null doc_id     first
     empty table     no segments, empty result
     other columns   ignored
@@ -33,7 +39,6 @@ Defined results
 
 from __future__ import annotations
 
-import contextlib
 import os
 import struct
 import zlib
@@ -47,12 +52,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import distinct_pieces, gather, pack, pieces
+from .bpe import Memo, pack, pieces, sliced
 from .common import read, shared_table, take
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 SEGMENT_IDS = 1_000_000
-MOST_PIECES = 300_000
 MAGIC, BLOCK = b"DAC1", 512
 #: Bits of the levels; the last level takes what is left.
 WIDTHS = (8, 8, 16)
@@ -155,12 +159,15 @@ class Library:
     """The tokenizers library behind a bounded memo of pieces; one in each worker."""
 
     _held: dict[int, Library] = {}
+    #: Texts of one call, and characters from which a text is encoded without them.
+    BATCH, LONG = 64, 100_000
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.vocabulary = vocabulary
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memo = Memo(lambda piece: pack(self.whole(piece)))
 
     @classmethod
     def of(cls, vocabulary: str) -> Library:
@@ -168,39 +175,64 @@ class Library:
             cls._held = {id(vocabulary): cls(vocabulary)}
         return cls._held[id(vocabulary)]
 
-    def encode(self, distinct: list[str]) -> list[bytes]:
-        if len(self.memo) > MOST_PIECES:
-            self.memo = {}
-        memo = self.memo
-        new = [p for p in distinct if p not in memo]
-        for at in range(0, len(new), 2048):
-            some = new[at : at + 2048]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[p] = pack(e.ids)
-        return [memo[p] for p in distinct]
-
-
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows, for a job that runs inside; whole
-    texts as lists of pieces are large rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def write_segments(docs: DataFrame, owner: str = OWNER, path: str | None = None, segment_ids: int = SEGMENT_IDS, end_id: int = END_ID, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def text_ids(self, text: str) -> np.ndarray:
+        if any(t in text for t in self.added):
+            return np.array(self.whole(text), "<u4")
+        return self.memo.text_ids(text)
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, uint32; new pieces of several texts go to the library together."""
+        for at in range(0, len(texts), self.BATCH):
+            some = texts[at : at + self.BATCH]
+            seen: set[str] = set()
+            for text in some:
+                if len(text) < self.LONG:
+                    for found in pieces(text):
+                        seen.update(found)
+            new = [p for p in seen if p not in self.memo]
+            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.memo.keep(p, pack(e.ids))
+            yield from map(self.text_ids, some)
+
+
+def bounds(docs: DataFrame, parts: int) -> tuple[int, np.ndarray]:
+    """Into about so many parts: how many are for rows without a doc_id, and the upper
+    ends (ascending, with repeats) of all others but the last."""
+    at = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts))
+    total, named, ends = docs.agg(F.count(F.lit(1)), F.count("doc_id"), at).first()
+    return -(-(total - named) * parts // max(total, 1)), np.array(ends if named and parts > 1 else [], np.int64)
+
+
+def parts_of(doc_ids: np.ndarray, known: np.ndarray, places: np.ndarray, nulls: int, ends: np.ndarray) -> np.ndarray:
+    """The part of each row; a doc_id that is the end of several takes turns by the row's place."""
+    low, high = np.searchsorted(ends, doc_ids, "left"), np.searchsorted(ends, doc_ids, "right")
+    return np.where(known, nulls + low + places % np.maximum(high - low, 1), places % max(nulls, 1))
+
+
+def write_segments(docs: DataFrame, owner: str = OWNER, path: str | None = None, segment_ids: int = SEGMENT_IDS, end_id: int = END_ID, widths: tuple[int, ...] = WIDTHS, parts: int | None = None) -> DataFrame:
     """Writes the segments to the shared folder; returns their table: part,
     number and first place (within the part), doc_ids, n_ids and data."""
+    spark = docs.sparkSession
     with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
+        vocabulary = spark.sparkContext.broadcast(f.read())
+    rows = take(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    nulls, ends = bounds(rows.select("doc_id"), parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library, place = Library.of(vocabulary.value), 0
+        for b in sliced(batches):
+            doc_ids = b.column(0)
+            known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+            part = parts_of(doc_ids.fill_null(0).to_numpy(), known, np.arange(place, place + len(doc_ids)), nulls, ends)
+            place += len(doc_ids)
+            ids = [x.astype("<u2").tobytes() + b"2" if not len(x) or x.max() < 1 << 16 else x.tobytes() + b"4" for x in library.encode([x or "" for x in b.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_ids, pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, part, number = Library.of(vocabulary.value), None, 0
+        part, number = None, 0
         names: list[int | None] = []
         ids: list[np.ndarray] = []
         total = inside = 0
@@ -213,28 +245,23 @@ def write_segments(docs: DataFrame, owner: str = OWNER, path: str | None = None,
                 ["part", "number", "inside", "doc_ids", "n_ids", "data"],
             )
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                part = b.column(2)[0].as_py()
-                words, numbers, offsets = distinct_pieces(b.column(1))
-                flat, ends = gather(library.encode(words), numbers, offsets)
-                for name, s, e in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    names.append(name)
-                    ids.append(np.r_[flat[s:e], np.uint32(end_id)])
-                    total += e - s + 1
-                    if total >= segment_ids:
-                        yield segment()
-                        names, ids, total, number, inside = [], [], 0, number + 1, inside + total
+        for b in sliced(batches):
+            for at, name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if names and (at != part or total >= segment_ids):
+                    yield segment()
+                    names, ids, total, number, inside = [], [], 0, number + 1, inside + total
+                if at != part:
+                    part, number, inside = at, 0, 0
+                packed = x.as_py()
+                names.append(name)
+                ids.append(np.r_[np.frombuffer(packed, f"<u{packed[-1:].decode()}", (len(packed) - 1) // int(packed[-1:])).astype(np.uint32), np.uint32(end_id)])
+                total += len(ids[-1])
         if names:
             yield segment()
 
-    rows = take(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    split = ordered.select("doc_id", pieces(F.col("text")).alias("pieces"), F.spark_partition_id().alias("part"))
-    table = split.mapInArrow(run, "part int, number bigint, inside bigint, doc_ids array<bigint>, n_ids bigint, data binary")
-    with arrow_rows(docs.sparkSession, 1000):
-        return shared_table(table, owner, "segments")
+    sent = rows.mapInArrow(encoded, "part int, doc_id bigint, ids binary").repartitionById(nulls + len(ends) + 1, "part")
+    table = sent.sortWithinPartitions("part", "doc_id", "ids").mapInArrow(run, "part int, number bigint, inside bigint, doc_ids array<bigint>, n_ids bigint, data binary")
+    return shared_table(table, owner, "segments")
 
 
 def with_starts(segments: DataFrame) -> DataFrame:

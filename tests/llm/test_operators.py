@@ -152,7 +152,7 @@ def encoding():
 
 def test_transducer_is_the_definition(encoding):
     ranks = bpe.load_ranks(public_tokenizers.path(bpe.RANKS))
-    machine, rng = bpe.Transducer(ranks, most_states=500), np.random.default_rng(3)
+    machine, rng = bpe.Transducer(ranks, most_states=50), np.random.default_rng(3)
     for _ in range(1500):
         piece = "".join(rng.choice(list("etaoinshrdluñéß漢🙂=-'  \n"), rng.integers(1, 14))).encode()
         assert machine.encode(piece) == bpe.merged(piece, ranks)
@@ -160,6 +160,31 @@ def test_transducer_is_the_definition(encoding):
     assert machine.encode(b"a" * 2000) == encoding._core_bpe.encode_single_piece(b"a" * 2000)
 
 
+def test_ids_are_emitted_within_a_long_piece(encoding, monkeypatch):
+    machine, rng = bpe.Transducer(bpe.load_ranks(public_tokenizers.path(bpe.RANKS)), most_states=5000), np.random.default_rng(4)
+    monkeypatch.setattr(bpe, "WINDOW", 50)
+    held, settle = [], machine.settle
+    monkeypatch.setattr(machine, "settle", lambda state, last: (settle(state, last), held.append(len(last)))[0])
+    for piece in (b"a" * 3000, "".join(rng.choice(list("etaoinshrdé"), 3000)).encode()):
+        assert machine.encode(piece) == encoding._core_bpe.encode_single_piece(piece)
+        assert held and max(held) < 200 and len(machine.table) <= 5001
+
+
+def test_texts_are_split_in_blocks():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab1  \n\n'sé漢!\u2003"), 120))
+        assert [p for found in bpe.pieces(text, int(rng.integers(1, 30))) for p in found] == bpe.SPLIT.findall(text)
+
+
+def test_memo_forgets_by_bytes():
+    memo = bpe.Memo(lambda p: bpe.pack([len(p)]), most=2000)
+    assert memo.text_ids("ab abc, 12").tolist() == [2, 4, 1, 3]
+    assert len(memo.text_ids(" ".join(f"w{i}" for i in range(500)))) == 1000
+    assert memo.held <= 2000 and len(memo) < 20 and "x" * 65 not in memo
+    assert memo["x" * 65] == bpe.pack([65]) and "x" * 65 not in memo
+
+
 def test_incremental_utf8():
     spelled = {i: bytes([i]) for i in range(256)}
     decoder, rng = bpe.StreamDecoder(spelled), np.random.default_rng(2)
@@ -190,7 +215,6 @@ def test_segments_are_directly_addressable():
 
 def test_token_store(docs, empty):
     tok = Tokenizer.from_file(public_tokenizers.path(token_store.VOCABULARY))
-    tok.encode_special_tokens = True
     want, start = Counter(), 0
     for r in sorted(rows(), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "")):
         ids = [*tok.encode(r[2] or "", add_special_tokens=False).ids, 0]
@@ -202,6 +226,19 @@ def test_token_store(docs, empty):
     assert token_store.read_documents(token_store.with_starts(token_store.write_segments(empty))).count() == 0
 
 
+def test_token_store_deals_hot_ids_over_parts(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path(token_store.VOCABULARY))
+    data = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"text {i} <|endoftext|> end" if i % 2 else "copy") for i in range(300)]
+    segments = token_store.write_segments(spark.createDataFrame(data, "doc_id long, text string").repartition(3), parts=12)
+    assert segments.groupBy("part").count().count() >= 11
+    got = sorted(token_store.read_documents(token_store.with_starts(segments), with_ids=True).collect(), key=lambda r: r["start"])
+    place, last = 0, -1
+    for r in got:
+        assert r["start"] == place and r["n_tokens"] == len(r["ids"]) and (-1 if r["doc_id"] is None else r["doc_id"]) >= last
+        place, last = place + r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter((k, (*tok.encode(t, add_special_tokens=False).ids, 0)) for k, t in data)
+
+
 # ---- 6 ----------------------------------------------------------------------
 
 

@@ -6,13 +6,17 @@ number of pages) are dropped from all pages of that host, wherever they stand.
 
 Scale: a line travels as 16 bytes of hash, counted map-side first, so the
 shuffle holds one small row for each distinct line of a host, not the text.
-A host has at most (mean lines of its pages) / ratio such lines, so its drop
-list is a short array. The lists are broadcast if their counted number is
+A page's own repeats go through a hash set, so one page of very many lines costs
+time in proportion to them. A host has at most (mean lines of its pages) / ratio
+such lines; its drop list is sorted and searched by halving. The lists are broadcast if their counted number is
 within BROADCAST_LINES; beyond it they are joined by host, as two stored tables
 whose large partitions adaptive execution splits, so a hot host isn't one task.
 
 Everything on the main path is DataFrame functions.
 
+least_pages guards small hosts: on a host of one page every line is on all of
+its pages. 1 switches it off, and leaves the ratio alone.
+
 Defined results
     null text          stays null, no lines
     empty text         stays empty (one line, without a word: never dropped)
@@ -37,27 +41,42 @@ from .quality_rules import without
 
 #: A line on more than this share of a host's pages is boilerplate, if on LEAST_PAGES.
 RATIO, LEAST_PAGES = 0.08, 5
-#: Dropped (host, line) pairs up to which the lists are broadcast: 24 bytes each, so some 10 MB.
+#: Dropped (host, line) pairs up to which the lists are broadcast: 40 bytes each, so some 16 MB.
 BROADCAST_LINES = 400_000
+#: Length of a drop list up to which its lines are compared one by one.
+SHORT_LIST = 16
 
 
 def key(line: Column) -> Column:
-    """128 bits that stand for a line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
+    """128 bits that stand for a line, as 32 characters."""
+    return F.md5(line)
 
 
 def worded(line: Column) -> Column:
     return F.length(without(line, ASCII_SPACE)) > 0
 
 
+def among(ordered: Column, x: Column) -> Column:
+    """Whether x is in a sorted array, by halving."""
+
+    def half(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        above = F.get(ordered, middle) < x
+        return F.struct(F.when(above, middle + 1).otherwise(s["low"]).alias("low"), F.when(above, s["high"]).otherwise(middle).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
+    place = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high")), lambda s, i: F.when(s["low"] < s["high"], half(s, i)).otherwise(s), lambda s: s["low"])
+    return F.when(F.size(ordered) <= SHORT_LIST, F.array_contains(ordered, x)).otherwise(F.coalesce(F.get(ordered, place) == x, F.lit(False)))
+
+
 def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, text: str = "text", host: str = "source") -> DataFrame:
-    """host, a, b, n_pages, n_host: the lines above the ratio on their host."""
+    """host, k, n_pages, n_host: the lines (by their key) above the ratio on their host."""
     pages = take(docs, text, host).toDF("text", "host")
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     keys = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), worded), key))
     counts = (
         pages.select("host", F.explode(keys).alias("k"))
-        .groupBy("host", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
+        .groupBy("host", F.unhex("k").alias("k"))
         .agg(F.count(F.lit(1)).alias("n_pages"))
         .where(F.col("n_pages") >= least_pages)
     )
@@ -65,20 +84,20 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
     return (
         counts.join(totals.withColumnRenamed("host", "host_"), same)
         .where(F.col("n_pages") > ratio * F.col("n_host"))
-        .select("host", "a", "b", "n_pages", "n_host")
+        .select("host", F.lower(F.hex("k")).alias("k"), "n_pages", "n_host")
     )
 
 
 def clean(docs: DataFrame, columns: Sequence[str], ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_lines: int = BROADCAST_LINES, owner: str = "line_dedup") -> DataFrame:
     """The given columns with text cleaned, and n_lines and n_dropped."""
     found = shared_table(boilerplate(docs, ratio, least_pages), owner, "boilerplate")
-    lists = found.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("drop_"), F.count(F.lit(1)).alias("n_"))
+    lists = found.groupBy("host").agg(F.sort_array(F.collect_list("k")).alias("drop_"))
     small = found.count() <= broadcast_lines
     lists = F.broadcast(lists) if small else shared_table(lists, owner, "lists")
     rows = take(docs, *columns).select(F.struct(*columns).alias("row"), F.col("source").alias("host_"), F.col("text").alias("text_"))
     joined = rows.join(lists, rows["host_"].eqNullSafe(lists["host"]), "left")
     whole = F.split("text_", "\n", -1)
-    kept = F.when(F.col("drop_").isNull(), whole).otherwise(F.filter(whole, lambda x: ~(worded(x) & F.array_contains(F.col("drop_"), key(x)))))
+    kept = F.when(F.col("drop_").isNull(), whole).otherwise(F.filter(whole, lambda x: ~(worded(x) & among(F.col("drop_"), key(x)))))
     out = joined.select("row", whole.alias("whole_"), kept.alias("kept_"))
     return out.select(
         *[F.array_join("kept_", "\n").alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in columns],

@@ -12,15 +12,37 @@ import corpus_pipeline
 from lumetric.llm import bpe, decontamination, line_dedup, quality_rules
 from lumetric.llm.common import shared_table
 
-from .test_operators import WORD, plain_components, plain_dedup, plain_features, plain_fingerprint
+from .test_operators import WORD, plain_dedup, plain_features
 
 
 def passes(text):
-    n, chars, symbols, dup, repeat = plain_features(text)
+    n, chars, symbols, _, repeat = plain_features(text)
     letters = sum(c.isalpha() for c in text)
     upper = sum(c.isupper() for c in text)
-    lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
-    return not (n < 50 or 100 * repeat > 50 * n or 100 * symbols > 10 * n or chars < 2 * n or chars > 14 * n or (dup > 3 and 100 * dup > 30 * lines) or 100 * upper > 40 * letters or 100 * letters < 60 * chars)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    long, own = sum(map(len, lines)), sum(map(len, set(lines)))
+    return not (n < 50 or 100 * repeat > 50 * n or 100 * symbols > 10 * n or chars < 2 * n or chars > 14 * n or 100 * (long - own) > 30 * long or 100 * upper > 40 * letters or 100 * letters < 60 * chars)
+
+
+def plain_near(texts):
+    """For each text the first of its group: 5-word shingles with a Jaccard of 0.8 link."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            same = len(a & sets[j])
+            if 5 * same >= 4 * (len(a) + len(sets[j]) - same):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
 
 
 def test_pipeline(spark, sf):
@@ -31,7 +53,7 @@ def test_pipeline(spark, sf):
     text = {doc_id: t for doc_id, t, *_ in cleaned}
     ids = sorted(text)
     groups = defaultdict(list)
-    for doc_id, root in zip(ids, plain_components([plain_fingerprint(text[i]) for i in ids]), strict=True):
+    for doc_id, root in zip(ids, plain_near([text[i] for i in ids]), strict=True):
         groups[root].append(doc_id)
     left = [min(g) for g in groups.values()]
 

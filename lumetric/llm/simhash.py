@@ -4,18 +4,21 @@ Fingerprints link at `bits` (3) or fewer differing bits, so a linked pair
 differs in 3 of its 8 bytes at most and shares 5 positional bytes: that is the
 guaranteed minimum of the count filter. Single (position, byte) lists hold
 1/256 of all rows each, and joining on them grows with the square of the input;
-so the index is keyed by every choice of 5 positions with their 5 bytes (56
-lists for a fingerprint), where a linked pair must meet at least once. For each
-pair that meets, shared positional bytes are tallied over all 8 positions, pairs
-under the minimum go, and the rest is verified by the count of differing bits.
+so lists are keyed by 4 positions with their 4 bytes. 14 choices of 4 positions
+(the Steiner system S(3, 4, 8)) suffice: every 5 positions contain one of them, so a
+linked pair meets. For each pair that meets, shared positional bytes are tallied
+over all 8 positions, pairs under the minimum of 5 go, and the rest is verified
+by the count of differing bits.
 
 Only *distinct* fingerprints are indexed: exact copies, a hot group of any
-size, are one entry. Members of a list differ in 3 given bytes only, so a list
-holds 2^24 fingerprints (128 MB) at the very most, whatever the input. Lists are
-read as sorted runs; short ones are tallied in blocks; in long ones, where
-pairs would grow with the square, all links come from sorting by every choice
-of 3 of the 24 free bits (fingerprints equal elsewhere are linked). Either way
-a list emits a spanning forest of its links and never the pairs.
+size, are one entry. A list of more than MOST_LIST fingerprints (counted) is
+replaced by its 4 lists of one more position, whose members differ in 3 given
+bytes only, so that they hold 2^24 fingerprints (128 MB) at the very most, whatever
+the input. Lists are read as sorted runs; short ones are tallied in blocks; long
+ones are first cut by one more position each, and where pairs would still grow
+with the square, all links come from sorting by every choice of 3 of the 24 free
+bits (fingerprints equal elsewhere are linked). Either way a list emits a
+spanning forest of its links and never the pairs.
 
 Defined results
     null or empty text, or only white space: fingerprint zero, linked as any other
@@ -35,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, shared_table, take
@@ -44,9 +47,21 @@ from .components import components
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Fingerprints of one list up to which links are tallied pair by pair, in blocks.
 BLOCK = 1024
+#: Fingerprints from which a list of 4 positions is replaced by lists of 5.
+MOST_LIST = 1 << 20
 OWNER = "simhash"
 
 
+def position_sets(bits: int = BITS) -> list[tuple[int, ...]]:
+    """Choices of positions such that every 8 - bits positions contain one of them."""
+    if bits != 3:
+        return list(combinations(range(8), 8 - bits))
+    halves = (0, 1, 2, 3), (4, 5, 6, 7)
+    # the three ways to pair a half's positions; equal ways of both halves go together
+    pairings = [[((h[0], h[k]), tuple(x for x in h[1:] if x != h[k])) for k in (1, 2, 3)] for h in halves]
+    return [*halves, *[(*a, *b) for left, right in zip(*pairings, strict=True) for a in left for b in right]]
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -103,20 +118,34 @@ class Forest:
                 self.kept.append((x, y))
 
 
+def tallied(octets: np.ndarray, i: int, least: int) -> np.ndarray:
+    """The count filter: the rows behind row i that share `least` positional bytes with it."""
+    return np.flatnonzero((octets[i + 1 :] == octets[i]).sum(axis=1) >= least) + i + 1
+
+
 def run_links(fps: np.ndarray, free: tuple[int, ...], bits: int = BITS, block: int = BLOCK) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints (uint64) that
     may differ in the `free` byte positions only."""
     forest, n = Forest(len(fps)), len(fps)
-    if n == 2:
-        return [(0, 1)] if int(fps[0] ^ fps[1]).bit_count() <= bits else []
+    octets = fps.view(np.uint8).reshape(-1, 8)
     if n <= block:
-        least = 8 - bits
-        octets = fps.view(np.uint8).reshape(-1, 8)
         for i in range(n - 1):
-            shared = (octets[i + 1 :] == octets[i]).sum(axis=1)  # the tally of positional bytes
-            near = np.flatnonzero(shared >= least) + i + 1
+            near = tallied(octets, i, 8 - bits)
             near = near[np.bitwise_count(fps[near] ^ fps[i]) <= bits]
-            forest.join(np.full(len(near), i), near)
+            if len(near):
+                forest.join(np.full(len(near), i), near)
+        return forest.kept
+    if len(free) > bits:
+        # a linked pair shares one more position
+        for position in free:
+            order = np.argsort(octets[:, position], kind="stable")
+            cut = np.flatnonzero(np.diff(octets[order, position])) + 1
+            for part in np.split(order, cut):
+                if len(part) > 1:
+                    links = run_links(np.ascontiguousarray(fps[part]), tuple(p for p in free if p != position), bits, block)
+                    if links:
+                        a, b = np.array(links).T
+                        forest.join(part[a], part[b])
         return forest.kept
     open_bits = [8 * p + k for p in free for k in range(8)]
     for chosen in combinations(open_bits, bits):
@@ -163,17 +192,29 @@ def list_links(postings: DataFrame, subsets: list[tuple[int, ...]], bits: int =
     return postings.mapInArrow(links, "a bigint, b bigint")
 
 
-def link_table(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+def link_table(distinct: DataFrame, bits: int = BITS, most_list: int = MOST_LIST, owner: str = OWNER) -> DataFrame:
     """a, b: links among the distinct fingerprints of column fp that connect
     exactly what all links of `bits` or fewer differing bits connect."""
-    subsets = list(combinations(range(8), 8 - bits))
-
-    def bits_of(positions: tuple[int, ...]):
-        mask = sum(0xFF << (8 * p) for p in positions)
-        return F.col("fp").bitwiseAND(F.lit(signed(mask)))
-
-    entries = F.array(*[F.struct(F.lit(i).cast("bigint").alias("list"), bits_of(p).alias("key")) for i, p in enumerate(subsets)])
-    postings = distinct.select(F.explode(entries).alias("e"), "fp").select("e.list", "e.key", "fp")
+    whole = position_sets(bits)
+    cuts = [tuple(sorted((*w, p))) for w in whole for p in range(8) if p not in w] if bits == 3 else []
+    subsets = [*whole, *dict.fromkeys(cuts)]
+
+    def entries(sets: list[tuple[int, ...]]) -> Column:
+        keys = [F.col("fp").bitwiseAND(F.lit(signed(sum(0xFF << (8 * p) for p in s)))) for s in sets]
+        return F.array(*[F.struct(F.lit(subsets.index(s)).cast("bigint").alias("list"), k.alias("key")) for s, k in zip(sets, keys, strict=True)])
+
+    def posted(rows: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+        return rows.select(F.explode(entries(sets)).alias("e"), "fp").select("e.list", "e.key", "fp")
+
+    postings = posted(distinct, whole)
+    if cuts:
+        long = postings.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_list)
+        long = shared_table(long.select("list", "key"), owner, "long")  # few: each has over most_list of 14 entries for a fingerprint
+        if long.limit(1).count():
+            parts = [posted(postings.where(F.col("list") == i).join(long, ["list", "key"], "left_semi").select("fp"), [c for c in subsets[len(whole) :] if set(w) < set(c)]) for i, w in enumerate(whole)]
+            postings = postings.join(long, ["list", "key"], "left_anti")
+            for part in parts:
+                postings = postings.unionByName(part)
     postings = postings.repartition("list", "key").sortWithinPartitions("list", "key")
     return list_links(postings, subsets, bits)
 
@@ -182,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, o
     """doc_id, fp and component_id for every row of docs."""
     prints = shared_table(fingerprints(docs, shingle), owner, "prints")
     distinct = shared_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), owner, "distinct")
-    links = shared_table(link_table(distinct.select("fp"), bits), owner, "forest")
+    links = shared_table(link_table(distinct.select("fp"), bits, owner=owner), owner, "forest")
     roots = components(links, owner)
     named = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = shared_table(named, owner, "named")

@@ -4,8 +4,10 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -13,6 +15,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumetric.llm import bpe, decontamination, html_extraction, line_dedup, quality_model, quality_rules, registry, simhash, token_store, toxicity, warc
@@ -79,6 +82,15 @@ def test_line_at_the_ratio_stays(spark):
     assert table(line_dedup.clean(d, ["doc_id", "source", "text"], 0.5, 1), "n_dropped") == {(0,): 4}
 
 
+def test_pages_of_very_many_lines(spark):
+    page = "\n".join(f"line number {i % 150_000}" for i in range(200_000))
+    d = spark.createDataFrame([(i, page if i < 2 else f"own {i}", "h") for i in range(4)], "doc_id long, text string, source string")
+    began = time.perf_counter()
+    got = table(line_dedup.clean(d, ["doc_id", "source", "text"], 0.3, 2), "doc_id", "n_lines", "n_dropped")
+    assert got == {(0, 200_000, 200_000): 1, (1, 200_000, 200_000): 1, (2, 1, 0): 1, (3, 1, 0): 1}
+    assert time.perf_counter() - began < 60
+
+
 def plain_features(text):
     text = text or ""
     words = WORD.findall(text)
@@ -105,12 +117,44 @@ def test_many_repeated_windows_go_by_sorting(spark):
 
 def test_order_of_rules_changes_no_verdict(docs):
     rules = quality_rules.default_rules()
-    verdicts = [table(quality_rules.features(docs).select("doc_id", quality_rules.verdict(r).isNull().alias("k")), "doc_id", "k") for r in (rules, rules[::-1])]
+    verdicts = [table(quality_rules.judge(docs, r, ordered=True).selectExpr("doc_id", "rejected_by IS NULL AS k"), "doc_id", "k") for r in (rules, rules[::-1])]
     assert verdicts[0] == verdicts[1]
     kept = quality_rules.keep_good(docs, ["doc_id", "text"])
     assert kept.columns == ["doc_id", "text"] and kept.count() == sum(n for (_, k), n in verdicts[0].items() if k)
 
 
+def test_the_cascade_skips_features_of_rejected_rows(spark, monkeypatch):
+    """Windows of a short text would raise an error; they are read only if the rule that needs them comes first."""
+    whole = quality_rules._features()
+    trap = F.when(F.col("text_").contains("short"), F.raise_error(F.lit("read"))).otherwise(whole["windows_"].make)
+    monkeypatch.setattr(quality_rules, "_features", lambda: whole | {"windows_": quality_rules.Feature(trap, ("hashes_",))})
+    good = " ".join(f"word{i} goes" for i in range(60))
+    d = spark.createDataFrame([(1, "short"), (2, good), (3, "a short one"), (4, None)], "doc_id long, text string")
+    rules = quality_rules.default_rules()
+    assert [r["doc_id"] for r in quality_rules.keep_good(d, ["doc_id", "text"], rules).collect()] == [2]
+    with pytest.raises(Exception, match="read"):
+        quality_rules.keep_good(d, ["doc_id", "text"], [rules[1], rules[0], *rules[2:]]).collect()
+
+
+def test_rules_are_ranked_by_rejection_per_cost(spark):
+    rules = quality_rules.default_rules()[:3]
+    few, repeated, symbols = (r.name for r in rules)
+    order = quality_rules.ranked(rules, {few: 0.2, repeated: 0.4, symbols: 0.2}, {few: 0.011, repeated: 0.4, symbols: 0.01})
+    assert [r.name for r in order] == [few, symbols, repeated]
+    prose = " ".join(f"word{i} goes" for i in range(3000))
+    d = spark.createDataFrame([(i, prose) for i in range(30)], "doc_id long, text string")
+    dear = quality_rules.Rule("windows", ("n_repeat_words",), F.col("n_repeat_words") >= 0)
+    cheap = quality_rules.Rule("characters", ("word_chars",), F.col("word_chars") >= 0)
+    assert [r.name for r in quality_rules.measured_order(d, [dear, cheap])] == ["characters", "windows"]
+
+
+def test_the_sample_reads_a_few_files(spark, tmp_path):
+    spark.range(400).selectExpr("id AS doc_id", "'x' AS text").repartition(20).write.parquet(str(tmp_path / "t"))
+    some = quality_rules.some_files(spark.read.parquet(str(tmp_path / "t")), 4)
+    assert 4 == some.selectExpr("_metadata.file_path AS f").distinct().count()
+    assert 0 < quality_rules.drawn(spark.read.parquet(str(tmp_path / "t")), 50).count() <= 50
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_same_as_sql(spark, sf, name):
     con = duckdb.connect()
@@ -298,6 +342,53 @@ def test_links_within_a_list(block):
     assert len({(root(i), w) for i, w in enumerate(want)}) == len(set(want)) == len({root(i) for i in range(len(fps))})
 
 
+def test_every_five_positions_hold_a_list():
+    sets = [set(s) for s in simhash.position_sets()]
+    assert len(sets) == 14 and all(len(s) == 4 for s in sets)
+    assert all(any(s <= set(five) for s in sets) for five in combinations(range(8), 5))
+    assert all(any(set(s) <= set(six) for s in simhash.position_sets(2)) for six in combinations(range(8), 6))
+
+
+def test_the_count_filter_rejects():
+    """Pairs that meet in a list of 4 positions but share no fifth go before any bits are compared."""
+    fps = np.array([0, 0x0101010100000000, 0x0001010100000000, 7], np.uint64)
+    octets = fps.view(np.uint8).reshape(-1, 8)
+    assert simhash.tallied(octets, 0, 5).tolist() == [2, 3] and simhash.tallied(octets, 1, 5).tolist() == [2]
+    assert simhash.run_links(fps, (4, 5, 6, 7)) == [(0, 2), (0, 3), (1, 2)]
+
+
+@pytest.mark.parametrize("block", [4, 10**6])
+def test_long_lists_of_four_positions(block):
+    rng = np.random.default_rng(18)
+    fps = np.unique(np.bitwise_or.reduce([np.uint64(1) << rng.integers(32, 64, 120).astype(np.uint64) for _ in range(3)], axis=0))
+    up = list(range(len(fps)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in simhash.run_links(fps, (4, 5, 6, 7), block=block):
+        assert int(fps[a] ^ fps[b]).bit_count() <= 3
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    want = plain_components([int(x) for x in fps])
+    assert len({(root(i), w) for i, w in enumerate(want)}) == len(set(want)) == len({root(i) for i in range(len(fps))})
+
+
+@pytest.mark.parametrize("most_list", [2, 10**6])
+def test_hot_lists_are_cut(spark, most_list):
+    from lumetric.llm.components import components
+
+    rng = np.random.default_rng(19)
+    hot = [int(x) for x in np.bitwise_or.reduce([np.uint64(1) << rng.integers(30, 63, 60).astype(np.uint64) for _ in range(3)], axis=0)]
+    prints = sorted({*hot, *map(int, rng.integers(0, 2**63, 20))})
+    d = spark.createDataFrame([(p,) for p in prints], "fp long")
+    roots = {r["v"]: r["root"] for r in components(simhash.link_table(d, most_list=most_list), "test").collect()}
+    want = plain_components(prints)
+    groups = {(roots.get(p, p), prints[w]) for p, w in zip(prints, want, strict=True)}
+    assert len(groups) == len({a for a, _ in groups}) == len({b for _, b in groups})
+
+
 def test_a_chain_and_random_prints(spark):
     rng = np.random.default_rng(9)
     prints = [int(x) for x in rng.integers(0, 2**63, 40)]

@@ -1,20 +1,25 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Every item's 5-word runs are its seeds. One scan of the corpus finds, for each
-document and item, the words around the seeds that occur. Every such passage
-that holds enough of the item's words to reach the least score, in any order, is
-aligned with the item (match 1, mismatch and gap -1), however many documents
-share its seeds; the best local score over the item's length says how much of it
-the document holds, edited words and gaps allowed.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Every item's 5-word runs are its seeds; a shorter item is one seed as a whole. One
+scan of the corpus finds the seeds of each document. An item whose words the
+document doesn't hold to the least score, in any order, can't be aligned that
+well and goes before a row is made, so that stock phrases shared by many items
+cost no rows. For the others the words around the seeds leave the scan, windows
+with the rarest seeds (by the number of items that have them) first, and are aligned
+with the item in that order (match 1, mismatch and gap -1) until one is perfect;
+no hit is dropped for the frequency of its seeds. The best local score over the
+item's length says how much of it the document holds, edited words and gaps
+allowed.
 
 Scale: items are searched in blocks of at most BLOCK_WORDS words, a proven bound
 on what is broadcast; a larger benchmark takes one scan for each block. Only
 document numbers and word numbers leave a scan, a row for each (document, item)
-that shares a seed; nothing is grouped by document or by seed.
+that may reach the score; nothing is grouped by document or by seed.
 
 Defined results
     null or empty text   no passage, whatever the item
-    null or short items  an item of fewer than 5 words is never found
+    null or empty items  never found
+    items of 1 to 4 words  found where all their words stand in a row
     very long text       whole text; passages are windows around seeds
     repeated rows        each row of either table counts for itself
     null doc_id/item_id  carried along
@@ -50,14 +55,16 @@ class Index:
     """The seeds of a block of items; small enough to broadcast."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], seed_words: int = SEED_WORDS) -> None:
-        self.seed_words, self.vocabulary = seed_words, {}
+        self.vocabulary = {}
         self.item_ids, self.items = [], []
         for item_id, text in items:
-            words = words_of(text)
-            if len(words) >= seed_words:
+            if words := words_of(text):
                 self.item_ids.append(item_id)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32))
-        hashes = [self.hashes(x)[0] for x in self.items]
+        self.sizes = [min(len(x), seed_words) for x in self.items]
+        #: The lengths of the seeds.
+        self.lengths = sorted(set(self.sizes))
+        hashes = [self.hashes(x, n)[0] for x, n in zip(self.items, self.sizes, strict=True)]
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         owners = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.empty(0, np.int64)
         order = np.lexsort((owners, flat))
@@ -65,17 +72,21 @@ class Index:
         new = np.r_[True, (flat[1:] != flat[:-1]) | (owners[1:] != owners[:-1])] if len(flat) else np.empty(0, bool)
         #: (hash, item) entries, sorted; an entry's place is its seed number
         self.seed_hash, self.seed_item = flat[new], owners[new]
+        #: By seed number: how many items have the seed.
+        self.shared = np.searchsorted(self.seed_hash, self.seed_hash, "right") - np.searchsorted(self.seed_hash, self.seed_hash, "left")
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.seed_hash >> np.uint64(44)] = True
+        #: All items' words in one array, and where each item begins.
+        self.begins = np.r_[0, np.cumsum([len(x) for x in self.items])].astype(np.int64)
+        self.words = np.concatenate(self.items) if self.items else np.empty(0, np.int32)
 
-    def hashes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the runs of known words, and where the runs start."""
-        n = self.seed_words
+    def hashes(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of n known words, and where the runs start."""
         if len(ids) < n:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         known = np.r_[0, np.cumsum(ids > 0)]
         at = np.flatnonzero(known[n:] - known[:-n] == n)
-        h = np.zeros(len(at), np.uint64)
+        h = np.full(len(at), n, np.uint64)
         wide = ids.astype(np.uint64)
         for k in range(n):
             h = (h ^ wide[at + k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -88,7 +99,8 @@ class Index:
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(seed number, place) of every seed in a text."""
-        h, at = self.hashes(ids)
+        found = [self.hashes(ids, n) for n in self.lengths]
+        h, at = (np.concatenate([x[i] for x in found]) for i in range(2)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
         maybe = self.filter[h >> np.uint64(44)]
         h, at = h[maybe], at[maybe]
         low, high = np.searchsorted(self.seed_hash, h, "left"), np.searchsorted(self.seed_hash, h, "right")
@@ -96,20 +108,29 @@ class Index:
         first = np.repeat(low - np.r_[0, np.cumsum(times)[:-1]] if len(times) else low, times)
         return first + np.arange(int(times.sum())), np.repeat(at, times)
 
-
-def windows(ids: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """The words around the seeds' places, -1 between windows that don't meet."""
-    out, begin, end = [], None, 0
-    for p in np.sort(places).tolist():
-        s, e = max(0, p - 2 * length), p + 2 * length
-        if begin is None:
-            begin, end = s, e
-        elif s <= end:
-            end = max(end, e)
-        else:
-            out += [ids[begin:end], np.array([-1], np.int32)]
-            begin, end = s, e
-    return np.concatenate([*out, ids[begin:end]])
+    def reach(self, ids: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """The share of each item's words that a text holds: no alignment scores more."""
+        here = np.zeros(len(self.vocabulary) + 1, bool)
+        here[ids] = True
+        sizes = self.begins[items + 1] - self.begins[items]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.begins[items] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        held = np.r_[0, np.cumsum(here[self.words[at]])]
+        return (held[ends] - held[ends - sizes]) / sizes
+
+
+def windows(ids: np.ndarray, places: np.ndarray, length: int, shared: np.ndarray) -> np.ndarray:
+    """The words around the seeds' places, -1 between windows that don't meet; those
+    with the rarest seed (the least of `shared`) first."""
+    order = np.argsort(places, kind="stable")
+    places, shared = places[order], shared[order]
+    first = np.flatnonzero(np.r_[True, np.diff(places) > 4 * length])
+    rarest = np.minimum.reduceat(shared, first)
+    out = []
+    for k in np.argsort(rarest, kind="stable").tolist():
+        last = (first[k + 1] if k + 1 < len(first) else len(places)) - 1
+        out += [ids[max(0, places[first[k]] - 2 * length) : places[last] + 2 * length], np.array([-1], np.int32)]
+    return np.concatenate(out[:-1])
 
 
 def alignment(item: np.ndarray, passage: np.ndarray) -> int:
@@ -123,6 +144,8 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> int:
             new[1:] = np.maximum(row[:-1] + np.where(part == word, 1, -1), row[1:] - 1)
             row = np.maximum.accumulate(np.maximum(new, 0) + steps) - steps
             best = max(best, int(row.max()))
+        if best == len(item):
+            break
     return best
 
 
@@ -141,7 +164,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int |
         yield block
 
 
-def _scan(docs: DataFrame, index) -> DataFrame:
+def _scan(docs: DataFrame, index, least_score: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Index = index.value
         schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("passage", pa.list_(pa.int32()))])
@@ -152,10 +175,13 @@ def _scan(docs: DataFrame, index) -> DataFrame:
                 seeds, places = found.hits(ids)
                 if not len(seeds):
                     continue
-                items = found.seed_item[seeds]
-                for item in np.unique(items).tolist():
-                    mine = items == item
-                    out.append((doc_id.as_py(), item, windows(ids, places[mine], len(found.items[item]))))
+                order = np.argsort(found.seed_item[seeds], kind="stable")
+                seeds, places = seeds[order], places[order]
+                items, first = np.unique(found.seed_item[seeds], return_index=True)
+                last = np.r_[first[1:], len(seeds)]
+                for k in np.flatnonzero(found.reach(ids, items) >= least_score).tolist():
+                    mine, item = slice(first[k], last[k]), int(items[k])
+                    out.append((doc_id.as_py(), item, windows(ids, places[mine], len(found.items[item]), found.shared[seeds[mine]])))
             for at in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[at : at + 2000], strict=True), schema, strict=True)], schema=schema)
 
@@ -170,7 +196,7 @@ def _align(hits: DataFrame, index, least_score: float) -> DataFrame:
             out = []
             for doc_id, item, passage in zip(*[b.column(i) for i in range(3)], strict=True):
                 words, own = passage.values.to_numpy(), item.as_py()
-                # no alignment has more matches than the item has words of the passage
+                # again for the passage alone, which is less than the text
                 if np.isin(found.items[own], words).sum() / len(found.items[own]) < least_score:
                     continue
                 key = (own, words.tobytes())
@@ -195,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
         if not len(index.seed_hash):
             continue
         shared = sc.broadcast(index)
-        hits = shared_table(_scan(docs, shared), owner, "hits")
+        hits = shared_table(_scan(docs, shared, least_score), owner, "hits")
         found.append(_align(hits, shared, least_score))
     if not found:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double")

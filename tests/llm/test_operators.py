@@ -455,17 +455,55 @@ def test_decontamination(spark, docs, empty):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     w = item.split()
     edited = " ".join([*w[:6], "changed", *w[7:12], "an", "insert", *w[12:]])
-    texts = ["pre " * 30 + item.upper() + " post" * 40, "x " + edited, " ".join(w[:6]) + " something else entirely", None, "", "clean text " * 50, item + " " + "pad " * 5000 + item]
-    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, item, 1)], "doc_id long, text string, score int")
+    texts = ["pre " * 30 + item.upper() + " post" * 40, "x " + edited, " ".join(w[:6]) + " something else entirely", None, "", "clean text " * 50, item + " " + "pad " * 5000 + item, "this is Too short!", "too long, not short, too short"]
+    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, item, 1), (7, texts[7], 1)], "doc_id long, text string, score int")
     bench = spark.createDataFrame([(7, item, "x"), (8, "too short", "x"), (9, None, "x"), (7, item, "y")], "item_id long, text string, TEXT string")
     got = decontamination.contaminated(d, bench).collect()
-    assert Counter((r["doc_id"], r["item_id"]) for r in got) == {(k, 7): 2 for k in (0, 1, 6, None)}
+    assert Counter((r["doc_id"], r["item_id"]) for r in got) == {(k, 7): 2 for k in (0, 1, 6, None)} | {(7, 8): 2, (8, 8): 1}
+    assert sum(r["item_id"] == 8 for r in got) == 3
     assert all(r["score"] == 1.0 for r in got if r["doc_id"] != 1) and all(0.6 <= r["score"] < 1 for r in got if r["doc_id"] == 1)
     blocks = decontamination.contaminated(d, bench, block_words=10).collect()
     assert Counter(tuple(r) for r in blocks) == Counter(tuple(r) for r in got)
     assert decontamination.contaminated(empty, bench).count() == 0 == decontamination.contaminated(docs, bench.limit(0)).count()
 
 
+def test_decontamination_is_the_plain_search(spark):
+    """Every document against every item: a shared seed, then the whole document aligned."""
+    rng = np.random.default_rng(11)
+    common = [f"stock{i}" for i in range(8)]
+    items = [[*common, *[f"i{k}w{j}" for j in range(12)]] for k in range(12)]
+    texts = []
+    for k in range(60):
+        words = [f"pad{j}" for j in rng.integers(0, 50, 40)]
+        item = items[int(rng.integers(12))]
+        part = item[: int(rng.integers(4, 21))] if k % 2 else [w if rng.random() > 0.15 else "edit" for w in item]
+        texts.append(" ".join([*words[:20], *part, *words[20:], *(common if k % 3 else [])]))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        number = {}
+        words = np.array([number.setdefault(w, len(number)) for w in t.split()])
+        for k, item in enumerate(items):
+            own = np.array([number.get(w, -9) for w in item])
+            seeded = {tuple(words[j : j + 5].tolist()) for j in range(len(words) - 4)} & {tuple(own[j : j + 5].tolist()) for j in range(len(own) - 4)}
+            score = decontamination.alignment(own, words) / len(item)
+            if seeded and score >= decontamination.LEAST_SCORE:
+                want[i, k] = round(score, 6)
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(d, bench).collect()} == want and len(want) > 15
+
+
+def test_stock_phrases_make_no_rows():
+    stock = "the stock phrase that all items share"
+    index = decontamination.Index([(k, f"{stock} " + " ".join(f"i{k}w{j}" for j in range(9))) for k in range(500)])
+    ids = index.numbers(decontamination.words_of(f"{stock} " * 3))
+    seeds, _ = index.hits(ids)
+    items = np.unique(index.seed_item[seeds])
+    assert len(items) == 500 and index.shared[seeds].min() == 500 and not (index.reach(ids, items) >= 0.6).any()
+    rare = decontamination.windows(np.arange(1, 1000, dtype=np.int32), np.array([10, 500, 900]), 5, np.array([3, 9, 1]))
+    assert rare[0] == 891 and rare.tolist().count(-1) == 2
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(1)
     for _ in range(100):

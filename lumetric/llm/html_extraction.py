@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, take
-from .html_blocks import N_NUMBERS, PATH_BUCKETS, WORD_BUCKETS, Block, blocks, numbers, word_buckets
+from .html_blocks import N_NUMBERS, PATH_BUCKETS, WORD_BUCKETS, Block, Path, blocks, numbers, word_buckets
 
 PATH_DIM, OWN_DIM, WORD_DIM, HIDDEN = 12, 8, 8, 16
 INPUT = PATH_DIM + OWN_DIM + WORD_DIM + N_NUMBERS
@@ -166,7 +166,10 @@ class Composer:
         if kind == "comments":
             return "".join(f"<div{self.attrs('comments')}><p>{self.phrase('comments')}</p><p>{self.prose(1, 3)}</p></div>" for _ in range(r.randint(1, 5)))
         if kind == "form":
-            return f"<form><label>{self.phrase('form')}</label><input><button>{self.phrase('form')}</button>{self.mixed('form')}</form>"
+            choice = "<select>" + "".join(f"<option>{self.phrase('form')}" for _ in range(3)) + "</select>" if r.random() < 0.3 else ""
+            return f"<form><label>{self.phrase('form')}</label><input>{choice}<button>{self.phrase('form')}</button>{self.mixed('form')}</form>"
+        if kind == "notice" and r.random() < 0.2:
+            return f"<noscript>{self.mixed('notice')}</noscript>"
         if kind == "footer" and r.random() < 0.5:
             return f"&copy; {r.choice(self.words)}.example.com &middot; {self.sentence(2, 12)}"
         tag = r.choice(["p", "div", "span", "p"])
@@ -231,17 +234,29 @@ class Labeller:
     def inputs(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """What the network reads: for each page, a row for each block."""
         path, own, word = (self.p[k].astype(np.float32) for k in ("path", "own", "word"))
-        known: dict[tuple, np.ndarray] = {}
+        sums_of: dict[int, np.ndarray] = {}  # by path: the sum of its tokens' embeddings
+        known: dict[int, np.ndarray] = {}
+        none = np.zeros(PATH_DIM + OWN_DIM, np.float32)
+
+        def read_path(node: Path) -> np.ndarray:
+            chain = []
+            while node.above is not None and id(node) not in sums_of:
+                chain.append(node)
+                node = node.above
+            total = sums_of.get(id(node), none[:PATH_DIM])
+            for node in reversed(chain):
+                total = sums_of[id(node)] = total + path[list(node.tokens)].sum(axis=0)
+            return np.concatenate([total / max(node.count, 1), own[list(node.tokens)].mean(axis=0)]) if node.count else none
+
         words: list[int] = []
         starts, paths, rest = [], [], []
         for page in pages:
             for i, b in enumerate(page):
-                if b.path not in known:
-                    flat = [t for tokens in b.path for t in tokens]
-                    known[b.path] = np.concatenate([path[flat].mean(axis=0), own[list(b.path[-1])].mean(axis=0)]) if flat else np.zeros(PATH_DIM + OWN_DIM, np.float32)
+                if id(b.path) not in known:
+                    known[id(b.path)] = read_path(b.path)
                 starts.append(len(words))
                 words += word_buckets(b.text) or [0]
-                paths.append(known[b.path])
+                paths.append(known[id(b.path)])
                 rest.append(numbers(b, i, len(page)))
         sums = np.add.reduceat(word[words], starts, axis=0) / np.diff([*starts, len(words)])[:, None]
         x = np.concatenate([paths, sums, np.array(rest)], axis=1, dtype=np.float32)
@@ -307,8 +322,8 @@ class Labeller:
         data = []
         for found in pages:
             data.append((
-                shares([[t for tokens in b.path for t in tokens] for b in found], PATH_BUCKETS),
-                shares([list(b.path[-1]) if b.path else [] for b in found], PATH_BUCKETS),
+                shares([b.path.flat() for b in found], PATH_BUCKETS),
+                shares([list(b.path.tokens) for b in found], PATH_BUCKETS),
                 shares([word_buckets(b.text) for b in found], WORD_BUCKETS),
                 np.array([numbers(b, i, len(found)) for i, b in enumerate(found)]),
                 np.array([float(b.label or 0) for b in found]),
@@ -379,7 +394,8 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                found = [blocks(x.as_py()) for x in b.column(2)]
+                root = Path()
+                found = [blocks(x.as_py(), root) for x in b.column(2)]
                 keep = shared.value.label(found)
                 texts = ["\n".join(x.text for x, k in zip(page, flags, strict=True) if k) for page, flags in zip(found, keep, strict=True)]
                 yield pa.RecordBatch.from_arrays(

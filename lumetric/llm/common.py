@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Folds of the labelled documents, of which one is held out.
+FOLDS = 5
+
 _TABLES: dict[str, list[tuple[SparkSession, str]]] = {}
 
 
@@ -31,6 +34,21 @@ def take(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{at.index(n)}").alias(n) for n in names])
 
 
+def held_out() -> F.Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int, salt: int) -> DataFrame:
+    """row, text and the label of at most `most` labelled documents outside the held-out
+    fold; of rows that share a doc_id, the text with the least hash."""
+    rows = take(docs, "doc_id", "text").where(F.col("text").isNotNull())
+    marks = take(labels, "doc_id", column).where(F.col(column).isin(0, 1) & ~held_out())
+    marks = marks.groupBy("doc_id").agg(F.max(column).alias(column))
+    few = marks.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(most)
+    one = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id", column).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("best"))
+    return one.select(F.col("doc_id").cast("bigint").alias("row"), F.col("best.text").alias("text"), column)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir.
 

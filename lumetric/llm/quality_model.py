@@ -20,7 +20,8 @@ Defined results
     null or empty text   features of an empty text
     null host or path    a group of its own
     very long text       whole text
-    repeated rows        each counts
+    repeated rows        each counts; of rows that share a labelled doc_id one text is
+                         learned from
     null doc_id          not held out
     null label           not learned from
     no usable labels     evidence 0 everywhere
@@ -38,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_table, take
+from .common import held_out, labelled, read, shared_table, take
 
-MOST_LABELLED, FOLDS = 8_000, 5
+MOST_LABELLED = 8_000
 BROADCAST_PATHS = 100_000
 #: Bounds of the shrinkage strengths, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 10_000.0
@@ -108,17 +109,16 @@ class Evidence:
         return np.clip(self.design(x) @ self.weights, -12, 12)
 
 
-def held_out() -> F.Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Evidence:
+    """Features are computed where the texts are; the driver gets these alone."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([text_features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))], ["row", "quality", "x"])
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Evidence:
-    rows = take(docs, "doc_id", "text")
-    marks = take(labels, "doc_id", "quality").where(F.col("quality").isin(0, 1) & ~held_out())
-    few = marks.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "quality").limit(most)
-    sample = rows.join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality").toArrow().sort_by([("doc_id", "ascending")])
-    texts, y = sample.column("text").to_pylist()[: 2 * most], np.array(sample.column("quality").to_pylist()[: 2 * most], dtype=float)
-    return Evidence().fit(np.array([text_features(t) for t in texts]).reshape(-1, N_FEATURES), y)
+    sample = labelled(docs, labels, "quality", most, 7).withColumn("quality", F.col("quality").cast("bigint"))
+    held = sorted(zip(*[c.to_pylist() for c in sample.mapInArrow(run, "row bigint, quality bigint, x array<double>").toArrow().columns], strict=True))
+    return Evidence().fit(np.array([x for *_, x in held]).reshape(-1, N_FEATURES), np.array([y for _, y, _ in held], float))
 
 
 def evidence(docs: DataFrame, model: Evidence, host: str = "source", path: str = "lang") -> DataFrame:

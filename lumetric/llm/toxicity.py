@@ -3,28 +3,33 @@
 Five transducers are composed:
 
     lexicon    letters of a word -> its class (insult, threat, target, negation,
-               report) and weight; a trie whose arcs may end in "any continuation"
-    negation   marks what stands within NEGATION_REACH words of a negation
-    report     marks what follows a verb of speech, to the end of its clause
+               report, contrast) and weight; a trie whose arcs may end in "any continuation"
+    negation   marks what stands within NEGATION_REACH words of a negation, up to a comma
+    report     marks what follows a verb of speech
     target     marks an insult that stands near a word of address
-    threat     a threat counts only where a target follows in the same clause
+    threat     a threat counts only where a target follows in the same clause; it
+               turns marked classes into kinds of matches
 
-The composition reads word classes, restarts at every clause end, and emits a
-kind for each match: insult or threat, plain or aimed, negated, reported. A
+The last four read and write symbols, one for each word or break. Each is a machine of its
+own; compose() makes one of two, and the composition is tabulated once over its
+reachable states. The end of a clause and a contrast ("but") reset all of them, a
+comma the negation. A kind is insult or threat, plain or aimed, negated, reported. A
 document's features are its matched weights by kind, how many clauses matched,
 and how many of its words that is; a logistic model, shrunk towards the grammar's
 own weights, turns them into a score.
 
-Threat, target, negation and report words are fixed. Insults are learned: words
-and word beginnings that toxic documents hold far more often than others, chosen
+Threat, target, negation, report and contrast words are fixed. Insults are learned:
+words and word beginnings that toxic documents hold far more often than others, chosen
 greedily by likelihood ratio, on at most MOST_LABELLED labelled documents outside
 the held-out fold (crc32(doc_id) mod 5 = 0). Labels, language, source and doc_id
-are no inputs of a score.
+are no inputs of a score. Texts stay on the executors: the driver gets the counts of
+strong patterns, which documents hold them, and features.
 
 Defined results
     null or empty text   no match: the score of a document without matches
     very long text       whole text, clause by clause
-    repeated rows        each row is scored by itself
+    repeated rows        each row is scored by itself; of rows that share a labelled
+                         doc_id one text is learned from
     null doc_id          not held out; scored
     null label           not learned from
     no usable labels     fixed parts only, at the grammar's own weights
@@ -36,39 +41,42 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, take
+from .common import held_out, labelled, read, shared_table, take
 
-#: The bound of the labelled sample, and the folds of which one is held out.
-MOST_LABELLED, FOLDS = 8_000, 5
+#: The bound of the labelled sample.
+MOST_LABELLED = 8_000
 NEGATION_REACH, TARGET_REACH, THREAT_REACH = 3, 4, 5
-#: Insults: least toxic documents, least likelihood ratio of a pattern, most patterns.
-LEAST_DOCS, LEAST_RATIO, MOST_PATTERNS = 4, 12.0, 400
+#: Insults: least toxic documents, least likelihood ratio of a pattern.
+LEAST_DOCS, LEAST_RATIO = 4, 12.0
 PREFIXES = (4, 5, 6, 7)
+OWNER = "toxicity"
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+INSULT, THREAT, TARGET, NEGATION, REPORT, CONTRAST, OTHER, COMMA, END = range(9)
 #: Words of the fixed classes (English, German, French, Spanish).
 FIXED = {
     THREAT: "kill killing murder hurt beat stab shoot strangle burn destroy töten umbringen schlagen verletzen tuer frapper détruire brûler matar golpear destruir quemar",
     TARGET: "you your yours yourself he him his she her they them their dich dir dein ihr euch sie tu toi ton vous votre lui eux tú ti te usted vosotros ellos",
     NEGATION: "not never no nobody nor neither cannot don doesn didn isn aren wasn won nicht nie kein keine niemals pas jamais aucun nunca jamás ningún tampoco",
     REPORT: "said says say wrote writes quoted quotes reported claims claimed called according sagte schrieb meinte laut dit écrit déclaré selon dijo escribió según",
+    CONTRAST: "but however although though whereas aber sondern jedoch obwohl mais cependant pourtant pero sino aunque",
 }
 #: Kinds of matches (kind, aimed, negated, reported) and the grammar's own weights.
 KINDS = list(product((INSULT, THREAT), (False, True), (False, True), (False, True)))
 OWN_WEIGHT = [(1.0 if kind == INSULT else 0.8) * (1.3 if aimed else 1.0) * (0.3 if negated else 1.0) * (0.6 if reported else 1.0) for kind, aimed, negated, reported in KINDS]
 OWN_BIAS = -3.0
 
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
-_CLAUSE_END = frozenset(".!?;\n")
+_TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n,]")
+_WORD = re.compile(r"[^\W\d_]+")
+_BREAKS = dict.fromkeys(".!?;\n", END) | {",": COMMA}
 
 
 class Lexicon:
@@ -100,41 +108,93 @@ class Lexicon:
         return self.whole.get(at, best)
 
 
-def composed() -> tuple[list[list[int]], list[list[int]]]:
-    """(next state, kind or -1) by state and class: negation, report, target and
-    threat run side by side. A state is (words a negation still reaches, reported,
-    words a target still reaches, words a threat still waits, whether it was
-    negated)."""
-    number, order, nexts, outs = {(0, False, 0, 0, False): 0}, [(0, False, 0, 0, False)], [], []
-    kind_of = {k: i for i, k in enumerate(KINDS)}
-    for neg, rep, tar, thr, thr_neg in order:
-        row_next, row_out = [], []
-        for c in range(6):
-            out = -1
-            neg2, rep2, tar2, thr2, was = max(neg - 1, 0), rep, max(tar - 1, 0), max(thr - 1, 0), thr_neg
-            if c == NEGATION:
-                neg2 = NEGATION_REACH
-            elif c == REPORT:
-                rep2 = True
-            elif c == TARGET:
-                tar2 = TARGET_REACH
-                if thr:
-                    out, thr2 = kind_of[THREAT, True, thr_neg, rep], 0
-            elif c == THREAT:
-                thr2, was = THREAT_REACH, neg > 0
-            elif c == INSULT:
-                out = kind_of[INSULT, tar > 0, neg > 0, rep]
-            new = (neg2, rep2, tar2, thr2, was and thr2 > 0)
+@dataclass(frozen=True)
+class Machine:
+    """A sequential transducer: step(state, symbol) -> (state, symbol written)."""
+
+    start: Hashable
+    step: Callable
+
+
+def compose(first: Machine, second: Machine) -> Machine:
+    """What `first` writes, `second` reads."""
+
+    def step(state, symbol):
+        one, between = first.step(state[0], symbol)
+        two, written = second.step(state[1], between)
+        return (one, two), written
+
+    return Machine((first.start, second.start), step)
+
+
+def negation(reach: int = NEGATION_REACH) -> Machine:
+    """class -> (class, negated); a state is how many words a negation still reaches."""
+
+    def step(left: int, kind: int):
+        after = reach if kind == NEGATION else 0 if kind in (COMMA, CONTRAST, END) else max(left - 1, 0)
+        return after, (kind, left > 0)
+
+    return Machine(0, step)
+
+
+def report() -> Machine:
+    """Adds whether a verb of speech came before in the clause."""
+
+    def step(said: bool, symbol: tuple):
+        kind = symbol[0]
+        return kind == REPORT or (said and kind not in (CONTRAST, END)), (*symbol, said)
+
+    return Machine(False, step)
+
+
+def target(reach: int = TARGET_REACH) -> Machine:
+    """Adds whether a word of address stands near before."""
+
+    def step(left: int, symbol: tuple):
+        kind = symbol[0]
+        after = reach if kind == TARGET else 0 if kind in (CONTRAST, END) else left if kind == COMMA else max(left - 1, 0)
+        return after, (*symbol, left > 0)
+
+    return Machine(0, step)
+
+
+def threat(reach: int = THREAT_REACH) -> Machine:
+    """(class, negated, reported, aimed) -> the kind of a match, or -1; a state is how many
+    words a threat still waits for its target, and whether it was negated."""
+    number = {k: i for i, k in enumerate(KINDS)}
+
+    def step(state: tuple[int, bool], symbol: tuple):
+        (left, was_negated), (kind, negated, reported, aimed) = state, symbol
+        if kind == THREAT:
+            return (reach, negated), -1
+        if kind == TARGET and left:
+            return (0, False), number[THREAT, True, was_negated, reported]
+        written = number[INSULT, aimed, negated, reported] if kind == INSULT else -1
+        after = 0 if kind in (CONTRAST, END) else left if kind == COMMA else max(left - 1, 0)
+        return (after, was_negated and after > 0), written
+
+    return Machine((0, False), step)
+
+
+def tabulated(machine: Machine, symbols: Iterable[int]) -> tuple[list[list[int]], list[list[int]]]:
+    """(next state, symbol written) by state and symbol, over the reachable states; 0 is the start."""
+    symbols = list(symbols)
+    number, order, nexts, outs = {machine.start: 0}, [machine.start], [], []
+    for state in order:
+        row = [machine.step(state, symbol) for symbol in symbols]
+        for new, _ in row:
             if new not in number:
                 number[new] = len(order)
                 order.append(new)
-            row_next.append(number[new])
-            row_out.append(out)
-        nexts.append(row_next)
-        outs.append(row_out)
+        nexts.append([number[new] for new, _ in row])
+        outs.append([written for _, written in row])
     return nexts, outs
 
 
+def clause_machine() -> Machine:
+    return compose(compose(compose(negation(), report()), target()), threat())
+
+
 class Grammar:
     """Compiled lexicon and clause machine, and the model over their matches."""
 
@@ -147,7 +207,7 @@ class Grammar:
                 self.lexicon.add(word, kind, 1.0)
         for word, weight, prefix in insults:
             self.lexicon.add(word, INSULT, weight, prefix)
-        self.nexts, self.outs = composed()
+        self.nexts, self.outs = tabulated(clause_machine(), range(END + 1))
         self.memo: dict[str, tuple[int, float]] = {}
         self.model = np.r_[OWN_BIAS, OWN_WEIGHT, 0.3, 0.0, 0.0]
 
@@ -160,15 +220,15 @@ class Grammar:
         for token in _TOKEN.findall((text or "").lower()):
             found = memo.get(token)
             if found is None:
-                found = memo[token] = (-1, 0.0) if token in _CLAUSE_END else lexicon.read(token)
+                found = memo[token] = (_BREAKS[token], 0.0) if token in _BREAKS else lexicon.read(token)
             kind, weight = found
             if kind == OTHER and still:
                 words += 1
                 continue
-            if kind < 0:
+            if kind == END:
                 clauses, hit, state, still = clauses + hit, False, 0, True
                 continue
-            words += 1
+            words += kind != COMMA
             emitted = self.outs[state][kind]
             state = self.nexts[state][kind]
             still = state == 0
@@ -184,68 +244,83 @@ class Grammar:
         return 1 / (1 + math.exp(-max(min(z, 30), -30)))
 
 
-def ratio(a: int, b: int, pos: int, neg: int) -> float:
-    """The likelihood ratio of a pattern in a of pos and b of neg documents; 0 if it speaks against."""
-    if a * neg <= b * pos:
-        return 0.0
-    rate = (a + b) / (pos + neg)
-
-    def part(k: int, n: int, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k else 0.0)
-
-    return 2 * (part(a, pos, a / pos) + part(b, neg, b / neg if neg else 0.0) - part(a + b, pos + neg, min(max(rate, 1e-12), 1 - 1e-12)))
+def ratio(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """The likelihood ratio of patterns in a of pos and b of neg documents; 0 where one speaks against."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+
+    def part(k: np.ndarray, n: int) -> np.ndarray:
+        return k * np.log(np.maximum(k, 1) / n) + (n - k) * np.log(np.maximum(n - k, 1) / n)
+
+    return np.where(a * neg > b * pos, 2 * (part(a, pos) + part(b, neg) - part(a + b, pos + neg)), 0.0)
+
+
+def keys_of(text: str, fixed: frozenset[str]) -> set[str]:
+    """A text's words and, with a star, their beginnings."""
+    words = set(_WORD.findall(text.lower())) - fixed
+    return words | {f"{w[:k]}*" for w in words for k in PREFIXES if len(w) > k}
+
+
+def weight(a: int, b: int, pos: int, neg: int) -> float:
+    return math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1))
+
+
+def chosen(names: list[str], a: np.ndarray, b: np.ndarray, holders: dict[int, list[int]], pos: int, neg: int) -> list[tuple[str, float, bool]]:
+    """(word or beginning, weight, is beginning), greedily: each must tell apart the
+    toxic documents that those before it don't reach. a, b: toxic and other
+    documents with each name; holders: the names of each toxic document. Of equals the
+    longer, then the later in the alphabet goes first."""
+    order = sorted(range(len(names)), key=lambda i: (len(names[i].rstrip("*")), names[i]), reverse=True)
+    place = np.empty(len(names), int)
+    place[order] = np.arange(len(names))
+    names, a, b = [names[i] for i in order], np.asarray(a)[order], np.asarray(b)[order]
+    of_doc = {d: place[np.asarray(found, int)] for d, found in holders.items()}
+    docs_of: list[list[int]] = [[] for _ in names]
+    for d, found in of_doc.items():
+        for i in found:
+            docs_of[i].append(d)
+    left, gains, out = a.copy(), ratio(a, b, pos, neg), []
+    while len(names) and gains.max() >= LEAST_RATIO:
+        best = int(gains.argmax())
+        out.append(best)
+        for d in docs_of[best]:
+            np.subtract.at(left, of_doc.pop(d, np.empty(0, int)), 1)
+        gains = np.where(left >= LEAST_DOCS / 2, ratio(left, b, pos, neg), 0.0)
+        gains[out] = 0.0
+    # what was left uncovered only because others came first still counts as an insult
+    rest = [i for i in range(len(names)) if i not in set(out) and not names[i].endswith("*") and a[i] >= 10 * max(b[i], 1)]
+    return [(names[i].rstrip("*"), weight(a[i], b[i], pos, neg), names[i].endswith("*")) for i in out + rest]
 
 
-def patterns(texts: list[str], toxic: np.ndarray) -> list[tuple[str, float, bool]]:
-    """(word or beginning, weight, is beginning), greedily: each must tell apart
-    the documents that those before it don't reach."""
-    fixed = {w for words in FIXED.values() for w in words.split()}
-    pos, neg = int(toxic.sum()), int(len(toxic) - toxic.sum())
+def patterns(sample: DataFrame) -> list[tuple[str, float, bool]]:
+    """sample: a stored table of row (a key), text (never null) and toxic (0 or 1)."""
+    fixed = frozenset(w for words in FIXED.values() for w in words.split())
+    pos, total = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    neg = total - pos
     if not pos or not neg:
         return []
-    labels = toxic.tolist()
-
-    def keys(text: str) -> tuple[set[str], set[str]]:
-        words = set(re.findall(r"[^\W\d_]+", text.lower())) - fixed
-        return words, {w[:k] for w in words for k in PREFIXES if len(w) > k}
-
-    # candidates come from the toxic documents alone, which bounds what is counted
-    count: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, label in zip(texts, labels, strict=True):
-        if label:
-            for is_prefix, found in enumerate(keys(text)):
-                count[1].update((k, bool(is_prefix)) for k in found)
-    count = (Counter(), Counter({k: n for k, n in count[1].items() if n >= LEAST_DOCS}))
-    known = tuple({k for k, is_prefix in count[1] if is_prefix == kind} for kind in (False, True))
-    for text, label in zip(texts, labels, strict=True):
-        if not label:
-            for is_prefix, found in enumerate(keys(text)):
-                count[0].update((k, bool(is_prefix)) for k in found & known[is_prefix])
-    strong = {k: ratio(a, count[0][k], pos, neg) for k, a in count[1].items() if a * neg > 10 * pos * count[0][k]}
-    strong = {k for k, v in strong.items() if v >= LEAST_RATIO}
-    holders: dict[tuple[str, bool], set[int]] = {k: set() for k in strong}
-    strong_by = tuple({k for k, is_prefix in strong if is_prefix == kind} for kind in (False, True))
-    for i, text in enumerate(texts):
-        for is_prefix, found in enumerate(keys(text)):
-            for k in found & strong_by[is_prefix]:
-                holders[k, bool(is_prefix)].add(i)
-    chosen, open_docs = [], set(range(len(texts)))
-    while strong and len(chosen) < MOST_PATTERNS:
-        def gain(k: tuple[str, bool]) -> tuple[float, int, str]:
-            left = holders[k] & open_docs
-            a = sum(labels[i] for i in left)
-            return ratio(a, len(left) - a, pos, neg) if a >= LEAST_DOCS / 2 else 0.0, len(k[0]), k[0]
-
-        best = max(strong, key=gain)
-        if gain(best)[0] < LEAST_RATIO:
-            break
-        strong.discard(best)
-        a, b = count[1][best], count[0][best]
-        chosen.append((best[0], math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1)), best[1]))
-        open_docs -= {i for i in holders[best] if labels[i]}
-    # what was left uncovered only because others came first still counts as an insult
-    rest = [(k[0], math.log((count[1][k] + 0.5) / (pos + 1)) - math.log((count[0][k] + 0.5) / (neg + 1)), k[1]) for k in sorted(strong) if not k[1] and count[1][k] >= 10 * max(count[0][k], 1)]
-    return chosen + rest[: MOST_PATTERNS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text, toxic in zip(*[b.column(i) for i in range(3)], strict=True):
+                found = sorted(keys_of(text.as_py(), fixed))
+                for at in range(0, len(found), 10_000):
+                    some = found[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(some), pa.int64()), pa.array([toxic.as_py()] * len(some), pa.int64()), pa.array(some, pa.string())], ["row", "toxic", "name"])
+
+    keys = shared_table(sample.select("row", "text", F.col("toxic").cast("bigint").alias("toxic")).mapInArrow(run, "row bigint, toxic bigint, name string"), OWNER, "keys")
+    a, n = F.sum("toxic"), F.count(F.lit(1))
+    counts = keys.groupBy("name").agg(a.alias("a"), (n - a).alias("b")).where((F.col("a") >= LEAST_DOCS) & (F.col("a") * neg > 10 * pos * F.col("b")))
+
+    def part(k: Column, m: int) -> Column:
+        return k * F.ln(F.greatest(k, F.lit(1)) / m) + (m - k) * F.ln(F.greatest(m - k, F.lit(1)) / m)
+
+    strong = shared_table(counts.where(2 * (part(F.col("a"), pos) + part(F.col("b"), neg) - part(F.col("a") + F.col("b"), pos + neg)) >= LEAST_RATIO), OWNER, "strong")
+    found = strong.orderBy("name").toArrow()
+    names = found.column("name").to_pylist()
+    number, holders = {x: i for i, x in enumerate(names)}, {}
+    for row, name in zip(*[c.to_pylist() for c in keys.where("toxic = 1").join(strong, "name").select("row", "name").orderBy("row", "name").toArrow().columns], strict=True):
+        holders.setdefault(row, []).append(number[name])
+    return chosen(names, found.column("a").to_numpy(), found.column("b").to_numpy(), holders, pos, neg)
 
 
 def fitted(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -262,21 +337,22 @@ def fitted(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0,
     return w
 
 
-def held_out() -> F.Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
-
-
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Grammar:
     """A grammar from at most `most` labelled documents outside the held-out fold."""
-    rows = take(docs, "doc_id", "text").where(F.col("text").isNotNull())
-    marks = take(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out())
-    few = marks.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "toxic").limit(most)
-    sample = rows.join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending")])
-    texts, toxic = sample.column("text").to_pylist()[: 2 * most], np.array(sample.column("toxic").to_pylist()[: 2 * most], dtype=int)
-    grammar = Grammar(patterns(texts, toxic))
+    sample = shared_table(labelled(docs, labels, "toxic", most, 9), OWNER, "sample")
+    grammar = Grammar(patterns(sample))
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [shared.value.features(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["row", "toxic", "x"])
+
+    rows = sample.select("row", "text", F.col("toxic").cast("bigint").alias("toxic")).mapInArrow(run, "row bigint, toxic bigint, x array<double>")
+    held = sorted(zip(*[c.to_pylist() for c in rows.toArrow().columns], strict=True))
+    toxic = np.array([t for _, t, _ in held], float)
     if 0 < toxic.sum() < len(toxic):
-        x = np.array([grammar.features(t) for t in texts])
-        grammar.model = fitted(x, toxic.astype(float), grammar.model)
+        grammar.model = fitted(np.array([x for *_, x in held]), toxic, grammar.model)
     grammar.memo = {}
     return grammar
 

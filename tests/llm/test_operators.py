@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumetric.llm import bpe, decontamination, html_blocks, html_extraction, line_dedup, quality_model, quality_rules, registry, simhash, token_store, toxicity, warc
-from lumetric.llm.common import read
+from lumetric.llm.common import labelled, read
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns whose names clash with inputs (by case) and with outputs.
@@ -483,6 +483,66 @@ def test_quality_model_rows(spark, docs, empty):
     assert quality_model.posterior(empty, model).count() == 0
 
 
+def plain_posterior(data, model):
+    """(doc_id, host, path, text) rows: the same sums group by group, each document left out by hand."""
+    odds = [float(model.log_odds(np.array([quality_model.text_features(t)]))[0]) for *_, t in data]
+    p = [1 / (1 + np.exp(-z)) for z in odds]
+    base = min(max(sum(p) / len(p), 1e-4), 1 - 1e-4)
+
+    def groups(key):
+        out = defaultdict(list)
+        for r, x in zip(data, p, strict=True):
+            out[key(r)].append(x)
+        return out
+
+    def strength(found):
+        usable = [g for g in found.values() if len(g) >= 2]
+        if len(usable) < 2:
+            return quality_model.MOST_STRENGTH
+        spread = np.mean([(np.mean(g) - base) ** 2 for g in usable])
+        between = max(spread - base * (1 - base) * np.mean([1 / len(g) for g in usable]), 1e-9)
+        return min(max(base * (1 - base) / between - 1, quality_model.LEAST_STRENGTH), quality_model.MOST_STRENGTH)
+
+    hosts, paths = groups(lambda r: r[1]), groups(lambda r: (r[1], r[2]))
+    k_host, k_path, out = strength(hosts), strength(paths), []
+    for r, z, x in zip(data, odds, p, strict=True):
+        host, path = hosts[r[1]], paths[r[1], r[2]]
+        host_rate = (k_host * base + max(sum(host) - x, 0)) / (k_host + len(host) - 1)
+        path_rate = (k_path * host_rate + max(sum(path) - x, 0)) / (k_path + len(path) - 1)
+        rate = min(max(path_rate, 1e-4), 1 - 1e-4)
+        out.append((r[0], host_rate, path_rate, 1 / (1 + np.exp(-(z - model.base + np.log(rate / (1 - rate)))))))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("broadcast_paths", [10**6, 0])
+def test_quality_posterior_is_the_plain_one(spark, docs, broadcast_paths):
+    rng = np.random.default_rng(6)
+    more = [(1000 + i, " ".join(f"w{j}" for j in rng.integers(0, 60, int(rng.integers(1, 200)))) + "!" * int(rng.integers(0, 9)), f"h{i % 7 * (i % 2)}", f"p{i % 3}") for i in range(150)]
+    data = [(r[1], r[4], r[3], r[2]) for r in rows()] + [(i, h, p, t) for i, t, h, p in more]
+    x = np.array([quality_model.text_features(t) for *_, t in data])
+    model = quality_model.Evidence().fit(x, (x[:, 0] > np.median(x[:, 0])).astype(float))
+    d = spark.createDataFrame([(i, t, h, p) for i, h, p, t in data], "doc_id long, text string, source string, lang string")
+    got = sorted(((r["doc_id"], r["host_rate"], r["path_rate"], r["score"]) for r in quality_model.posterior(d, model, broadcast_paths=broadcast_paths).collect()), key=repr)
+    want = {k: sorted(v) for k, v in groupby_id(plain_posterior(data, model)).items()}
+    for k, v in groupby_id(got).items():
+        assert np.allclose(sorted(v), want[k], rtol=1e-9, atol=1e-12)
+
+
+def groupby_id(found):
+    out = defaultdict(list)
+    for k, *v in found:
+        out[k].append(v)
+    return out
+
+
+def test_hot_labelled_ids_are_learned_from_once(spark):
+    d = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (2, None), (2, 7)], "doc_id long, quality int")
+    got = labelled(d, labels, "quality", 100, 7).collect()
+    held = {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sorted((r["row"], r["quality"]) for r in got) == [x for x in [(1, 1), (2, 0)] if x[0] not in held]
+
+
 def test_sparse_sites_shrink(spark):
     d = spark.createDataFrame([(i, "x", "big" if i < 400 else f"s{i}", "p") for i in range(403)], "doc_id long, text string, source string, lang string")
     model = quality_model.Evidence()
@@ -502,6 +562,103 @@ def test_grammar_reads_clauses():
     assert score["you are an idiot"] > score["the idiot box"] > score["you are not an idiot"]
     assert score["he said you are an idiot"] < score["you are an idiot"]
     assert score["i will kill you"] > score["kill the lights"] == score[""] == score["nice day"]
+    assert g.score("not today, you idiot") > g.score("you are not an idiot")
+    assert g.score("he said hello but you are an idiot") > g.score("he said you are an idiot")
+
+
+def plain_matches(classes):
+    """The five machines by definition, one after the other over a list of classes."""
+    T = toxicity
+    out, clause = [], []
+    for at, kind in enumerate([*classes, T.END]):
+        clause.append(kind)
+        if kind not in (T.END, T.CONTRAST):
+            continue
+        words = [i for i, k in enumerate(clause) if k not in (T.COMMA, T.END, T.CONTRAST)]
+        rank = {i: n for n, i in enumerate(words)}
+
+        def near(i, kinds, reach, stop_at_comma=False):
+            for j in range(i - 1, -1, -1):
+                if stop_at_comma and clause[j] == T.COMMA:
+                    return None
+                if j in rank and clause[j] in kinds:
+                    return j if rank[i] - rank[j] <= reach else None
+            return None
+
+        said = [any(k == T.REPORT for k in clause[:i]) for i in range(len(clause))]
+        negated = [i in rank and near(i, (T.NEGATION,), T.NEGATION_REACH, True) is not None for i in range(len(clause))]
+        used = set()
+        for i in words:
+            if clause[i] == T.INSULT:
+                out.append((T.INSULT, near(i, (T.TARGET,), T.TARGET_REACH) is not None, negated[i], said[i]))
+            if clause[i] == T.TARGET:
+                j = near(i, (T.THREAT,), T.THREAT_REACH)
+                if j is not None and j not in used:
+                    used.add(j)
+                    out.append((T.THREAT, True, negated[j], said[i]))
+        clause = []
+    return out
+
+
+def test_the_composition_is_its_machines_in_turn():
+    rng = np.random.default_rng(12)
+    nexts, outs = toxicity.tabulated(toxicity.clause_machine(), range(toxicity.END + 1))
+    kinds = set()
+    for _ in range(4000):
+        classes = rng.choice(9, int(rng.integers(1, 25)), p=[0.2, 0.12, 0.15, 0.12, 0.05, 0.03, 0.25, 0.06, 0.02]).tolist()
+        state, found = 0, []
+        for c in classes:
+            if outs[state][c] >= 0:
+                found.append(toxicity.KINDS[outs[state][c]])
+            state = nexts[state][c]
+        assert found == plain_matches(classes)
+        kinds |= set(found)
+    assert len(kinds) == 12 and len(nexts) < 2000  # every insult, and threats that are aimed
+
+
+def test_composing_two_machines():
+    def plus(n):
+        return toxicity.Machine(0, lambda s, x: ((s + x) % n, s))
+
+    both, one, two = toxicity.compose(plus(3), plus(5)), plus(3), plus(5)
+    s, a, b = both.start, one.start, two.start
+    for x in [1, 2, 2, 0, 1, 1, 2]:
+        s, got = both.step(s, x)
+        a, y = one.step(a, x)
+        b, want = two.step(b, y)
+        assert got == want and s == (a, b)
+
+
+def test_patterns_are_the_plain_greedy_ones(spark):
+    rng, T = np.random.default_rng(13), toxicity
+    data = []
+    for i in range(240):
+        toxic = int(i % 3 == 0)
+        words = [f"common{chr(97 + j)}" for j in rng.integers(0, 20, 12)]
+        if toxic:
+            words += [("zzinsult", "aardvarked", "mean" + chr(97 + i % 5) + "er", "rarely" + chr(97 + i % 26))[int(rng.integers(4))]]
+        data.append((i, " ".join(words), toxic))
+    fixed, pos, neg = frozenset(w for v in T.FIXED.values() for w in v.split()), 80, 160
+    keys = [T.keys_of(t, fixed) for _, t, _ in data]
+    count = Counter((k, y) for found, (*_, y) in zip(keys, data, strict=True) for k in found)
+
+    def score(a, b):
+        def part(k, n):
+            return sum(x * np.log(x / n) for x in (k, n - k) if x)
+
+        return 2 * (part(a, pos) + part(b, neg) - part(a + b, pos + neg)) if a * neg > b * pos else 0.0
+
+    strong = {k for k, y in count if y and count[k, 1] >= T.LEAST_DOCS and count[k, 1] * neg > 10 * pos * count[k, 0] and score(count[k, 1], count[k, 0]) >= T.LEAST_RATIO}
+    left, want = {i for i, (*_, y) in enumerate(data) if y}, []
+    while True:
+        gains = [(round(score(a, count[k, 0]), 9) if a >= T.LEAST_DOCS / 2 else 0.0, len(k.rstrip("*")), k) for k in strong if k not in want for a in [sum(k in keys[i] for i in left)]]
+        if not gains or max(gains)[0] < T.LEAST_RATIO:
+            break
+        want.append(max(gains)[2])
+        left = {i for i in left if want[-1] not in keys[i]}
+    rest = {k for k in strong if k not in want and not k.endswith("*") and count[k, 1] >= 10 * max(count[k, 0], 1)}
+    got = T.patterns(spark.createDataFrame(data, "row long, text string, toxic int"))
+    assert [w + "*" * p for w, _, p in got][: len(want)] == want and {w for w, _, _ in got[len(want) :]} == rest and "zzinsult" in {w for w, *_ in got}
 
 
 def test_toxicity_rows(spark, docs, empty):

@@ -26,8 +26,9 @@ incremental UTF-8 state machine reads them: its states are the unfinished
 sequences (at most 3 bytes), and its transitions by token are memoised. Runs of
 tokens that are whole characters don't leave its first state.
 
-Texts come in Arrow batches bounded by bytes and are split and encoded one after
-the other, very long ones in blocks. A worker holds the machine's table (bounded
+Texts come in Arrow batches bounded by bytes. They are split some megabytes at a
+time, by the classes of their code points; each distinct piece of a part is encoded
+once, and texts of over a million characters go alone, in blocks. A worker holds the machine's table (bounded
 by entries) and a memo of short pieces (bounded by bytes).
 
 Defined results
@@ -45,6 +46,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -291,10 +293,81 @@ class StreamDecoder:
 # ---- splitting -------------------------------------------------------------
 
 SPLIT = regex.compile(public_tokenizers.PATTERN)
+LETTER, NUMBER, SPACE, OTHER = range(4)
+#: What an apostrophe takes of the letters behind it: one of these, or two (fixed values of the pattern).
+ONE, TWO = "stmd", ("re", "ve", "ll")
+
+
+@functools.cache
+def classes() -> np.ndarray:
+    """The pattern's class of every code point."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(name, text):
+            low, high = (x + 0x800 * (x >= 0xD800) for x in (m.start(), m.end() - 1))
+            out[low : high + 1] = kind
+    return out
+
+
+def piece_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where the pattern's matches begin in texts that stand one after the other.
+    points: their code points; text_starts: where each (none empty) begins.
+
+    A match is a run of one class, but for three rules: the last white-space character
+    before a run is a match of its own, or part of the run's if it is a blank; an
+    apostrophe alone that begins a match takes its one or two letters; white space at
+    a text's end is one match.
+    """
+    kind = classes()[points]
+    first = np.zeros(len(points), bool)
+    first[text_starts] = True
+    run = np.flatnonzero(first | np.r_[True, kind[1:] != kind[:-1]])
+    of, size, last = kind[run], np.diff(np.r_[run, len(points)]), np.r_[first[run[1:]], True]
+    begins = np.zeros(len(points) + 1, bool)
+    begins[run] = True
+    after = run[(of == SPACE) & ~last] + size[(of == SPACE) & ~last]  # starts of runs behind white space
+    begins[after - 1] = True
+    begins[after[points[after - 1] == 0x20]] = False
+    at = np.flatnonzero((of == OTHER) & (size == 1) & ~last & (points[run] == ord("'")) & begins[run])
+    at = at[of[at + 1] == LETTER]
+    letters, length = run[at + 1], size[at + 1]
+    one, two = points[letters], points[np.minimum(letters + 1, len(points) - 1)]
+    taken = np.isin(one, [ord(c) for c in ONE]).astype(np.int64)
+    for a, b in TWO:
+        taken[(length > 1) & (one == ord(a)) & (two == ord(b))] = 2
+    letters, length, taken = letters[taken > 0], length[taken > 0], taken[taken > 0]
+    begins[letters] = False
+    rest = letters + taken
+    begins[rest[length > taken]] = True
+    return np.flatnonzero(begins[:-1])
+
+
+def offsets_of(texts: pa.StringArray) -> np.ndarray:
+    """Where each text ends in the array's bytes, the first's start before."""
+    held = texts.buffers()[1]
+    return np.frombuffer(held, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if held else np.zeros(len(texts) + 1, np.int64)
+
+
+def cut(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces of the texts (null: empty), each piece's number among them,
+    and the texts' offsets among the pieces."""
+    ends = offsets_of(texts)
+    held = texts.buffers()[2] or pa.py_buffer(b"")
+    data = held.slice(int(ends[0]), int(ends[-1] - ends[0]))
+    ends -= ends[0]
+    if not data.size:
+        return [], np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    points = np.frombuffer(str(data, "utf-8").encode("utf-32-le"), "<u4")
+    byte_at = np.r_[0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype(np.int64))]
+    whole = np.searchsorted(byte_at, ends[:-1][np.diff(ends) > 0])
+    starts = byte_at[piece_starts(points, whole)]
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.r_[starts, data.size].astype(np.int32).tobytes()), data).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64), np.searchsorted(starts, ends)
 
 
 def pieces(text: str, block: int = BLOCK) -> Iterator[list[str]]:
-    """The matches of the tokenizer's pattern, in order, by blocks of the text. A match
+    """The matches of the tokenizer's pattern, in order, by blocks of a long text. A match
     depends on the text from its start to one character behind its end, so all
     but the last of a block are those of the whole text; the next block begins
     with that one."""
@@ -310,38 +383,79 @@ def pieces(text: str, block: int = BLOCK) -> Iterator[list[str]]:
     yield SPLIT.findall(text, at)
 
 
+def gather(packed: list[bytes], numbers: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """For each text, the ids (4 bytes each) of its pieces."""
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    flat = np.frombuffer(b"".join(packed), "<u4")
+    begin = np.r_[0, np.cumsum(sizes)]
+    each = sizes[numbers]
+    ends = np.r_[0, np.cumsum(each)]
+    at = np.repeat(begin[numbers] - ends[:-1], each)
+    at += np.arange(len(at))
+    ids, ends = flat[at], ends[offsets].tolist()
+    return [ids[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+
+
 class Memo(dict):
-    """piece -> ids of 4 bytes each, by `encode`; forgets all when it holds `most` bytes."""
+    """piece -> ids of 4 bytes each, by `encode` (of a list of pieces); forgets all when it
+    holds `most` bytes."""
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = MEMO_BYTES) -> None:
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = MEMO_BYTES) -> None:
         self.encode, self.most, self.held = encode, most, 0
 
-    def keep(self, piece: str, ids: bytes) -> None:
-        if len(piece) <= SHORT:
-            self.held += len(piece) + len(ids) + 180
-            if self.held > self.most:
-                self.clear()
-                self.held = 0
-            self[piece] = ids
+    def all(self, distinct: list[str]) -> list[bytes]:
+        out = list(map(self.get, distinct))
+        if None in out:
+            new = [i for i, ids in enumerate(out) if ids is None]
+            for i, ids in zip(new, self.encode([distinct[i] for i in new]), strict=True):
+                out[i] = ids
+                if len(distinct[i]) <= SHORT:
+                    self.held += len(distinct[i]) + len(ids) + 180
+                    if self.held > self.most:
+                        self.clear()
+                        self.held = 0
+                    self[distinct[i]] = ids
+        return out
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
-        self.keep(piece, ids)
-        return ids
+    def long_ids(self, text: str) -> np.ndarray:
+        """The ids of a whole text, block by block."""
+        return np.frombuffer(b"".join([x for found in pieces(text) for x in self.all(found)]), "<u4")
+
+    def text_ids(self, texts: pa.StringArray, alone: Callable[[str], np.ndarray] | None = None, apart: Callable[[str], bool] | None = None) -> list[np.ndarray]:
+        """The ids of each whole text, uint32. Texts longer than a block go one by one,
+        as do those that `apart` names, by `alone`."""
+        odd = {}
+        if len(texts) == 1 and len(texts[0].as_py() or "") > BLOCK:
+            odd[0] = (self.long_ids if apart is None or not apart(texts[0].as_py()) else alone)(texts[0].as_py())
+            return [odd[0]]
+        if apart is not None:
+            odd = {i: alone(t) for i, t in enumerate(texts.to_pylist()) if t and apart(t)}
+        out = gather_cut(self, texts)
+        for i, ids in odd.items():
+            out[i] = ids
+        return out
 
-    def text_ids(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text, uint32."""
-        return np.frombuffer(b"".join([b"".join(map(self.__getitem__, found)) for found in pieces(text or "")]), "<u4")
+
+def gather_cut(memo: Memo, texts: pa.StringArray) -> list[np.ndarray]:
+    distinct, numbers, offsets = cut(texts)
+    return gather(memo.all(distinct), numbers, offsets)
 
 
 def pack(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], column: int | None = None, rows: int = 2048, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Parts of at most so many rows and, where there are several, bytes of a string column."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = offsets_of(batch.column(column)) if column is not None else None
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            if ends is not None:
+                n = min(n, max(1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1 - at))
+            yield batch.slice(at, n)
+            at += n
 
 
 class Codec:
@@ -352,7 +466,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.machine = Transducer(ranks)
         self.decoder = StreamDecoder(self.machine.spelled)
-        self.memo = Memo(lambda piece: pack(self.machine.encode(piece.encode("utf-8"))))
+        self.memo = Memo(lambda found: [pack(self.machine.encode(piece.encode("utf-8"))) for piece in found])
 
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> Codec:
@@ -383,8 +497,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Codec.of(ranks.value).memo
-        for b in sliced(batches):
-            ids = [memo.text_ids(x.as_py()).astype(np.int64) for x in b.column(1)]
+        for b in sliced(batches, 1):
+            ids = [x.astype(np.int64) for x in memo.text_ids(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     return _texts(docs).mapInArrow(run, "doc_id bigint, ids array<bigint>")
@@ -409,10 +523,9 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks.value)
-        for b in sliced(batches):
+        for b in sliced(batches, 1):
             sizes, of_ids, of_text = [], [], []
-            for x in b.column(1):
-                ids = codec.memo.text_ids(x.as_py())
+            for ids in codec.memo.text_ids(b.column(1)):
                 sizes.append(len(ids))
                 of_ids.append(sha(ids.tobytes()))
                 of_text.append(sha(codec.decoder.decode(ids).encode("utf-8")))

@@ -52,11 +52,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import Memo, pack, pieces, sliced
+from .bpe import Memo, pack, sliced
 from .common import read, shared_table, take
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 SEGMENT_IDS = 1_000_000
+#: Bytes after which the memo of pieces starts again.
+MEMO_BYTES = 128_000_000
 MAGIC, BLOCK = b"DAC1", 512
 #: Bits of the levels; the last level takes what is left.
 WIDTHS = (8, 8, 16)
@@ -159,15 +161,13 @@ class Library:
     """The tokenizers library behind a bounded memo of pieces; one in each worker."""
 
     _held: dict[int, Library] = {}
-    #: Texts of one call, and characters from which a text is encoded without them.
-    BATCH, LONG = 64, 100_000
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.vocabulary = vocabulary
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(lambda piece: pack(self.whole(piece)))
+        self.memo = Memo(self.pieces, MEMO_BYTES)
 
     @classmethod
     def of(cls, vocabulary: str) -> Library:
@@ -175,27 +175,20 @@ class Library:
             cls._held = {id(vocabulary): cls(vocabulary)}
         return cls._held[id(vocabulary)]
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def text_ids(self, text: str) -> np.ndarray:
-        if any(t in text for t in self.added):
-            return np.array(self.whole(text), "<u4")
-        return self.memo.text_ids(text)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, uint32; new pieces of several texts go to the library together."""
-        for at in range(0, len(texts), self.BATCH):
-            some = texts[at : at + self.BATCH]
-            seen: set[str] = set()
-            for text in some:
-                if len(text) < self.LONG:
-                    for found in pieces(text):
-                        seen.update(found)
-            new = [p for p in seen if p not in self.memo]
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo.keep(p, pack(e.ids))
-            yield from map(self.text_ids, some)
+    def pieces(self, found: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(found), 4096):
+            for e in self.tokenizer.encode_batch_fast(found[at : at + 4096], add_special_tokens=False):
+                yield pack(e.ids)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def marked(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The ids of each text, uint32."""
+        return self.memo.text_ids(texts, self.whole, self.marked)
 
 
 def bounds(docs: DataFrame, parts: int) -> tuple[int, np.ndarray]:
@@ -223,12 +216,12 @@ def write_segments(docs: DataFrame, owner: str = OWNER, path: str | None = None,
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, place = Library.of(vocabulary.value), 0
-        for b in sliced(batches):
+        for b in sliced(batches, 1):
             doc_ids = b.column(0)
             known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
             part = parts_of(doc_ids.fill_null(0).to_numpy(), known, np.arange(place, place + len(doc_ids)), nulls, ends)
             place += len(doc_ids)
-            ids = [x.astype("<u2").tobytes() + b"2" if not len(x) or x.max() < 1 << 16 else x.tobytes() + b"4" for x in library.encode([x or "" for x in b.column(1).to_pylist()])]
+            ids = [x.astype("<u2").tobytes() + b"2" if not len(x) or x.max() < 1 << 16 else x.tobytes() + b"4" for x in library.encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_ids, pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,13 +278,13 @@ def read_documents(segments: DataFrame, with_ids: bool = False) -> DataFrame:
                 seg, begin = Segment(data.as_py()), start.as_py()
                 ends = seg.offsets
                 flat = seg.span(0, seg.n)
-                spans = [flat[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                raw, at = memoryview(flat.tobytes()), (4 * ends).tolist()
                 out = [
                     names.values, pa.array(begin + ends[:-1]), pa.array(np.diff(ends)),
-                    pa.array([zlib.crc32(x.tobytes()) for x in spans], pa.int64()),
+                    pa.array([zlib.crc32(raw[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.int64()),
                 ]
                 if with_ids:
-                    out.append(pa.array([x.astype(np.int64) for x in spans], pa.list_(pa.int64())))
+                    out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
     return segments.select("doc_ids", "start", "data").mapInArrow(run, schema)

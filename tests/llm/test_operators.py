@@ -13,6 +13,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -283,20 +284,35 @@ def test_texts_are_split_in_blocks():
         assert [p for found in bpe.pieces(text, int(rng.integers(1, 30))) for p in found] == bpe.SPLIT.findall(text)
 
 
+def cut_rows(texts):
+    found, numbers, ends = bpe.cut(pa.array(texts, pa.string()))
+    return [[found[k] for k in numbers[s:e]] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def test_splitting_by_classes_is_the_pattern(sf):
+    rng = np.random.default_rng(6)
+    letters = list("abstmdrevlL12½ '' \n\t\u2003\u3000é漢!?-\u0301🙂")
+    texts = [None, "", *("".join(rng.choice(letters, int(rng.integers(0, 40)))) for _ in range(3000))]
+    texts += pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts += [f"a{c}b {c}{c} 1{c}2  {c}! '{c}ll" for c in map(chr, range(0x3100))]
+    assert cut_rows(texts) == [bpe.SPLIT.findall(t or "") for t in texts]
+    assert bpe.cut(pa.array(["xx", "it's  a", None, "b"]).slice(1))[0] == ["it", "'s", " ", " a", "b"]
+
+
 def test_memo_forgets_by_bytes():
-    memo = bpe.Memo(lambda p: bpe.pack([len(p)]), most=2000)
-    assert memo.text_ids("ab abc, 12").tolist() == [2, 4, 1, 3]
-    assert len(memo.text_ids(" ".join(f"w{i}" for i in range(500)))) == 1000
-    assert memo.held <= 2000 and len(memo) < 20 and "x" * 65 not in memo
-    assert memo["x" * 65] == bpe.pack([65]) and "x" * 65 not in memo
-
-
-def test_incremental_utf8():
-    spelled = {i: bytes([i]) for i in range(256)}
-    decoder, rng = bpe.StreamDecoder(spelled), np.random.default_rng(2)
-    for _ in range(500):
-        data = bytes(rng.choice([0x41, 0xC3, 0xA9, 0xE6, 0xBC, 0xA2, 0xF0, 0x9F, 0x99, 0x82, 0xED, 0xA0, 0xFF], 12).tolist())
-        assert decoder.decode(data) == data.decode("utf-8", "replace")
+    memo = bpe.Memo(lambda found: [bpe.pack([len(p)]) for p in found], most=2000)
+    assert [x.tolist() for x in memo.text_ids(pa.array(["ab abc, 12", None, "a"]))] == [[2, 4, 1, 3], [], [1]]
+    assert len(memo.text_ids(pa.array([" ".join(f"w{i}" for i in range(500))]))[0]) == 1000
+    assert memo.held <= 2000 and len(memo) < 20 and memo.all(["x" * 65]) == [bpe.pack([65])] and "x" * 65 not in memo
+
+
+def test_a_very_long_text_goes_in_blocks(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 100)
+    memo = bpe.Memo(lambda found: [bpe.pack([len(p)]) for p in found])
+    text = "some words, and more " * 50
+    assert memo.text_ids(pa.array([text]))[0].tolist() == [len(p) for p in bpe.SPLIT.findall(text)]
+    parts = [b.num_rows for b in bpe.sliced([pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (5, 200, 3, 3, 90, 1)])], ["t"])], 0, size=100)]
+    assert parts == [1, 1, 4]
 
 
 def test_bpe_rows(docs, empty, encoding):

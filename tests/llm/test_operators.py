@@ -331,6 +331,7 @@ def test_segments_are_directly_addressable():
     ids = (2 ** rng.uniform(0, 31, 3000)).astype(np.uint32)
     seg = token_store.Segment(token_store.encode_segment(ids, np.array([0, 7, 7, 3000])))
     assert seg.offsets.tolist() == [0, 7, 7, 3000]
+    assert all((seg.span(s, e) == ids[s:e]).all() for s, e in ((0, 3000), (7, 2999), (511, 513), (1024, 1024), (2999, 3000)))
     assert (seg.span(0, 3000) == ids).all() and all(seg.get(i) == ids[i] for i in range(0, 3000, 13))
     assert len(token_store.Segment(token_store.encode_segment(ids[:0], np.array([0]))).span(0, 0)) == 0
 

@@ -50,6 +50,29 @@ def adaptive_order(answers: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndar
     return out
 
 
+def scored(answers: np.ndarray, picked: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[float, float]:
+    """Ability and its error from some of the items; the prior's, if from none."""
+    x, lw = quadrature()
+    p = np.clip(c[picked, None] + (1 - c[picked, None]) / (1 + np.exp(-a[picked, None] * (x - b[picked, None]))), EPS, 1 - EPS)
+    log = lw + np.where(answers[picked, None] == 1, np.log(p), np.log(1 - p)).sum(axis=0)
+    post = np.exp(log - log.max())
+    post /= post.sum()
+    theta = float(post @ x)
+    return theta, float(np.sqrt(max(post @ (x * x) - theta * theta, 0)))
+
+
+def stratified(there: np.ndarray, n: int, strata: np.ndarray, weights: np.ndarray, b: np.ndarray, rng: np.random.Generator, bins: int = 4) -> np.ndarray:
+    """A draw in proportion to benchmarks, spread over runs of difficulty within each; its
+    size isn't exactly n."""
+    picked = []
+    for k, weight in enumerate(weights):
+        pool, want = there[strata[there] == k], round(n * float(weight))
+        runs = [pool] if len(pool) <= want else np.array_split(pool[np.argsort(b[pool], kind="stable")], bins)
+        quota = want if len(runs) == 1 else max(want // bins, 1)
+        picked += [rng.permutation(run)[:quota] for run in runs if want > 0]
+    return np.sort(np.concatenate(picked)) if picked else np.empty(0, int)
+
+
 def mle(correct: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, bound: float = 5.0) -> float:
     """Bounded maximum likelihood: a grid for the right hill, then golden sections."""
     if not len(correct) or correct.min() == correct.max():

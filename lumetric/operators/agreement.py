@@ -13,11 +13,20 @@ def kendall(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
     """Tau-b over every two rows. The rows are models, hundreds at most."""
     left = rows.select(F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1"))
     right = rows.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    s = left.join(F.broadcast(right), F.col("k1") < F.col("k2")).select(F.signum(F.col("x1") - F.col("x2")).alias("sx"), F.signum(F.col("y1") - F.col("y2")).alias("sy"))
+    s = left.join(right, F.col("k1") < F.col("k2")).select(F.signum(F.col("x1") - F.col("x2")).alias("sx"), F.signum(F.col("y1") - F.col("y2")).alias("sy"))
     sums = s.agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("sx") * F.col("sy")).alias("cd"), F.sum(F.abs("sx")).alias("nx"), F.sum(F.abs("sy")).alias("ny"))
     return sums.select("pairs", F.try_divide(F.col("cd"), F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
 
 
+def kendall_by(rows: DataFrame, by: list[str], x: str, y: str, key: str) -> DataFrame:
+    """Tau-b within each group, over every two of its rows (models)."""
+    left = rows.select(*by, F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1"))
+    right = rows.select(*by, F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
+    s = left.join(right, by).where("k1 < k2").select(*by, F.signum(F.col("x1") - F.col("x2")).alias("sx"), F.signum(F.col("y1") - F.col("y2")).alias("sy"))
+    sums = s.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("sx") * F.col("sy")).alias("cd"), F.sum(F.abs("sx")).alias("nx"), F.sum(F.abs("sy")).alias("ny"))
+    return sums.select(*by, "pairs", F.try_divide(F.col("cd"), F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
+
+
 def ranked(rows: DataFrame, key: str, *names: str, by: str | None = None) -> DataFrame:
     """Adds rank_<name>: places in ascending order, ties by key."""
     part = W.partitionBy(by) if by else W.partitionBy(F.lit(0))

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.irt import pearson
+from ..sources.scratch import stored
+from .selection import per_benchmark
 
 FLAG, BLOCK, LEAST_MODELS = 0.2, 0.8, 20
+#: Items of a benchmark whose pairs are looked at.
+MOST_ITEMS = 500
 
 
 def complete_cases(rows: DataFrame, key: str = "benchmark") -> DataFrame:
@@ -19,17 +23,23 @@ def complete_cases(rows: DataFrame, key: str = "benchmark") -> DataFrame:
 
 
 def item_pairs(rows: DataFrame, *values: str) -> DataFrame:
-    """Self-join of answers by benchmark and model, each pair of items once. The
-    items of a benchmark are a bounded sample (see sampling.per_benchmark), so a
-    model meets itself a bounded number of times."""
+    """Self-join of answers by benchmark and model, each pair of items once: for each model
+    the square of a benchmark's items, which callers bound by sampled()."""
     left = rows.select("benchmark", "model_id", F.col("item_id").alias("i"), *[F.col(v).alias(f"{v}1") for v in values])
     right = rows.select("benchmark", "model_id", F.col("item_id").alias("j"), *[F.col(v).alias(f"{v}2") for v in values])
     return left.join(right, ["benchmark", "model_id"]).where("i < j")
 
 
-def q3(residuals: DataFrame) -> DataFrame:
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of at most `most` items of each benchmark, drawn by a keyed hash: the sample that
+    the definition of residual correlations names."""
+    items = per_benchmark(rows.select("benchmark", "item_id").distinct(), most, "dependence")
+    return rows.join(items.select("item_id"), "item_id", "left_semi")
+
+
+def q3(residuals: DataFrame, most_items: int = MOST_ITEMS) -> DataFrame:
     """benchmark, i, j, n, q3 (null where a side is constant) over complete cases."""
-    pairs = item_pairs(complete_cases(residuals), "z")
+    pairs = item_pairs(complete_cases(sampled(residuals, most_items)), "z")
     out = pairs.groupBy("benchmark", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("z1") > 1e-9) & (F.stddev_pop("z2") > 1e-9), pearson("z1", "z2")).alias("q3"))
     return out.where(F.col("n") >= LEAST_MODELS)
 
@@ -49,9 +59,9 @@ def design_effect(summary: DataFrame, sizes: DataFrame) -> DataFrame:
     return both.select("benchmark", "n", effect.alias("design_effect"), (F.col("n") / effect).alias("effective_items"))
 
 
-def tetrachoric(rows: DataFrame) -> DataFrame:
+def tetrachoric(rows: DataFrame, most_items: int = MOST_ITEMS) -> DataFrame:
     """Digby's approximation over complete cases, half a count added to each cell."""
-    pairs = item_pairs(complete_cases(rows), "correct")
+    pairs = item_pairs(complete_cases(sampled(rows, most_items)), "correct")
 
     def cell(x: int, y: int):
         return F.count_if((F.col("correct1") == x) & (F.col("correct2") == y)).cast("double")
@@ -65,14 +75,14 @@ def tetrachoric(rows: DataFrame) -> DataFrame:
 def blocks(pairs: DataFrame, value: str = "q3", least: float = BLOCK, rounds: int = 40) -> DataFrame:
     """Connected components of pairs above `least`: block_id (the smallest item),
     item_id, size and the largest value inside. Labels move to their smallest
-    neighbour until none moves; every round is cut by a checkpoint."""
+    neighbour until none moves; every round is a stored table."""
     edges = pairs.where(F.col(value) > least).select("i", "j", value)
     both = edges.select(F.col("i").alias("item_id"), F.col("j").alias("other")).unionByName(edges.select(F.col("j").alias("item_id"), F.col("i").alias("other"))).distinct()
     label = both.groupBy("item_id").agg(F.least(F.min("item_id"), F.min("other")).alias("block_id"))
     for _ in range(rounds):
         near = both.join(label.select(F.col("item_id").alias("other"), F.col("block_id").alias("near")), "other").groupBy("item_id").agg(F.min("near").alias("near"))
         moved = label.join(near, "item_id").select("item_id", F.least("block_id", "near").alias("block_id"), (F.col("near") < F.col("block_id")).alias("moved"))
-        moved = moved.checkpoint() if moved.sparkSession.sparkContext.getCheckpointDir() else moved.persist()
+        moved = stored(moved, "blocks")
         label = moved.select("item_id", "block_id")
         if not moved.where("moved").limit(1).count():
             break

@@ -33,9 +33,10 @@ def pooled_retest(each: DataFrame) -> DataFrame:
     return s.withColumn("p", binomial_two_sided(F.col("up"), F.col("up") + F.col("down")))
 
 
-def resampling(first: DataFrame, second: DataFrame, chance: DataFrame) -> DataFrame:
-    """The observed flip rate beside the mean 2p(1-p) that independent answers would show."""
-    both = first.select("model_id", "item_id", F.col("correct").alias("x")).join(second.select("model_id", "item_id", F.col("correct").alias("y")), ["model_id", "item_id"]).join(chance, ["model_id", "item_id"])
+def resampling(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The observed flip rate beside the mean 2p(1-p) that independent answers would show;
+    first has p, the chance of a right answer, of its own cells."""
+    both = first.select("model_id", "item_id", "p", F.col("correct").alias("x")).join(second.select("model_id", "item_id", F.col("correct").alias("y")), ["model_id", "item_id"])
     return both.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("x") != F.col("y")).cast("int")).alias("observed"), F.avg(2 * F.col("p") * (1 - F.col("p"))).alias("predicted"))
 
 

@@ -86,5 +86,5 @@ def flags(params: DataFrame, fit: DataFrame, biserial: DataFrame, auc: DataFrame
 def flags_by_benchmark(flagged: DataFrame, items: DataFrame) -> DataFrame:
     """Counts of each flag by benchmark, and for all (benchmark null)."""
     names = [c for c in flagged.columns if c != "item_id"]
-    both = flagged.join(F.broadcast(items.select("item_id", "benchmark")), "item_id")
+    both = flagged.join(items.select("item_id", "benchmark"), "item_id")
     return both.rollup("benchmark").agg(F.count(F.lit(1)).alias("n_items"), *[F.count_if(F.col(c)).alias(c) for c in names])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +34,7 @@ def slope(params: DataFrame, ability: float = 0.0, step: float = SLOPE_STEP) ->
     return params.agg((F.avg(up - down) / (2 * step)).alias("slope"))
 
 
-def power_grid(params: DataFrame, effects: DataFrame, ability: float = 0.0, alpha: float = 0.05, paired: bool = False) -> DataFrame:
+def power_grid(params: DataFrame, effects: DataFrame, ability: float = 0.0, alpha: float = 0.05, paired: bool = True) -> DataFrame:
     """Power to tell models `effect` points apart with the best n items, for every n."""
     k, z = (2 if paired else 1), NormalDist().inv_cdf(1 - alpha / 2)
     grid = prefix_information(params, ability).crossJoin(F.broadcast(effects)).crossJoin(F.broadcast(slope(params, ability)))
@@ -41,20 +42,63 @@ def power_grid(params: DataFrame, effects: DataFrame, ability: float = 0.0, alph
     return grid.select("effect", "n", (upper_tail(z - shift) + upper_tail(z + shift)).alias("power"))
 
 
-def items_needed(params: DataFrame, effect: float, power: float = 0.8, ability: float = 0.0, alpha: float = 0.05, paired: bool = False, rounds: int = 12) -> int:
-    """The fixed point of n and the mean information of the best n; at most the bank."""
-    means = [r["mean_information"] for r in prefix_information(params, ability).select("n", "mean_information").orderBy("n").toLocalIterator()]
-    rise = slope(params, ability).first()["slope"]
-    if rise <= 1e-6:
-        raise ValueError("the expected score doesn't rise at this ability")
-    z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
-    n = 50
-    for _ in range(rounds):
-        new = math.ceil((2 if paired else 1) * z * z / ((effect / 100 / rise) ** 2 * means[min(n, len(means)) - 1]))
-        if new == n:
-            break
-        n = new
-    return min(n, len(means))
+@dataclass(frozen=True)
+class Resolution:
+    """What a bank shows at one ability: the mean information of its best n items, for every
+    n, and how fast its expected score rises."""
+
+    means: list[float]
+    rise: float
+
+    @classmethod
+    def of(cls, params: DataFrame, ability: float = 0.0) -> Resolution:
+        """Sorted on the executors; a double for each item comes to the driver."""
+        means = [r["mean_information"] for r in prefix_information(params, ability).select("n", "mean_information").orderBy("n").toLocalIterator()]
+        return cls(means, slope(params, ability).first()["slope"])
+
+    def information(self, n: int) -> float:
+        return max(self.means[min(n, len(self.means)) - 1], 1e-9)
+
+    def items_needed(self, effect: float, power: float = 0.8, alpha: float = 0.05, paired: bool = True, max_items: int | None = None, rounds: int = 12) -> tuple[int, bool]:
+        """Items to see `effect` accuracy points, and whether the bank (or max_items) caps
+        them: the fixed point of n and the information of the best n."""
+        if not 0 < power < 1 or effect <= 0:
+            raise ValueError("power must be between 0 and 1, the effect above 0")
+        if self.rise <= 1e-6:
+            raise ValueError("the expected score doesn't rise at this ability")
+        z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
+        n = 50
+        for _ in range(rounds):
+            new = max(math.ceil((2 if paired else 1) * z * z / ((effect / 100 / self.rise) ** 2 * self.information(n))), 1)
+            if new == n:
+                break
+            n = new
+        most = max_items or len(self.means)
+        return min(n, most), n > most
+
+    def detectable_effect(self, n: int, power: float = 0.8, alpha: float = 0.05, paired: bool = True) -> float:
+        """The smallest drop, in accuracy points, that n items show."""
+        z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
+        return 100 * self.rise * z * math.sqrt((2 if paired else 1) / (n * self.information(n)))
+
+    def power_at(self, n: int, effect: float, alpha: float = 0.05, paired: bool = True) -> float:
+        if self.rise <= 1e-6:
+            return math.nan
+        shift = effect / 100 / self.rise / math.sqrt((2 if paired else 1) / (n * self.information(n)))
+        z, normal = NormalDist().inv_cdf(1 - alpha / 2), NormalDist()
+        return normal.cdf(shift - z) + normal.cdf(-z - shift)
+
+
+def items_needed(params: DataFrame, effect: float, power: float = 0.8, ability: float = 0.0, alpha: float = 0.05, paired: bool = True, max_items: int | None = None) -> int:
+    return Resolution.of(params, ability).items_needed(effect, power, alpha, paired, max_items)[0]
+
+
+def detectable_effect(params: DataFrame, n: int, power: float = 0.8, ability: float = 0.0, alpha: float = 0.05, paired: bool = True) -> float:
+    return Resolution.of(params, ability).detectable_effect(n, power, alpha, paired)
+
+
+def power_at(params: DataFrame, n: int, effect: float, ability: float = 0.0, alpha: float = 0.05, paired: bool = True) -> float:
+    return Resolution.of(params, ability).power_at(n, effect, alpha, paired)
 
 
 def equivalent_budget(curve: DataFrame, method: str, baseline: str) -> DataFrame:
@@ -72,7 +116,7 @@ def separated_pairs(intervals: DataFrame) -> DataFrame:
     """Pairs of models whose intervals don't overlap; the leader by theta."""
     left = intervals.select(F.col("model_id").alias("leader"), F.col("theta").alias("t1"), F.col("lo").alias("lo1"))
     right = intervals.select(F.col("model_id").alias("other"), F.col("theta").alias("t2"), F.col("hi").alias("hi2"))
-    return left.join(F.broadcast(right), (F.col("lo1") > F.col("hi2")) & (F.col("t1") > F.col("t2"))).select("leader", "other")
+    return left.join(right, (F.col("lo1") > F.col("hi2")) & (F.col("t1") > F.col("t2"))).select("leader", "other")
 
 
 def power_validation(models: DataFrame, width: float = 0.5) -> DataFrame:
@@ -80,7 +124,7 @@ def power_validation(models: DataFrame, width: float = 0.5) -> DataFrame:
     orders a pair rightly; bands of LEAST_PAIRS pairs."""
     left = models.select(F.col("model_id").alias("m1"), F.col("theta").alias("t1"), F.col("score").alias("s1"))
     right = models.select(F.col("model_id").alias("m2"), F.col("theta").alias("t2"), F.col("score").alias("s2"))
-    both = left.join(F.broadcast(right), F.col("m1") < F.col("m2")).withColumn("gap", F.col("t1") - F.col("t2"))
+    both = left.join(right, F.col("m1") < F.col("m2")).withColumn("gap", F.col("t1") - F.col("t2"))
     return (
         both.groupBy(F.floor(F.abs("gap") / width + 1e-9).alias("band"))
         .agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.signum("gap") == F.signum(F.col("s1") - F.col("s2"))).cast("int")).alias("right_order"))

@@ -36,6 +36,15 @@ def instances(rows: DataFrame) -> DataFrame:
     )
 
 
+MODEL = "name string, info struct<creator: string, access: string>, release_date string"
+
+
+def models(lines: DataFrame) -> DataFrame:
+    """Model records (JSON in value): model_id, creator, access, release_date ('' if unknown)."""
+    m = lines.select(F.from_json("value", MODEL).alias("m")).where("m.name is not null")
+    return m.select(F.col("m.name").alias("model_id"), F.col("m.info.creator").alias("creator"), F.coalesce("m.info.access", F.lit("closed")).alias("access"), F.coalesce("m.release_date", F.lit("")).alias("release_date"))
+
+
 def first_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The first row of each key in a stated order."""
     return rows.withColumn("r_", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("r_ = 1").drop("r_")

@@ -21,10 +21,10 @@ def selector_step(abilities: DataFrame, answered: DataFrame, bank: DataFrame, we
     """The next item of each model: of the benchmark with the largest deficit that
     still has items, the most informative one at the model's theta. bank: item_id,
     benchmark, a, b, c. Ties go to the first benchmark and the smallest item."""
-    used = answered.join(F.broadcast(bank.select("item_id", "benchmark")), "item_id").groupBy("model_id", "benchmark").agg(F.count(F.lit(1)).alias("used"))
+    used = answered.join(bank.select("item_id", "benchmark"), "item_id").groupBy("model_id", "benchmark").agg(F.count(F.lit(1)).alias("used"))
     total = used.groupBy("model_id").agg(F.sum("used").alias("total"))
-    open_items = abilities.crossJoin(F.broadcast(bank)).join(answered.select("model_id", "item_id"), ["model_id", "item_id"], "left_anti")
-    open_items = open_items.join(F.broadcast(weights.select("benchmark", "weight")), "benchmark").join(used, ["model_id", "benchmark"], "left").join(total, "model_id", "left")
+    open_items = abilities.crossJoin(bank).join(answered.select("model_id", "item_id"), ["model_id", "item_id"], "left_anti")
+    open_items = open_items.join(weights.select("benchmark", "weight"), "benchmark").join(used, ["model_id", "benchmark"], "left").join(total, "model_id", "left")
     deficit = F.col("weight") * F.greatest(F.coalesce("total", F.lit(0)), F.lit(1)) - F.coalesce("used", F.lit(0))
     i = information(F.col("theta"), F.col("a"), F.col("b"), F.col("c"))
     order = W.partitionBy("model_id").orderBy(F.desc(F.round(deficit, 9)), "benchmark", F.desc(F.round(i, 9)), "item_id")
@@ -74,7 +74,7 @@ def apportion(items: DataFrame, size: int) -> DataFrame:
 def suite(items: DataFrame, size: int, seed: str) -> DataFrame:
     seats = apportion(items, size).select("benchmark", "seats")
     order = W.partitionBy("benchmark").orderBy(uniform(F.lit(seed), "item_id"), "item_id")
-    return items.join(F.broadcast(seats), "benchmark").withColumn("r", F.row_number().over(order)).where("r <= seats").select("benchmark", "item_id")
+    return items.join(seats, "benchmark").withColumn("r", F.row_number().over(order)).where("r <= seats").select("benchmark", "item_id")
 
 
 def cost_by_checkpoint(cells: DataFrame, checkpoints: list[int], seed: str) -> DataFrame:
@@ -92,6 +92,6 @@ def run_estimate(prompts: DataFrame, prices: DataFrame, output_tokens: int, marg
     """prompts: alias, chars. prices: alias, input, output (USD for a million tokens),
     batch (multiplier or null). A model without a price has no cost, which isn't a cost of 0."""
     n = prompts.groupBy("alias").agg(F.count(F.lit(1)).alias("calls"), F.sum(token_estimate(F.col("chars"))).alias("input_tokens"))
-    both = n.join(F.broadcast(prices), "alias", "left")
+    both = n.join(prices, "alias", "left")
     cost = (F.col("input_tokens") * F.col("input") + F.col("calls") * output_tokens * F.col("output")) / 1e6 * F.coalesce("batch", F.lit(1.0))
     return both.select("alias", "calls", "input_tokens", cost.alias("cost_usd"), (cost * margin).alias("with_margin"))

@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.unicode import all_composed, composed
+
 LETTERS = "ABCDEFGHIJ"
 ROMANS = "i ii iii iv v vi vii viii ix".split()
 WITHHELD = "[encrypted_text"
 
 
 def normalise(text: Column) -> Column:
-    """White space runs become one space, ends go (composition is udf work: see kernels.replies)."""
+    """Composed, white space runs single, ends gone."""
+    return spaced(composed(text))
+
+
+def spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def item_hash(benchmark: Column, text: Column, options: Column, answer: Column) -> Column:
     """16 hex digits over benchmark, text, options and answer, set apart by control characters."""
-    listed = F.array_join(F.transform(options, lambda o: F.concat(F.lit("\x01"), normalise(o))), "")
+    listed = F.array_join(F.transform(all_composed(options), lambda o: F.concat(F.lit("\x01"), spaced(o))), "")
     return F.substring(F.sha2(F.concat(benchmark, F.lit("\x00"), normalise(text), listed, F.lit("\x02"), normalise(answer)), 256), 1, 16)
 
 
 def question_key(question: Column, options: Column) -> Column:
     """Equal for the same question with the same options in any order."""
-    parts = F.concat(F.array(normalise(question)), F.array_sort(F.transform(options, normalise)))
+    parts = F.concat(F.array(spaced(question)), F.array_sort(F.transform(options, spaced)))
     return F.substring(F.sha2(F.array_join(parts, "\x1f"), 256), 1, 16)
 
 
@@ -127,6 +133,6 @@ def nearest_routes(wanted: DataFrame, listed: DataFrame, limit: int = 4) -> Data
 
     known = words(listed, "listed")
     weight = known.groupBy("word").agg((1 / F.count(F.lit(1))).alias("weight"))
-    scored = words(wanted, "wanted").join(known, "word").join(F.broadcast(weight), "word").groupBy("wanted", "listed").agg(F.sum("weight").alias("score"))
+    scored = words(wanted, "wanted").join(known, "word").join(weight, "word").groupBy("wanted", "listed").agg(F.sum("weight").alias("score"))
     order = W.partitionBy("wanted").orderBy(F.desc(F.round("score", 9)), "listed")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)

@@ -84,15 +84,16 @@ BODIES: dict[str, str] = {
     "flags_by_benchmark": "SELECT benchmark, count(*) AS n_items, " + ", ".join(f"count(*) FILTER ({f}) AS {f}" for f in "perfect_separation negative_slope low_slope underfit overfit non_monotone too_easy too_hard no_information".split()) + " FROM flagged JOIN items60 USING (item_id) GROUP BY ROLLUP (benchmark)",
 }
 
-MH = """(SELECT split, item_id, sum(a + b)::BIGINT AS n_reference, sum(c + d)::BIGINT AS n_focal,
-      CASE WHEN sum(a * d / n) > 0 AND sum(b * c / n) > 0 THEN -2.35 * ln(sum(a * d / n) / sum(b * c / n)) END AS delta,
-      CASE WHEN sum(v) > 0 THEN (abs(sum(a) - sum((a + b) * (a + c) / n)) - 0.5) ** 2 / sum(v) END AS chi2 FROM (
+MH = """(SELECT split, item_id, n_reference, n_focal,
+      CASE WHEN ad > 0 AND bc > 0 THEN -2.35 * ln(ad / bc) END AS delta, CASE WHEN v > 0 THEN (abs(a - e) - 0.5) ** 2 / v END AS chi2
+    FROM (SELECT split, item_id, count(*) FILTER (NOT focal) AS n_reference, count(*) FILTER (focal) AS n_focal FROM dense JOIN binned USING (model_id) JOIN groups USING (model_id) GROUP BY ALL)
+    LEFT JOIN (SELECT split, item_id, sum(a * d / n) AS ad, sum(b * c / n) AS bc, sum(a) AS a, sum((a + b) * (a + c) / n) AS e, sum(v) AS v FROM (
     SELECT *, (a + b) * (c + d) * (a + c) * (b + d) / (n * n * greatest(n - 1, 1)) AS v FROM (
       SELECT *, a + b + c + d AS n FROM (
         SELECT split, item_id, bin, count(*) FILTER (NOT focal AND correct = 1)::DOUBLE AS a, count(*) FILTER (NOT focal AND correct = 0)::DOUBLE AS b,
                count(*) FILTER (focal AND correct = 1)::DOUBLE AS c, count(*) FILTER (focal AND correct = 0)::DOUBLE AS d
         FROM dense JOIN (SELECT *, count(*) FILTER (focal) OVER p AS f, count(*) FILTER (NOT focal) OVER p AS r FROM binned JOIN groups USING (model_id) WINDOW p AS (PARTITION BY split, bin)) USING (model_id)
-        WHERE f > 0 AND r > 0 GROUP BY ALL)) WHERE a + b >= 2 AND c + d >= 2) GROUP BY ALL)"""
+        WHERE f > 0 AND r > 0 GROUP BY ALL)) WHERE a + b >= 2 AND c + d >= 2) GROUP BY ALL) USING (split, item_id))"""
 _FIT = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 
 
@@ -181,12 +182,12 @@ VIEWS |= {
     "score_curve": "(SELECT method, n, round(corr(score, theta), 9) AS value FROM (SELECT method, n, model_id, avg(correct) AS score FROM dense JOIN orders_by USING (item_id), (SELECT unnest([5, 10, 20, 40, 60]) AS n) WHERE place <= n GROUP BY ALL) JOIN abilities USING (model_id) GROUP BY ALL)",
     "base_curve": "(SELECT n AS n1, lag(n) OVER (ORDER BY n) AS n0, value AS v1, lag(value) OVER (ORDER BY n) AS v0 FROM score_curve WHERE method = 'plain')",
     "bounds": "(SELECT model_id, round(theta, 6) AS theta, round(theta - 1.959964e0 * se, 6) AS lo, round(theta + 1.959964e0 * se, 6) AS hi FROM eap)",
-    "answered": "(SELECT model_id, item_id, benchmark FROM dense JOIN items60 USING (item_id) WHERE item_id % 3 = 0)",
+    "answered": "(SELECT model_id, item_id, benchmark FROM adm60 JOIN items60 USING (item_id) WHERE rep = 1 AND ts < TIMESTAMP '1995-01-01')",
     "used": "(SELECT model_id, benchmark, count(*) AS used FROM answered GROUP BY ALL)",
     "used_all": "(SELECT model_id, count(*) AS total FROM answered GROUP BY ALL)",
     "strata": "(SELECT benchmark, n, row_number() OVER (ORDER BY benchmark) - 1 AS place, n / sum(n) OVER () AS weight FROM (SELECT benchmark, count(*) AS n FROM items GROUP BY ALL))",
     "strata60": "(SELECT benchmark, n / sum(n) OVER () AS weight FROM (SELECT benchmark, count(*) AS n FROM items60 GROUP BY ALL))",
-    "seats": "(SELECT benchmark, n, (base + (row_number() OVER (ORDER BY round(exact - base, 9) DESC, benchmark) <= 61 - sum(base) OVER ())::INT)::BIGINT AS seats FROM (SELECT benchmark, n, 61e0 * n / sum(n) OVER () AS exact, floor(61e0 * n / sum(n) OVER ()) AS base FROM (SELECT benchmark, count(*) AS n FROM items WHERE item_id % 7 <> 0 GROUP BY ALL)))",
+    "seats": "(SELECT benchmark, n, (base + (row_number() OVER (ORDER BY round(exact - base, 9) DESC, benchmark) <= 61 - sum(base) OVER ())::INT)::BIGINT AS seats FROM (SELECT benchmark, n, 61e0 * n / sum(n) OVER () AS exact, floor(61e0 * n / sum(n) OVER ()) AS base FROM (SELECT benchmark, count(*) AS n FROM items GROUP BY ALL)))",
     "counts_nr": "(SELECT item_id, q, sum(post) AS n, sum(post * correct) AS r FROM dense JOIN post USING (model_id) GROUP BY ALL)",
     "em_p": "(SELECT item_id, a, -a * b AS d, x, n, r, least(greatest(1 / (1 + exp(-(a * x - a * b))), 1e-10), 1 - 1e-10) AS p FROM counts_nr JOIN params60 USING (item_id) JOIN quad USING (q))",
     "em_h": "(SELECT item_id, a, d, sum((r - n * p) * x) - (a - 1) AS ga, sum(r - n * p) - d / 16 AS gd, sum(n * p * (1 - p) * x * x) + 1 AS haa, sum(n * p * (1 - p) * x) AS had, sum(n * p * (1 - p)) + 1 / 16e0 AS hdd FROM em_p GROUP BY item_id, a, d)",
@@ -196,11 +197,11 @@ VIEWS |= {
     "labels_of": "(SELECT benchmark, task, list_sort(list(DISTINCT answer)) AS labels FROM posed WHERE answer <> '' GROUP BY ALL)",
     "listed_words": "(SELECT DISTINCT listed, w FROM (SELECT DISTINCT lower(p_type) AS listed, unnest(string_split_regex(lower(p_type), '[^a-z0-9.]+')) AS w FROM part) WHERE w <> '')",
     "word_weight": "(SELECT w, 1e0 / count(*) AS weight FROM listed_words GROUP BY ALL)",
-    "wanted_words": "(SELECT DISTINCT wanted, w FROM (SELECT DISTINCT lower(p_type) AS wanted, unnest(string_split_regex(lower(p_type), '[^a-z0-9.]+')) AS w FROM part WHERE p_partkey % 50 = 0) WHERE w <> '')",
+    "wanted_words": "(SELECT DISTINCT wanted, w FROM (SELECT DISTINCT lower(p_type) AS wanted, unnest(string_split_regex(lower(p_type), '[^a-z0-9.]+')) AS w FROM part) WHERE w <> '')",
     "squeezed": "(SELECT doc_id, source, doc_id % 2 AS answer, substr(sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') || chr(31) || lang), 1, 16) AS key FROM documents)",
 }
 Z = "1.959963984540054e0"
-_SHIFT = f"(effect / 100e0 / slope / sqrt(1 / (n * mean_information)))"
+_SHIFT = f"(effect / 100e0 / slope / sqrt(2 / (n * mean_information)))"
 
 
 def _upper(z: str) -> str:
@@ -221,14 +222,14 @@ BODIES |= {
     "sample_per_benchmark": f"SELECT benchmark, item_id FROM items QUALIFY row_number() OVER (PARTITION BY benchmark ORDER BY {_u(chr(39) + 'sample' + chr(39), 'item_id')}, item_id) <= 12",
     "stratified_subset": f"SELECT benchmark, run::INT AS run, item_id FROM (SELECT *, row_number() OVER (PARTITION BY benchmark, run ORDER BY {_u(chr(39) + 'strata' + chr(39), 'item_id')}, item_id) AS r FROM (SELECT *, CASE WHEN m <= want THEN 0 WHEN pos < m % 4 * (m // 4 + 1) THEN pos // (m // 4 + 1) ELSE m % 4 + (pos - m % 4 * (m // 4 + 1)) // greatest(m // 4, 1) END AS run FROM (SELECT item_id, benchmark, count(*) OVER (PARTITION BY benchmark) AS m, round_even(50e0 * count(*) OVER (PARTITION BY benchmark) / count(*) OVER (), 0)::INT AS want, row_number() OVER (PARTITION BY benchmark ORDER BY b, item_id) - 1 AS pos FROM items JOIN params USING (item_id)))) WHERE want > 0 AND r <= CASE WHEN m <= want THEN m ELSE greatest(want // 4, 1) END",
     "suite_apportion": "SELECT * FROM seats",
-    "suite_choose": f"SELECT benchmark, item_id FROM items JOIN seats USING (benchmark) WHERE item_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY benchmark ORDER BY {_u(chr(39) + 'suite' + chr(39), 'item_id')}, item_id) <= seats",
+    "suite_choose": f"SELECT benchmark, item_id FROM items JOIN seats USING (benchmark) QUALIFY row_number() OVER (PARTITION BY benchmark ORDER BY {_u(chr(39) + 'suite' + chr(39), 'item_id')}, item_id) <= seats",
     "cost_by_checkpoint": f"SELECT model_id, n, round(spend, 5) AS spend FROM (SELECT model_id, count(*) OVER w AS n, sum(cost_usd) OVER w AS spend FROM adm WHERE rep = 1 WINDOW w AS (PARTITION BY model_id ORDER BY {_u(chr(39) + 'cost' + chr(39), 'model_id', 'item_id')}, item_id ROWS UNBOUNDED PRECEDING)) WHERE n IN (10, 20, 50)",
     "run_estimate": "SELECT alias, calls, input_tokens, round(cost, 6) AS cost_usd, round(cost * 1.25, 6) AS with_margin FROM (SELECT *, CASE WHEN alias <> 'src3' THEN (input_tokens * (length(alias) * 0.1e0) + calls * 200 * (length(alias) * 0.5e0)) / 1e6 * CASE WHEN alias = 'src1' THEN 0.5e0 ELSE 1e0 END END AS cost FROM (SELECT source AS alias, count(*) AS calls, sum(floor(length(text) / 4 + 0.5))::BIGINT AS input_tokens FROM documents GROUP BY ALL))",
     "em_one_step": "SELECT item_id, round(least(greatest(a + least(greatest((hdd * ga - had * gd) / det, -2), 2), -6), 6), 4) + 0 AS a, round(least(greatest(d + least(greatest((haa * gd - had * ga) / det, -4), 4), -30), 30), 4) + 0 AS d FROM em_s",
     "item_se": "SELECT item_id, round(sqrt(hdd / det), 4) AS se_a, round(sqrt(greatest((d / (a * a)) ** 2 * hdd / det + (1 / a) ** 2 * haa / det + 2 * (d / (a * a)) * (1 / a) * had / det, 0)), 4) AS se_b FROM em_s",
     "rotate_options": "SELECT item_id, k::INT AS k, array_to_string(list_transform(range(4), lambda i: options[(i - k + 4) % 4 + 1]), '|') AS rotated FROM lettered, range(4) r(k)",
     "answer_letter": "SELECT item_id, substr('ABCDEFGHIJ', list_position(options, answer)::INT, 1) AS letter, array_to_string(list_transform(range(4), lambda i: substr('ABCDEFGHIJ', (i + 1)::INT, 1) || '. ' || options[i + 1]), chr(10)) AS shown FROM lettered",
-    "item_hash": "SELECT item_id, substr(sha256('bench' || chr(0) || t || array_to_string(list_transform(w[1:3], lambda o: chr(1) || trim(regexp_replace(o, '\\s+', ' ', 'g'), ' ')), '') || chr(2) || trim(regexp_replace(w[1], '\\s+', ' ', 'g'), ' ')), 1, 16) AS hash FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t, string_split(text, ' ') AS w FROM benchmark)",
+    "item_hash": "SELECT item_id, substr(sha256('bench' || chr(0) || t || array_to_string(list_transform(w, lambda o: chr(1) || trim(regexp_replace(o, '\\s+', ' ', 'g'), ' ')), '') || chr(2) || trim(regexp_replace(w[1], '\\s+', ' ', 'g'), ' ')), 1, 16) AS hash FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t, string_split(text, ' ') AS w FROM benchmark)",
     "question_key_duplicates": "SELECT key, count(*) AS size, min(doc_id) AS first_item, count(DISTINCT source) > 1 AS cross_benchmark, count(DISTINCT answer) > 1 AS keys_disagree FROM squeezed GROUP BY ALL HAVING count(*) > 1",
     "decision_choice": "SELECT item_id, CASE WHEN item_id % 11 = 0 THEN NULL WHEN item_id % 11 = 1 THEN 'B' WHEN a > b AND a > c THEN 'A' WHEN b > a AND b > c THEN 'B' WHEN c > a AND c > b THEN 'C' END AS choice FROM (SELECT item_id, item_id * 2 % 7 AS a, item_id * 3 % 7 AS b, item_id * 5 % 7 AS c FROM items)",
     "family_classify": "SELECT i AS model_id, ['merge', 'tuned', 'base', 'tuned', 'tuned', 'other', 'base', 'tuned'][i * 5 % 8 + 1] AS family FROM range(150) t(i)",
@@ -243,15 +244,22 @@ BODIES |= {
     "observed_output": "SELECT role AS alias, round(avg(length(text)), 5) AS mean_output, count(*) AS n FROM conversations WHERE turn % 5 <> 4 AND text IS NOT NULL GROUP BY ALL",
     "template_flip_rates": "SELECT template, round(avg(1 - agreement), 6) AS flip_rate, count(*) AS n FROM (SELECT x.template, model_id, avg((x.correct = y.correct)::INT) AS agreement FROM first_a x JOIN second_a y USING (model_id, item_id) GROUP BY ALL) GROUP BY ALL",
     "results_table": "SELECT 'kendall_tau' AS measure, round(sum(sx * sy) / sqrt(sum(abs(sx))::DOUBLE * sum(abs(sy))), 5) AS point, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, count(*) AS n FROM (SELECT sign(x.score - y.score) AS sx, sign(x.theta - y.theta) AS sy FROM truth x JOIN truth y ON x.model_id < y.model_id) UNION ALL SELECT 'repeat_agreement', round(coalesce(count(*) FILTER (n > 1 AND (k = 0 OR k = n))::DOUBLE / nullif(count(*) FILTER (n > 1), 0), 1), 6), NULL, NULL, count(*) FILTER (n > 1) FROM cells",
-    "raw_instances": "SELECT item_id::VARCHAR AS id, least(len(string_split(text, ' ')), 3)::INT AS n_options, string_split(text, ' ')[2] AS answer FROM benchmark",
+    "raw_instances": "SELECT item_id::VARCHAR AS id, len(string_split(text, ' '))::INT AS n_options, string_split(text, ' ')[2] AS answer FROM benchmark",
     "run_names": "SELECT p_partkey, lower(p_brand) || ':subject=' || p_size || ',split=test' AS scenario_key, lower(replace(p_type, ' ', '_')) AS model FROM part",
-    "task_identities": "SELECT source AS task, doc_id, answer_key, substr(sha256(source || chr(0) || q || CASE WHEN same > 1 THEN chr(31) || answer_key || chr(31) || pos ELSE '' END), 1, 16) AS item_id FROM (SELECT *, count(*) OVER (PARTITION BY source, q) AS same, row_number() OVER (PARTITION BY source, q, answer_key ORDER BY doc_id) AS pos FROM (SELECT source, doc_id, (doc_id % 2)::VARCHAR AS answer_key, trim(regexp_replace(substr(text, 1, 20), '\\s+', ' ', 'g'), ' ') AS q FROM documents))",
+    "task_identities": "SELECT source AS task, doc_id, answer_key, substr(sha256(source || chr(0) || q || CASE WHEN same > 1 THEN chr(31) || answer_key || chr(31) || pos ELSE '' END), 1, 16) AS item_id FROM (SELECT *, count(*) OVER (PARTITION BY source, q) AS same, row_number() OVER (PARTITION BY source, q, answer_key ORDER BY doc_id) AS pos FROM (SELECT source, doc_id, (doc_id % 2)::VARCHAR AS answer_key, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS q FROM documents))",
     "leaderboard_candidates": "SELECT 'm' || (s_suppkey % 37) AS fullname, s_name AS eval_name, s_acctbal AS average FROM supplier WHERE s_suppkey % 11 <> 0 QUALIFY row_number() OVER (PARTITION BY s_suppkey % 37 ORDER BY s_acctbal DESC, s_name) = 1",
     "bank_build": "SELECT count(*) AS cells, count(DISTINCT item_id) AS items, count(DISTINCT model_id) AS models, round(count(*) / (count(DISTINCT item_id) * count(DISTINCT model_id)), 6) AS density FROM responses WHERE item_id IN (SELECT item_id FROM responses GROUP BY item_id HAVING count(*) >= 40)",
     "incomplete_items": "SELECT item_id FROM items WHERE item_id % 4 IN (0, 1) AND item_id % 6 <> 0",
 }
 
 
+from . import more_oracle  # noqa: E402 - the rest of the queries
+
+VIEWS |= more_oracle.VIEWS | {"mh_contrast": MH.replace("groups", "groups_contrast")}
+BODIES |= more_oracle.BODIES
+BODIES["reason_counts"] = f"SELECT benchmark, coalesce(reason, 'can be asked') AS reason, count(*) AS n, count(DISTINCT item_id) AS n_items FROM ({BODIES['administrable_reasons']}) GROUP BY ALL"
+
+
 def _needed(body: str) -> list[str]:
     """The views a text uses, those they use first."""
     import re

@@ -31,7 +31,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def panel(records: DataFrame, suite: DataFrame) -> DataFrame:
     """The suite's cells with an answer; of repeated cells the last record counts."""
-    known = records.join(F.broadcast(suite.select("item_id")), "item_id", "left_semi").where("correct is not null")
+    known = records.join(suite.select("item_id"), "item_id", "left_semi").where("correct is not null")
     last = W.partitionBy("alias", "item_id").orderBy(F.desc("ledger_id"), F.desc("request_sha256"))
     return known.withColumn("r", F.row_number().over(last)).where("r = 1").select(F.col("alias").alias("model_id"), "item_id", "correct", "cost_usd")
 
@@ -75,3 +75,83 @@ def matching_params(params: DataFrame, items: DataFrame) -> DataFrame:
 def latest(dated: DataFrame, column: str = "date") -> DataFrame:
     """The rows of the latest date (ISO strings compare as dates)."""
     return dated.join(F.broadcast(dated.agg(F.max(column).alias(column))), column, "left_semi")
+
+
+def supersede_file(spark: SparkSession, source: str, target: str, aliases: list[str]) -> None:
+    """A copy of a log without the given aliases; the old one stays as it is."""
+    append_records(supersede(read_records(spark, source), aliases), target)
+
+
+def save_prices(rows: DataFrame, path: str) -> None:
+    """rows: date and prices; a folder for each date."""
+    rows.write.mode("append").partitionBy("date").json(path)
+
+
+def latest_prices(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the latest date: dates are folders, so no other file is opened."""
+    rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").json(path).withColumn("date", F.col("date").cast("string"))
+    return rows.where(F.col("date") == rows.agg(F.max("date")).first()[0])
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The bank versions under a path: the folders that hold a manifest."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/*/manifest"))
+    return sorted(f.getPath().getParent().getName() for f in found or ())
+
+
+def save_fit(spark: SparkSession, path: str, version: str, kind: str, params: DataFrame, abilities: DataFrame) -> None:
+    """Parameters and abilities beside their bank, with the digest of the bank's items they are for."""
+    root = f"{path}/{version}"
+    params.write.mode("overwrite").parquet(f"{root}/params-{kind}.parquet")
+    abilities.write.mode("overwrite").parquet(f"{root}/abilities-{kind}.parquet")
+    items = json.loads(spark.read.text(f"{root}/manifest").first()["value"])["hash"]["items"]
+    spark.createDataFrame([(json.dumps({"kind": kind, "items": items}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/fit-{kind}")
+
+
+def load_fit(spark: SparkSession, path: str, version: str, kind: str, items: DataFrame) -> dict[str, DataFrame]:
+    """Raises if the fit is for other items than the bank's present ones."""
+    root = f"{path}/{version}"
+    said = json.loads(spark.read.text(f"{root}/fit-{kind}").first()["value"])
+    if said["items"] != json.loads(spark.read.text(f"{root}/manifest").first()["value"])["hash"]["items"]:
+        raise ValueError(f"the {kind} fit of {version} is for other items")
+    return {"params": matching_params(spark.read.parquet(f"{root}/params-{kind}.parquet"), items), "abilities": spark.read.parquet(f"{root}/abilities-{kind}.parquet")}
+
+
+def save_dependence(blocks: DataFrame, path: str, version: str) -> None:
+    """blocks: benchmark and the item_ids of each dependent block."""
+    blocks.write.mode("overwrite").json(f"{path}/{version}/dependence")
+
+
+def dependence_index(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """item_id and the number of its block within its benchmark."""
+    rows = spark.read.schema("benchmark string, items array<bigint>").json(f"{path}/{version}/dependence")
+    rows = rows.withColumn("block", F.row_number().over(W.partitionBy("benchmark").orderBy(F.desc(F.size("items")), F.get("items", 0))))
+    return rows.select("benchmark", "block", F.explode("items").alias("item_id"))
+
+
+def save_suite(suite: DataFrame, path: str, version: str, name: str) -> None:
+    suite.select("benchmark", "item_id").coalesce(1).write.mode("overwrite").json(f"{path}/{version}/suite-{name}")
+
+
+def load_suite(spark: SparkSession, path: str, version: str, name: str) -> DataFrame:
+    return spark.read.schema("benchmark string, item_id bigint").json(f"{path}/{version}/suite-{name}")
+
+
+def save_packed(responses: DataFrame, models: DataFrame, path: str) -> None:
+    """A row for each item: its answers in the order of the models' ids, a character each
+    (0, 1, or 2 for none)."""
+    places = models.select("model_id", (F.row_number().over(W.orderBy("model_id")) - 1).alias("place"))
+    places.write.mode("overwrite").parquet(f"{path}/models")
+    n = places.count()
+    answers = F.map_from_entries(F.collect_list(F.struct("place", "correct")))
+    held = responses.join(places, "model_id").groupBy("item_id").agg(answers.alias("m"))
+    packed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m", i).cast("string"), F.lit("2"))), "")
+    held.select("item_id", packed.alias("answers")).write.mode("overwrite").parquet(f"{path}/answers")
+
+
+def load_packed(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(f"{path}/answers").select("item_id", F.posexplode(F.split("answers", "")).alias("place", "x")).where("x in ('0', '1')")
+    return rows.join(spark.read.parquet(f"{path}/models"), "place").select("model_id", "item_id", F.col("x").cast("int").alias("correct"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -16,3 +16,11 @@ def shared_path(spark: SparkSession, label: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumetric-"))
         given = spark.sparkContext.getCheckpointDir()
     return f"{given.rstrip('/')}/lumetric/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: its lineage ends there,
+    and lost executors take nothing along."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,10 @@
 """Abilities so far, as answers arrive: a stateful stream over answer files.
 
-The state of a model is its log posterior on the nodes and how many answers it
-holds. Updates add, so late and out-of-order answers change nothing, and the last
-state of a model equals batch scoring of the same answers.
+The state of a model is its log posterior on the nodes, how many answers it holds, and
+a bit for each item of the bank it has answered: its size is the bank's, however long
+the stream runs. Updates add, so late and out-of-order answers change nothing, an item's
+first answer counts, and the last state of a model equals batch scoring of the same
+answers.
 """
 
 from __future__ import annotations
@@ -26,8 +28,7 @@ def answers_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def running_abilities(answers: DataFrame, params: DataFrame) -> DataFrame:
-    """A row for each model and micro-batch that brought it answers. An answer that
-    arrives twice (the same request_sha256) counts once."""
+    """A row for each model and micro-batch that brought it answers."""
     p = params.orderBy("item_id").toPandas()
     checked(40 * len(p), "item parameters")
     x, lw = em.quadrature()
@@ -38,19 +39,20 @@ def running_abilities(answers: DataFrame, params: DataFrame) -> DataFrame:
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         place, right, wrong, x, lw = shared.value
         log, n = (np.array(state.get[0]), state.get[1]) if state.exists else (lw.copy(), 0)
+        seen = np.unpackbits(np.frombuffer(state.get[2], np.uint8)).astype(bool) if state.exists else np.zeros(-(-len(place) // 8) * 8, bool)
         for f in frames:
             for item, correct in zip(f["item_id"], f["correct"], strict=True):
-                if item in place:
+                if item in place and not seen[place[item]]:
+                    seen[place[item]] = True
                     log = log + (right if correct else wrong)[place[item]]
                     n += 1
-        state.update((log.tolist(), n))
+        state.update((log.tolist(), n, np.packbits(seen).tobytes()))
         e = np.exp(log - log.max())
         post = e / e.sum()
         theta = float(post @ x)
         yield pd.DataFrame([(key[0], theta, float(np.sqrt(max(post @ (x * x) - theta * theta, 0))), n)], columns=["model_id", "theta", "se", "n"])
 
-    fresh = answers.dropDuplicates(["request_sha256"])
-    return fresh.groupBy("model_id").applyInPandasWithState(update, OUT, "log array<double>, n bigint", "append", GroupStateTimeout.NoTimeout)
+    return answers.groupBy("model_id").applyInPandasWithState(update, OUT, "log array<double>, n bigint, seen binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def final_abilities(spark: SparkSession, path: str, params: DataFrame, out: str, checkpoint: str) -> DataFrame:

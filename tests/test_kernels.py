@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from lumetric.kernels import cat, em, replies, stats
+from lumetric.kernels import cat, em, math_text, stats
 
 
 def planted(models=300, items=120, guess=0.0, holes=0.0, seed=1):
@@ -96,20 +96,10 @@ def test_exact_tetrachoric():
     assert math.isclose(stats.bivariate(0.0, 0.0, 0.5), 1 / 3, abs_tol=1e-9)
 
 
-@pytest.mark.parametrize(("reply", "want"), [("Answer: B", "B"), ("The final answer is (c).", "C"), ("d", "D"), ("a", "A"), ("I think a cat", None), ("Answer: E", None), ("B and C", None), ("**A**", "A"), ("", None), ("surely B, yes", "B")])
-def test_choices(reply, want):
-    assert replies.parse_choice(reply, 4) == want
-
-
-def test_choice_by_option_text():
-    assert replies.parse_choice("Answer: No", 2, ["Yes", "No"]) == "B"
-    assert replies.parse_choice("there is no link", 2, ["Yes", "No"]) is None
-
-
-@pytest.mark.parametrize(("reply", "want"), [(r"so \boxed{\frac{1}{2}}", "1/2"), ("Answer: 1,234", "1234"), ("x = 0.50", "1/2"), ("none", None), (r"\boxed{a\text{ b}}", "ab")])
+@pytest.mark.parametrize(("reply", "want"), [(r"so \boxed{\frac{1}{2}}", "1/2"), ("Answer: 1,234", "1234"), ("x = 0.50", "1/2"), ("none", None), (r"\boxed{a\text{ b}}", "ab"), (None, None), (r"\boxed{\frac{x}{2}}", r"\frac{x}{2}"), (r"\boxed{1} then \boxed {2", "2"), (r"\boxed{y = \left(3, 4\right)}", "(3,4)"), ("the answer is 3/4.", "3/4"), (r"\boxed{50\%}", "50"), ("7 or -8", "-8"), (r"\boxed{\dfrac{6}{4}}", "3/2"), (r"\boxed{{a}}", "{a}"), (r"\boxed{1/0}", "1/0")])
 def test_math(reply, want):
-    assert replies.parse_math(reply) == want
+    assert math_text.stated(reply) == want
 
 
 def test_math_equality():
-    assert replies.math_equal("0.5", r"\frac{1}{2}") and not replies.math_equal("1/3", "0.3")
+    assert math_text.same("0.5", r"\frac{1}{2}") and not math_text.same("1/3", "0.3") and math_text.same(r"$1{,}000$", "1{,}000")

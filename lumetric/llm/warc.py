@@ -2,12 +2,13 @@
 
 Writing. Of the pages with equal payloads the one with the largest page_id is
 the response; the others are revisit records that name it and carry no payload.
-Payloads are grouped by digest and length; the groups' table and the pages'
-digests are stored tables, so that adaptive execution can split the join on a
-payload that a third of all pages share. Every record is a gzip member of its
-own, as archives are kept; members are written by Spark's text sink (its rows are
-bytes, its separator is an empty gzip member), so any store that Spark writes
-holds the archives and task commits are atomic.
+Payloads are grouped by digest and length; the groups that more than one page has
+are a stored table beside the scan of the pages, so that adaptive execution can split
+the join on a payload that a third of all pages share. Every record is a gzip member of
+its own, as archives are kept. An archive is one row of Spark's text sink (its rows are
+bytes, its separator is an empty gzip member) and ends at the first record that brings
+it to ARCHIVE_BYTES, so any store that Spark writes holds the archives, task commits
+are atomic, and no file is much larger than that or than its largest record.
 
 Reading. A record is read where its gzip member decompresses, its version line
 and headers parse, its length fits and its block digest agrees. After a failed
@@ -43,8 +44,8 @@ from .common import read, shared_path, shared_table, take
 OWNER = "warc"
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
-#: Records of one archive file, which the reader takes as a whole.
-RECORDS_PER_FILE = 1000
+#: Bytes after which an archive ends; the reader takes a file as a whole.
+ARCHIVE_BYTES = 8 << 20
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -246,22 +247,27 @@ def with_responses(pages: DataFrame, least_bytes: int = LEAST_BYTES, owner: str
     return out.select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE, owner: str = OWNER) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, owner: str = OWNER) -> None:
     """Writes gzip archives (one member for each record) under path."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for b in batches:
-            out = []
             for page_id, url, html, refers in zip(*[b.column(i) for i in range(4)], strict=True):
                 payload, to = (html.as_py() or "").encode("utf-8"), refers.as_py()
                 out.append(gzip_member(record_bytes(page_id.as_py(), url.as_py(), payload, to is not None, to, digest(payload))))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-
-    rows = with_responses(pages, least_bytes, owner).mapInArrow(members, "member binary")
+                size += len(out[-1])
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
+
+    rows = with_responses(pages, least_bytes, owner).mapInArrow(members, "archive binary")
     (
-        rows.select(F.col("member").cast("string"))
+        rows.select(F.col("archive").cast("string"))
         .write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
-        .option("maxRecordsPerFile", records_per_file).text(path)
+        .option("maxRecordsPerFile", 1).text(path)
     )
 
 
@@ -288,8 +294,8 @@ def read_archives(spark: SparkSession, path: str, with_blocks: bool = True) -> D
                     own = digest(r.block) if kind == "response" else stated or None
                     out.append((name.as_py(), number(h.get("warc-record-id")), h.get("warc-target-uri"), kind, number(h.get("warc-refers-to")), size, own, r.block if with_blocks else None, r.start, r.end, None))
                 out += [(name.as_py(), *[None] * 7, s, e, why) for s, e, why in found.gaps]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                for k in range(0, len(out), 200):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out[k : k + 200], strict=True), schema, strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(rows, READ_SCHEMA)

@@ -766,7 +766,8 @@ def test_warc_round_trip(spark):
     from lumetric.llm.common import shared_path
 
     path = shared_path(spark, "test", "warc")
-    warc.write_archives(d, path, records_per_file=2)
+    warc.write_archives(d.coalesce(1), path, archive_bytes=300)
+    assert len({r["file"] for r in warc.read_archives(spark, path).collect()}) > 2
     got = warc.read_archives(spark, path).collect()
     assert not [r for r in got if r["gap"]]
     largest = {h or "": max(p for p, _, g in data if p is not None and (g or "") == (h or "")) for _, _, h in data}
@@ -781,6 +782,14 @@ def test_warc_round_trip(spark):
     assert {r["record_type"] for r in warc.read_archives(spark, path).collect()} == {"response"}
 
 
+def test_no_archives_of_no_pages(spark):
+    from lumetric.llm.common import shared_path
+
+    path = shared_path(spark, "test", "warc")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read_archives(spark, path).count() == 0
+
+
 def records(n=20):
     return [warc.record_bytes(i, "u", f"<p>{'text ' * i}</p>".encode(), False, None, "X") for i in range(n)]
 

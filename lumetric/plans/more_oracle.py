@@ -111,7 +111,7 @@ BODIES: dict[str, str] = {
         FROM (SELECT ability, any_value(rise) AS rise, list(means ORDER BY n) AS means, count(*) AS size FROM resolution GROUP BY ability), (SELECT unnest([1, 3, 10, 25]) AS effect), (SELECT unnest([true, false]) AS paired))""",
     "detectable_effect": f"SELECT ability, n, round(100 * rise * {_Z}e0 * sqrt(2 / (n * means)), 6) AS effect FROM resolution WHERE n IN (10, 50, 200)",
     "power_at": f"SELECT ability, n, effect, round({_upper(f'({_Z2}e0 - s)')} + {_upper(f'({_Z2}e0 + s)')}, 4) AS power FROM (SELECT *, effect / 100e0 / rise / sqrt(2 / (n * means)) AS s FROM resolution, (SELECT unnest([2, 10]) AS effect) WHERE n IN (10, 50, 200))",
-    "precision_stop": "SELECT model_id, n, round(round(se, 6), 4) AS se, n >= 10 AND round(se, 6) <= 0.45 AS reached FROM eap JOIN (SELECT model_id, count(*) AS n FROM dense GROUP BY ALL) USING (model_id)",
+    "precision_stop": "SELECT model_id, n, round(se, 4) AS se, n >= 10 AND se <= 0.45 AS reached FROM eap JOIN (SELECT model_id, count(*) AS n FROM dense GROUP BY ALL) USING (model_id)",
     "target_reached": "SELECT method, min(n) FILTER (value >= 0.8) AS n FROM score_curve GROUP BY ALL",
     "carried_estimates": """SELECT model_id, "at", round(max_by(theta, n), 6) AS theta, max(n) AS n FROM (SELECT model_id, row_number() OVER w AS n, avg(correct) OVER (w ROWS UNBOUNDED PRECEDING) AS theta FROM dense WINDOW w AS (PARTITION BY model_id ORDER BY item_id))
         JOIN (SELECT unnest([5, 20, 40, 60]) AS "at") ON n <= "at" GROUP BY ALL""",
@@ -145,7 +145,7 @@ BODIES: dict[str, str] = {
     "instance_scan": "SELECT l_partkey AS id, l_orderkey, l_quantity FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1",
     "record_panel": """SELECT 'm' || model_id AS model_id, count(*) AS n, sum(correct)::BIGINT AS right, round(sum(cost_usd), 5) AS usd FROM (SELECT * FROM logged WHERE correct IS NOT NULL AND item_id % 5 <> 4 QUALIFY row_number() OVER (PARTITION BY model_id, item_id ORDER BY rep DESC) = 1) GROUP BY ALL""",
     "superseded_log": "SELECT 'old' AS log, count(*) AS n, count(DISTINCT model_id) AS aliases FROM adm60 UNION ALL SELECT 'new', count(*), count(DISTINCT model_id) FROM adm60 WHERE model_id % 7 <> 0",
-    "latest_prices": "SELECT 'p' || (s_suppkey % 5) AS provider, lower(s_name) AS model, round(abs(s_acctbal) / 1000, 4) AS input FROM supplier WHERE s_suppkey % 4 = (SELECT max(s_suppkey % 4) FROM supplier)",
+    "latest_prices": "SELECT 'p' || (s_suppkey % 5) AS provider, lower(s_name) AS model, abs(s_acctbal) AS input FROM supplier WHERE s_suppkey % 4 = (SELECT max(s_suppkey % 4) FROM supplier)",
     "fit_sinks": f"""SELECT 'params' AS what, count(*) AS n, round(sum(b), 6) AS value FROM params60 UNION ALL SELECT 'abilities', count(*), round(sum(theta), 6) FROM abilities UNION ALL SELECT 'dependence', count(*), count(*)::DOUBLE FROM items60
         UNION ALL SELECT 'suite', count(*), sum(item_id)::DOUBLE FROM (SELECT item_id FROM items60 QUALIFY row_number() OVER (PARTITION BY benchmark ORDER BY {_u("'suite'", 'item_id')}, item_id) <= 4) UNION ALL SELECT 'versions', 1, 0e0""",
     "packed_matrix": "SELECT model_id, item_id, correct FROM responses",

@@ -115,7 +115,7 @@ def power_at(spark, sf):
 @query
 def precision_stop(spark, sf):
     n = fx.responses_dense(spark, sf).groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(panels.precise(rounded(dense_eap(spark, sf), 6, "se").join(n, "model_id"), 0.45), 4, "se")
+    return rounded(panels.precise(dense_eap(spark, sf).join(n, "model_id"), 0.45), 4, "se")
 
 
 @query
@@ -366,7 +366,7 @@ def superseded_log(spark, sf):
 def latest_prices(spark, sf):
     """Dated price files on disk; the latest one's rows."""
     path = scratch.shared_path(spark, "prices")
-    rows = fx.table(spark, sf, "supplier").select(F.concat(F.lit("p"), (F.col("s_suppkey") % 5).cast("string")).alias("provider"), F.lower("s_name").alias("model"), F.round(F.abs("s_acctbal") / 1000, 4).alias("input"), F.concat(F.lit("2026-0"), (F.col("s_suppkey") % 4 + 1).cast("string"), F.lit("-01")).alias("date"))
+    rows = fx.table(spark, sf, "supplier").select(F.concat(F.lit("p"), (F.col("s_suppkey") % 5).cast("string")).alias("provider"), F.lower("s_name").alias("model"), F.abs("s_acctbal").alias("input"), F.concat(F.lit("2026-0"), (F.col("s_suppkey") % 4 + 1).cast("string"), F.lit("-01")).alias("date"))
     records.save_prices(rows, path)
     return records.latest_prices(spark, path).select("provider", "model", "input")
 

@@ -58,7 +58,7 @@ from .common import read, shared_table, take
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 SEGMENT_IDS = 1_000_000
 #: Bytes after which the memo of pieces starts again.
-MEMO_BYTES = 256_000_000
+MEMO_BYTES = 176_000_000
 MAGIC, BLOCK = b"DAC1", 512
 #: Bits of the levels; the last level takes what is left.
 WIDTHS = (8, 8, 16)

@@ -1,6 +1,12 @@
 """Near-duplicate texts: every pair whose 5-word shingles have a Jaccard of 0.8 at least.
 
-The join is exact. Shingles are put in one order for all texts, those common in
+Operator 6's method comes first: SimHash fingerprints over 5-word shingles, its
+byte-position inverted index and count filter, here at a minimum of 4 shared bytes, since
+texts as alike as that differ in 10 bits on average. What the index joins is verified by
+whole sets. No minimum of shared bytes is certain at that Jaccard, so the pairs that the
+fingerprints leave are found in an exact way, between different components only.
+
+That join is exact. Shingles are put in one order for all texts, those common in
 a sample last; of two texts as alike as that, each has a shared shingle among
 its first n - ceil(0.8 n) + 1, so only these are posted and only texts that
 meet in a list are compared. The sample sets the order only, and any order finds the
@@ -9,9 +15,9 @@ of its shingles fall into each of a few buckets, and two sets share at most the
 the lesser counts. Pairs that share a passage but not 0.8 go there, for some hundred bytes
 a text; the rest is compared by whole sets.
 
-Equal sets are one entry. Members of a list are first compared with the list's
-smallest row, so that a hot group of near copies is connected by as many pairs as
-it has members; then all pairs of different components that meet are compared.
+Equal sets are one entry. A list of the byte-position index emits a forest, so that a
+hot group of near copies is connected by about as many pairs as it has members; then
+all pairs of different components that meet in a list of shingles are compared.
 Pairs within a component need no comparison. A shingle that unlike texts share
 still costs the square of its list.
 
@@ -25,7 +31,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import remove, shared_path, shared_table
 from .components import components
 
 SHINGLE, SEED = 5, 42
+#: Bytes in which fingerprints may differ: at least 4 of the 8 are shared.
+APART = 4
 #: Least Jaccard similarity, as a fraction of whole numbers.
 OVER, UNDER = 4, 5
 #: Texts of the sample, the count from which it calls a shingle common, and as how many at most.
@@ -47,15 +56,7 @@ BROADCAST_ROWS = 1_000_000
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The sorted distinct hashes (int64) of a text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    if len(words) < SHINGLE:
-        parts: Iterable[bytes] = [b" ".join(words)]
-    else:
-        parts = map(b" ".join, zip(*[words[i:] for i in range(SHINGLE)], strict=False))
-    of = xxhash.xxh64_intdigest
-    return np.unique(np.array([of(p, SEED) for p in parts], np.uint64).view(np.int64))
+    return np.unique(simhash.hashes(text, SHINGLE).view(np.int64))
 
 
 def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -117,14 +118,16 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _prints(texts: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(x.as_py()) for x in b.column(2)]
+            every = [simhash.hashes(x.as_py(), SHINGLE) for x in b.column(2)]
+            fps = pa.array([simhash.signed(simhash.folded(x)) for x in every], pa.int64())
+            sets = [np.unique(x.view(np.int64)) for x in every]
             whole = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             first = _lists([prefix(x, *shared.value) for x in sets])
             signs = pa.array([signature(x) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), first, signs], ["row_", "doc_id", "whole", "n", "prefix", "sign"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), first, signs, fps], ["row_", "doc_id", "whole", "n", "prefix", "sign", "fp"])
 
     rows = texts.select("row_", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "row_ bigint, doc_id bigint, whole bigint, n bigint, prefix array<bigint>, sign binary")
+    return rows.mapInArrow(run, "row_ bigint, doc_id bigint, whole bigint, n bigint, prefix array<bigint>, sign binary, fp bigint")
 
 
 def few(rows: DataFrame) -> DataFrame:
@@ -161,6 +164,16 @@ def _alike(texts: DataFrame, prints: DataFrame, pairs: DataFrame, owner: str) ->
     return out
 
 
+def _met(firsts: DataFrame, owner: str) -> DataFrame:
+    """a, b: rows whose fingerprints the byte-position index joins, as forests of its lists."""
+    hubs = shared_table(firsts.groupBy("fp").agg(F.min("row_").alias("hub")), owner, "hubs")
+    same = firsts.join(hubs, "fp").where("row_ <> hub").select(F.col("hub").alias("a"), F.col("row_").alias("b"))
+    forest = shared_table(simhash.link_table(hubs.select("fp"), APART, owner=owner, within=64).distinct(), owner, "forest")
+    ends = {k: hubs.select(F.col("fp").alias(k), F.col("hub").alias(f"row_{k}")) for k in "ab"}
+    pairs = forest.join(ends["a"], "a").join(ends["b"], "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+    return shared_table(same.unionByName(pairs).distinct(), owner, "met")
+
+
 def _crossings(lists: DataFrame) -> DataFrame:
     """a, b: members of a list in different components, their sizes near enough;
     lists come as sorted runs of (s, row_, n, label)."""
@@ -194,25 +207,24 @@ def near_groups(texts: DataFrame, owner: str) -> DataFrame:
     and text, its row_ a key: rows that alike pairs connect have one root."""
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts))
     prints = shared_table(_prints(texts, shared), owner, "prints")
-    firsts = shared_table(prints.groupBy("whole").agg(F.min("row_").alias("row_")), owner, "firsts")
+    firsts = shared_table(prints.groupBy("whole").agg(F.min("row_").alias("row_"), F.min_by("fp", "row_").alias("fp")), owner, "firsts")
+    met = _met(firsts, owner)
+    links = _alike(texts, prints, met, owner)
+    roots = components(links, owner)
     posted = prints.join(firsts.select("row_"), "row_", "left_semi").select(F.explode("prefix").alias("s"), "row_", "n")
-    hubs = posted.groupBy("s").agg(F.min("row_").alias("hub"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    hubs = shared_table(hubs.select("s", "hub"), owner, "hubs")
+    shared_by = shared_table(posted.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("s"), owner, "shared_by")
     lists_path = shared_path(texts.sparkSession, owner, "lists")
-    posted.join(hubs, "s").select("s", "row_", "n", "hub").write.parquet(lists_path)
+    posted.join(shared_by, "s").select("s", "row_", "n").write.parquet(lists_path)
     lists = texts.sparkSession.read.parquet(lists_path)
-    stars = shared_table(lists.where("row_ <> hub").select(F.col("hub").alias("a"), F.col("row_").alias("b")).distinct(), owner, "stars")
-    links = _alike(texts, prints, stars, owner)
-    roots = components(links, owner)
     labels = roots.select(F.col("v").alias("row_"), F.col("root").alias("label"))
     labelled = shared_table(lists.select("s", "row_", "n").join(labels, "row_", "left").select("s", "row_", "n", F.coalesce("label", "row_").alias("label")), owner, "labelled")
     remove(texts.sparkSession, lists_path)
     mixed = shared_table(labelled.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s"), owner, "mixed")
     runs = labelled.join(mixed, "s", "left_semi").repartition("s").sortWithinPartitions("s")
-    crossings = shared_table(_crossings(runs.select("s", "row_", "n", "label")).distinct().join(stars, ["a", "b"], "left_anti"), owner, "crossings")
+    crossings = shared_table(_crossings(runs.select("s", "row_", "n", "label")).distinct().join(met, ["a", "b"], "left_anti"), owner, "crossings")
     more = _alike(texts, prints, crossings, owner)
     if more.limit(1).count():
         roots = components(links.unionByName(more), owner)
-    named = firsts.join(roots.withColumnRenamed("v", "row_"), "row_", "left").select("whole", F.coalesce("root", "row_").alias("root"))
+    named = firsts.select("whole", "row_").join(roots.withColumnRenamed("v", "row_"), "row_", "left").select("whole", F.coalesce("root", "row_").alias("root"))
     # both sides are stored tables, so adaptive execution can split a hot text
     return prints.select("row_", "doc_id", "whole").join(shared_table(named, owner, "named"), "whole").select("row_", "doc_id", "root")

@@ -20,6 +20,11 @@ with the square, all links come from sorting by every choice of 3 of the 24 free
 bits (fingerprints equal elsewhere are linked). Either way a list emits a
 spanning forest of its links and never the pairs.
 
+The pipeline's near-duplicate stage takes the same index for alike texts, which differ in
+more bits: a minimum of 4 shared bytes, lists of 3 positions (20 hold every 4), and
+`within` 64, since whole texts decide there. Of fingerprints that meet, the nearest are
+joined first.
+
 Defined results
     null or empty text, or only white space: fingerprint zero, linked as any other
     fewer than 3 words: one shingle of all words
@@ -54,6 +59,11 @@ OWNER = "simhash"
 
 def position_sets(bits: int = BITS) -> list[tuple[int, ...]]:
     """Choices of positions such that every 8 - bits positions contain one of them."""
+    if bits == 4:
+        # Turan's triples: within a group, or two of a group and one of the next
+        groups = (0, 1, 2), (3, 4, 5), (6, 7)
+        out = [t for g in groups for t in combinations(g, 3)]
+        return out + [tuple(sorted((*two, x))) for g, after in zip(groups, groups[1:] + groups[:1], strict=True) for two in combinations(g, 2) for x in after]
     if bits != 3:
         return list(combinations(range(8), 8 - bits))
     halves = (0, 1, 2, 3), (4, 5, 6, 7)
@@ -62,22 +72,31 @@ def position_sets(bits: int = BITS) -> list[tuple[int, ...]]:
     return [*halves, *[(*a, *b) for left, right in zip(*pairings, strict=True) for a in left for b in right]]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes (unsigned) of a text's shingles, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     if len(words) < shingle:
         parts: Iterable[bytes] = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
     of = xxhash.xxh64_intdigest
-    h = np.array([of(p, SEED) for p in parts], dtype="<u8")
+    return np.array([of(p, SEED) for p in parts], dtype="<u8")
+
+
+def folded(h: np.ndarray) -> int:
+    """The fingerprint: the bits set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 4096):
         ones += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return folded(hashes(text, shingle))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -123,15 +142,18 @@ def tallied(octets: np.ndarray, i: int, least: int) -> np.ndarray:
     return np.flatnonzero((octets[i + 1 :] == octets[i]).sum(axis=1) >= least) + i + 1
 
 
-def run_links(fps: np.ndarray, free: tuple[int, ...], bits: int = BITS, block: int = BLOCK) -> list[tuple[int, int]]:
+def run_links(fps: np.ndarray, free: tuple[int, ...], bits: int = BITS, block: int = BLOCK, within: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints (uint64) that
-    may differ in the `free` byte positions only."""
+    may differ in the `free` byte positions only: 8 - bits shared bytes and at most
+    `within` differing bits (None: bits; beyond that only 64, no bound) make a link."""
+    within = bits if within is None else within
     forest, n = Forest(len(fps)), len(fps)
     octets = fps.view(np.uint8).reshape(-1, 8)
     if n <= block:
         for i in range(n - 1):
             near = tallied(octets, i, 8 - bits)
-            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= bits]
+            apart = np.bitwise_count(fps[near] ^ fps[i])
+            near = near[apart <= within] if within < 64 else near[np.argsort(apart, kind="stable")]
             if len(near):
                 forest.join(np.full(len(near), i), near)
         return forest.kept
@@ -142,11 +164,15 @@ def run_links(fps: np.ndarray, free: tuple[int, ...], bits: int = BITS, block: i
             cut = np.flatnonzero(np.diff(octets[order, position])) + 1
             for part in np.split(order, cut):
                 if len(part) > 1:
-                    links = run_links(np.ascontiguousarray(fps[part]), tuple(p for p in free if p != position), bits, block)
+                    links = run_links(np.ascontiguousarray(fps[part]), tuple(p for p in free if p != position), bits, block, within)
                     if links:
                         a, b = np.array(links).T
                         forest.join(part[a], part[b])
         return forest.kept
+    if within == 64:
+        # all of them share the least number of bytes
+        order = np.argsort(fps, kind="stable")
+        return list(zip(order[:-1].tolist(), order[1:].tolist(), strict=True))
     open_bits = [8 * p + k for p in free for k in range(8)]
     for chosen in combinations(open_bits, bits):
         mask = ~np.uint64(sum(1 << k for k in chosen))
@@ -159,7 +185,7 @@ def run_links(fps: np.ndarray, free: tuple[int, ...], bits: int = BITS, block: i
     return forest.kept
 
 
-def list_links(postings: DataFrame, subsets: list[tuple[int, ...]], bits: int = BITS) -> DataFrame:
+def list_links(postings: DataFrame, subsets: list[tuple[int, ...]], bits: int = BITS, within: int | None = None) -> DataFrame:
     """a, b: forests of the lists, which come as sorted runs of (list, key, fp)."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +201,7 @@ def list_links(postings: DataFrame, subsets: list[tuple[int, ...]], bits: int =
                 run = fps[s:e].astype(np.int64).view(np.uint64)
                 free = tuple(p for p in range(8) if p not in subsets[ids[s]])
                 signed_run = fps[s:e]
-                found += [(int(signed_run[i]), int(signed_run[j])) for i, j in run_links(np.ascontiguousarray(run), free, bits)]
+                found += [(int(signed_run[i]), int(signed_run[j])) for i, j in run_links(np.ascontiguousarray(run), free, bits, within=within)]
             if found:
                 a, b = np.array(found, dtype=np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -192,11 +218,12 @@ def list_links(postings: DataFrame, subsets: list[tuple[int, ...]], bits: int =
     return postings.mapInArrow(links, "a bigint, b bigint")
 
 
-def link_table(distinct: DataFrame, bits: int = BITS, most_list: int = MOST_LIST, owner: str = OWNER) -> DataFrame:
+def link_table(distinct: DataFrame, bits: int = BITS, most_list: int = MOST_LIST, owner: str = OWNER, within: int | None = None) -> DataFrame:
     """a, b: links among the distinct fingerprints of column fp that connect
-    exactly what all links of `bits` or fewer differing bits connect."""
+    exactly what all links of `bits` or fewer differing bits connect; with `within` 64
+    all fingerprints that share 8 - bits bytes, list by list."""
     whole = position_sets(bits)
-    cuts = [tuple(sorted((*w, p))) for w in whole for p in range(8) if p not in w] if bits == 3 else []
+    cuts = [tuple(sorted((*w, p))) for w in whole for p in range(8) if p not in w] if bits in (3, 4) else []
     subsets = [*whole, *dict.fromkeys(cuts)]
 
     def entries(sets: list[tuple[int, ...]]) -> Column:
@@ -216,7 +243,7 @@ def link_table(distinct: DataFrame, bits: int = BITS, most_list: int = MOST_LIST
             for part in parts:
                 postings = postings.unionByName(part)
     postings = postings.repartition("list", "key").sortWithinPartitions("list", "key")
-    return list_links(postings, subsets, bits)
+    return list_links(postings, subsets, bits, within)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, owner: str = OWNER) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumetric.llm import near_text
+from lumetric.llm import near_text, simhash
 from lumetric.llm.common import shared_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,3 +107,47 @@ def test_a_hot_group_of_near_copies_leaves_one(spark):
     rng, words = random.Random(5), [f"h{i}" for i in range(200)]
     rows = [(i, edited(rng, words, 2), "en", "a", 3) for i in range(150)]
     assert stay(spark, rows)["doc_id"].tolist() == [0]
+
+
+def test_the_near_stage_goes_through_the_fingerprints(spark, monkeypatch):
+    """The byte-position index joins near copies before any list of shingles; those it can't reach come after."""
+    rng, words = random.Random(6), [f"g{i}" for i in range(300)]
+    texts = [" ".join(words), *[edited(rng, words, 1) for _ in range(8)]]
+    docs = shared_table(spark.createDataFrame([(i, t, "en", "a", 3) for i, t in enumerate(texts)], SCHEMA).withColumn("row_", F.col("doc_id")), "test", "docs")
+    asked = []
+    index = simhash.link_table
+
+    def kept(distinct, bits, **more):
+        out = index(distinct, bits, **more)
+        asked.append((bits, {r["fp"] for r in distinct.collect()}, out.collect()))
+        return out
+
+    monkeypatch.setattr("lumetric.llm.simhash.link_table", kept)
+    assert {r["root"] for r in near_text.near_groups(docs, "test").collect()} == {0}
+    ((bits, fps, links),) = asked
+    assert bits == 4 and fps == {simhash.signed(simhash.fingerprint(t, 5)) for t in texts} and links
+
+
+def test_lists_of_three_positions_hold_every_four():
+    sets = [set(s) for s in simhash.position_sets(4)]
+    assert len(sets) == 20 and all(any(s <= set(four) for s in sets) for four in combinations(range(8), 4))
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_the_index_without_a_bit_bound_joins_what_shares_four_bytes(block):
+    rng = np.random.default_rng(3)
+    octets = rng.integers(0, 3, (60, 8), dtype=np.uint8)
+    octets[:, :3] = 7  # a list of three positions
+    fps = np.unique(octets.copy().view(np.uint64).ravel())
+    octets = fps.view(np.uint8).reshape(-1, 8)
+    links = simhash.run_links(fps, (3, 4, 5, 6, 7), 4, block, 64)
+    assert all((octets[a] == octets[b]).sum() >= 4 for a, b in links)
+    def roots(pairs):
+        up = list(range(len(fps)))
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        return up
+
+    every = [(i, j) for i, j in combinations(range(len(fps)), 2) if (octets[i] == octets[j]).sum() >= 4]
+    assert roots(links) == roots(every) and len(links) < len(fps)

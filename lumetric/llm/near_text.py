@@ -10,17 +10,24 @@ That join is exact. Shingles are put in one order for all texts, those common in
 a sample last; of two texts as alike as that, each has a shared shingle among
 its first n - ceil(0.8 n) + 1, so only these are posted and only texts that
 meet in a list are compared. The sample sets the order only, and any order finds the
-same pairs. A pair is first held against a bound: a set's count signature says how many
+same pairs. Where two sets first meet they share at most what each has from there on, so
+a pair counts in a list only where both have enough left. Rows with such a
+partner in another component are ranked once more by their whole sets, shingles of a
+single component first, since no pair across components shares them.
+
+Equal sets are one entry. A list of the byte-position index emits a forest, so that a
+hot group of near copies is connected by about as many pairs as it has members. In a
+few rounds each list of shingles then proposes TRIES pairs for each member at most, across
+components, and the rows are ranked anew by the components found; at last all pairs
+of different components that positions still allow are compared, so no link is lost. These
+are texts that miss 0.8 by little; where a hot group is full of them, their number still grows
+with the square. Pairs within a component need no comparison.
+
+A pair is first held against a bound: a set's count signature says how many
 of its shingles fall into each of a few buckets, and two sets share at most the sum of
 the lesser counts. Pairs that share a passage but not 0.8 go there, for some hundred bytes
 a text; the rest is compared by whole sets.
 
-Equal sets are one entry. A list of the byte-position index emits a forest, so that a
-hot group of near copies is connected by about as many pairs as it has members; then
-all pairs of different components that meet in a list of shingles are compared.
-Pairs within a component need no comparison. A shingle that unlike texts share
-still costs the square of its list.
-
 Defined results
     null or empty text, or only white space: no shingles, alike among themselves
     fewer than 5 words: one shingle of all words
@@ -31,12 +38,12 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -50,6 +57,8 @@ APART = 4
 OVER, UNDER = 4, 5
 #: Texts of the sample, the count from which it calls a shingle common, and as how many at most.
 SAMPLE, OFTEN, MOST_COMMON = 20_000, 3, 200_000
+#: Rounds of linear proposals before all pairs that are left are compared.
+ROUNDS, TRIES = 3, 4
 #: Row keys up to which they are broadcast, so under 20 MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -149,18 +158,25 @@ def _near_enough(prints: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(sizes).select("a", "b", "sign_a", "sign_b", "n_a", "n_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _alike(texts: DataFrame, prints: DataFrame, pairs: DataFrame, owner: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike enough."""
-    spark = texts.sparkSession
+def _sets_of(texts: DataFrame, rows: DataFrame, owner: str) -> tuple[DataFrame, str]:
+    """row_ and found of the given rows, a stored table, and its path."""
+    path = shared_path(texts.sparkSession, owner, "sets")
+    _sets(texts.join(few(rows), "row_", "left_semi")).write.parquet(path)
+    return texts.sparkSession.read.parquet(path), path
+
+
+def _alike(texts: DataFrame, prints: DataFrame, pairs: DataFrame, owner: str, stored: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike enough; stored: sets of all their rows, if there are any."""
     left = shared_table(_near_enough(prints, pairs), owner, "left")
-    need = shared_table(left.select(F.explode(F.array("a", "b")).alias("row_")).distinct(), owner, "need")
-    sets_path = shared_path(spark, owner, "sets")
-    _sets(texts.join(few(need), "row_", "left_semi")).write.parquet(sets_path)
-    sets = spark.read.parquet(sets_path)
+    sets, path = stored, None
+    if sets is None:
+        need = shared_table(left.select(F.explode(F.array("a", "b")).alias("row_")).distinct(), owner, "need")
+        sets, path = _sets_of(texts, need, owner)
     both = left.join(sets.select(F.col("row_").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("row_").alias("b"), F.col("found").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("sum"))
     out = shared_table(both.where(UNDER * F.col("same") >= OVER * (F.col("sum") - F.col("same"))).select("a", "b"), owner, "alike")
-    remove(spark, sets_path)
+    if path:
+        remove(texts.sparkSession, path)
     return out
 
 
@@ -174,22 +190,90 @@ def _met(firsts: DataFrame, owner: str) -> DataFrame:
     return shared_table(same.unionByName(pairs).distinct(), owner, "met")
 
 
-def _crossings(lists: DataFrame) -> DataFrame:
-    """a, b: members of a list in different components, their sizes near enough;
-    lists come as sorted runs of (s, row_, n, label)."""
+def able(row: np.ndarray, need: np.ndarray, room: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which members of a list have one of another component in it that positions allow to be
+    alike: each has room for the other's need. In a pass by need, with the most room of two components."""
+    out, order = np.zeros(len(row), bool), np.argsort(need, kind="stable")
+    # the most room among the first so many, and among those of any other component
+    none = np.iinfo(np.int64).min
+    best = [(none, -1, none)]
+    for r, k in zip(room[order].tolist(), label[order].tolist(), strict=True):
+        most, of, other = best[-1]
+        if k == of:
+            most = max(most, r)
+        elif r > most:
+            most, of, other = r, k, most
+        else:
+            other = max(other, r)
+        best.append((most, of, other))
+    reach = np.searchsorted(need[order], room, side="right")
+    for i, (k, n, at) in enumerate(zip(label.tolist(), need.tolist(), reach.tolist(), strict=True)):
+        most, of, other = best[at]
+        out[i] = (other if of == k else most) >= n
+    return out
+
+
+Arrays = tuple[np.ndarray, ...]
+
+
+def rows_able(*of: np.ndarray) -> Iterator[Arrays]:
+    yield (of[0][able(*of)],)
+
+
+def partners(*of: np.ndarray) -> Iterator[Arrays]:
+    """For each member of a list that has one, members of other components: TRIES of them, a largest
+    component or more further on, so that pairs don't grow faster than the list."""
+    fit = able(*of)
+    row, need, room, label = (x[fit] for x in of)
+    if not len(row):
+        return
+    order = np.argsort(row)
+    dealt = np.random.default_rng([len(row), int(row[order[0]]) & 0xFFFFFFFF, int(row[order[-1]]) & 0xFFFFFFFF])
+    order = order[np.lexsort((dealt.random(len(row)), label[order]))]
+    row, need, room, label = row[order], need[order], room[order], label[order]
+    most = int(np.unique(label, return_counts=True)[1].max())
+    for step in {most, *dealt.integers(1, len(row), TRIES - 1).tolist()}:
+        other = np.roll(np.arange(len(row)), -step)
+        near = (label != label[other]) & (need <= room[other]) & (need[other] <= room)
+        yield np.minimum(row, row[other])[near], np.maximum(row, row[other])[near]
+
+
+def crossings(*of: np.ndarray) -> Iterator[Arrays]:
+    """All pairs of a list's members of different components that positions allow to be alike."""
+    fit = able(*of)
+    row, need, room, label = (x[fit] for x in of)
+    for i in range(len(row) - 1):
+        rest = slice(i + 1, None)
+        other = row[rest][(label[rest] != label[i]) & (need[rest] <= room[i]) & (need[i] <= room[rest])]
+        if len(other):
+            yield np.minimum(other, row[i]), np.maximum(other, row[i])
+
+
+def _over_lists(lists: DataFrame, of: Callable[..., Iterator[Arrays]], names: str) -> DataFrame:
+    """The distinct rows (bigint columns of the names) that `of` gives for every list of a table of
+    s, row_, need, room and label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.empty(0, np.int64)] * 4
+        left = [np.empty(0, np.int64)] * 5
+
+        def batch_of(found: list[Arrays]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names.split())
 
-        def out(s: np.ndarray, row: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(s: np.ndarray, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(s[1:] != s[:-1]) + 1
+            found: list[Arrays] = []
+            held = 0
             for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(s)], strict=True):
-                for i in range(begin, end - 1):
-                    rest = slice(i + 1, end)
-                    near = (label[rest] != label[i]) & (UNDER * np.minimum(n[rest], n[i]) >= OVER * np.maximum(n[rest], n[i]))
-                    other = row[rest][near]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, row[i])), pa.array(np.maximum(other, row[i]))], ["a", "b"])
+                part = [c[begin:end] for c in cols]
+                if len(part[0]) and (part[3] != part[3][0]).any():
+                    for x in of(*part):
+                        found.append(x)
+                        held += len(x[0])
+                        if held >= 1 << 16:
+                            yield batch_of(found)
+                            found, held = [], 0
+            if held:
+                yield batch_of(found)
 
         for batch in batches:
             cols = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(left)]
@@ -199,7 +283,39 @@ def _crossings(lists: DataFrame) -> DataFrame:
             left = [c[last:] for c in cols]
         yield from out(*left)
 
-    return lists.mapInArrow(run, "a bigint, b bigint")
+    runs = lists.select("s", "row_", "need", "room", "label").repartition("s").sortWithinPartitions("s")
+    return runs.mapInArrow(run, ", ".join(f"{x} bigint" for x in names.split())).distinct()
+
+
+def _measured(lists: DataFrame) -> DataFrame:
+    """lists (s, row_, n, place, label) with need and room. Two sets can't share more than what
+    each has from their first common shingle on, and 0.8 takes OVER / (UNDER + OVER) of the sum
+    of their sizes: each must have room for the other's need in the list of that shingle."""
+    need = OVER * F.col("n")
+    return lists.withColumn("need", need).withColumn("room", (UNDER + OVER) * (F.col("n") - F.col("place")) - need)
+
+
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    labels = roots.select(F.col("v").alias("row_"), F.col("root").alias("label"))
+    return rows.join(labels, "row_", "left").withColumn("label", F.coalesce("label", "row_"))
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """s and times of the shingles that rows of different components have."""
+    return labelled.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("times")).where("lo <> hi").select("s", "times")
+
+
+def _ranked(tokens: DataFrame, roots: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
+    """Lists of the first shingles of each row once more, in an order that knows the components:
+    shingles of a single component come first, since no pair across components shares them, then
+    the others, rare ones first. tokens: s, row_, n. Also the tokens that aren't of a single one."""
+    held = _labelled(tokens, roots).select("s", "row_", "n", "label")
+    mixed = shared_table(_mixed(held), owner, "mixed")
+    kept = shared_table(held.join(mixed, "s"), owner, "tokens")
+    of = Window.partitionBy("row_")
+    place = F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("times", "s")) - 1
+    lists = _measured(kept.select("s", "row_", "n", "label", place.alias("place"))).where(F.expr(f"place < n - ({OVER} * n + {UNDER - 1}) div {UNDER} + 1"))
+    return shared_table(lists.select("s", "row_", "need", "room", "label"), owner, "ranked"), kept.select("s", "row_", "n")
 
 
 def near_groups(texts: DataFrame, owner: str) -> DataFrame:
@@ -211,20 +327,25 @@ def near_groups(texts: DataFrame, owner: str) -> DataFrame:
     met = _met(firsts, owner)
     links = _alike(texts, prints, met, owner)
     roots = components(links, owner)
-    posted = prints.join(firsts.select("row_"), "row_", "left_semi").select(F.explode("prefix").alias("s"), "row_", "n")
+    posted = prints.join(firsts.select("row_"), "row_", "left_semi").select(F.posexplode("prefix").alias("place", "s"), "row_", "n")
     shared_by = shared_table(posted.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("s"), owner, "shared_by")
-    lists_path = shared_path(texts.sparkSession, owner, "lists")
-    posted.join(shared_by, "s").select("s", "row_", "n").write.parquet(lists_path)
-    lists = texts.sparkSession.read.parquet(lists_path)
-    labels = roots.select(F.col("v").alias("row_"), F.col("root").alias("label"))
-    labelled = shared_table(lists.select("s", "row_", "n").join(labels, "row_", "left").select("s", "row_", "n", F.coalesce("label", "row_").alias("label")), owner, "labelled")
-    remove(texts.sparkSession, lists_path)
-    mixed = shared_table(labelled.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s"), owner, "mixed")
-    runs = labelled.join(mixed, "s", "left_semi").repartition("s").sortWithinPartitions("s")
-    crossings = shared_table(_crossings(runs.select("s", "row_", "n", "label")).distinct().join(met, ["a", "b"], "left_anti"), owner, "crossings")
-    more = _alike(texts, prints, crossings, owner)
-    if more.limit(1).count():
-        roots = components(links.unionByName(more), owner)
+    lists = shared_table(_labelled(posted.join(shared_by, "s"), roots).select("s", "row_", "n", "place", "label"), owner, "lists")
+    mixed = shared_table(_mixed(lists).select("s"), owner, "mixed")
+    runs = _measured(lists.join(mixed, "s", "left_semi"))
+    rows = shared_table(_over_lists(runs, rows_able, "row_"), owner, "rows")
+    sets, _ = _sets_of(texts, rows, owner)
+    tokens = sets.select(F.explode("found").alias("s"), "row_", F.size("found").cast("bigint").alias("n"))
+    fresh = True
+    for of in [partners] * ROUNDS + [crossings]:
+        if of is partners and not fresh:
+            continue
+        if fresh:
+            ranked, tokens = _ranked(tokens, roots, owner)
+        more = _alike(texts, prints, shared_table(_over_lists(ranked, of, "a b"), owner, "pairs"), owner, sets)
+        fresh = more.limit(1).count() > 0
+        if fresh:
+            links = links.unionByName(more)
+            roots = components(links, owner)
     named = firsts.select("whole", "row_").join(roots.withColumnRenamed("v", "row_"), "row_", "left").select("whole", F.coalesce("root", "row_").alias("root"))
     # both sides are stored tables, so adaptive execution can split a hot text
     return prints.select("row_", "doc_id", "whole").join(shared_table(named, owner, "named"), "whole").select("row_", "doc_id", "root")

@@ -151,3 +151,34 @@ def test_the_index_without_a_bit_bound_joins_what_shares_four_bytes(block):
 
     every = [(i, j) for i, j in combinations(range(len(fps)), 2) if (octets[i] == octets[j]).sum() >= 4]
     assert roots(links) == roots(every) and len(links) < len(fps)
+
+
+def test_pairs_of_a_hot_group_grow_with_its_size(spark, monkeypatch):
+    """Half the copies are alike, the others miss by little and are alike to none: no pair of those is made for each of these."""
+    rng, words, asked = random.Random(8), [f"p{i}" for i in range(200)], []
+    enough = near_text._near_enough
+
+    def counted(prints, pairs):
+        asked.append(pairs.count())
+        return enough(prints, pairs)
+
+    monkeypatch.setattr("lumetric.llm.near_text._near_enough", counted)
+    rows = [(i, edited(rng, words, (1, 2, 5, 6)[i % 4]), "en", "a", 3) for i in range(240)]
+    want = sorted(rows[i][0] for i in survivors(rows))
+    assert sorted(stay(spark, rows)["doc_id"]) == want and len(want) > 100
+    assert sum(asked) < 20 * len(rows)
+
+
+def test_positions_lose_no_pair():
+    """Of a list, `able`, `crossings` and `partners` give what pairs of different components allow."""
+    rng = np.random.default_rng(9)
+    for size in [1, 2, 3, 10, 60, 200]:
+        n = rng.integers(5, 60, size)
+        need = 4 * n
+        room = 9 * (n - rng.integers(0, n // 5 + 2)) - need
+        row, label = rng.permutation(1000)[:size].astype(np.int64), rng.integers(0, max(size // 4, 1), size)
+        want = {(min(row[i], row[j]), max(row[i], row[j])) for i, j in combinations(range(size), 2) if label[i] != label[j] and need[i] <= room[j] and need[j] <= room[i]}
+        got = [set(zip(*map(np.concatenate, zip(*found, strict=True)), strict=True)) if (found := list(of(row, need, room, label))) else set() for of in (near_text.crossings, near_text.partners)]
+        assert got[0] == want and got[1] <= want and bool(got[1]) == bool(want)
+        assert set(row[near_text.able(row, need, room, label)]) == {x for pair in want for x in pair}
+        assert sum(len(a) for a, _ in near_text.partners(row, need, room, label)) <= near_text.TRIES * size

@@ -11,7 +11,8 @@ a sample last; of two texts as alike as that, each has a shared shingle among
 its first n - ceil(0.8 n) + 1, so only these are posted and only texts that
 meet in a list are compared. The sample sets the order only, and any order finds the
 same pairs. Where two sets first meet they share at most what each has from there on, so
-a pair counts in a list only where both have enough left. Rows with such a
+a pair counts in a list only where both have enough left, and one of them even
+without the shingles that no other row posted. Rows with such a
 partner in another component are ranked once more by their whole sets, shingles of a
 single component first, since no pair across components shares them.
 
@@ -43,7 +44,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -168,10 +169,8 @@ def _sets_of(texts: DataFrame, rows: DataFrame, owner: str) -> tuple[DataFrame,
 def _alike(texts: DataFrame, prints: DataFrame, pairs: DataFrame, owner: str, stored: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike enough; stored: sets of all their rows, if there are any."""
     left = shared_table(_near_enough(prints, pairs), owner, "left")
-    sets, path = stored, None
-    if sets is None:
-        need = shared_table(left.select(F.explode(F.array("a", "b")).alias("row_")).distinct(), owner, "need")
-        sets, path = _sets_of(texts, need, owner)
+    need = shared_table(left.select(F.explode(F.array("a", "b")).alias("row_")).distinct(), owner, "need")
+    sets, path = (stored.join(few(need), "row_", "left_semi"), None) if stored else _sets_of(texts, need, owner)
     both = left.join(sets.select(F.col("row_").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("row_").alias("b"), F.col("found").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("sum"))
     out = shared_table(both.where(UNDER * F.col("same") >= OVER * (F.col("sum") - F.col("same"))).select("a", "b"), owner, "alike")
@@ -190,14 +189,13 @@ def _met(firsts: DataFrame, owner: str) -> DataFrame:
     return shared_table(same.unionByName(pairs).distinct(), owner, "met")
 
 
-def able(row: np.ndarray, need: np.ndarray, room: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Which members of a list have one of another component in it that positions allow to be
-    alike: each has room for the other's need. In a pass by need, with the most room of two components."""
-    out, order = np.zeros(len(row), bool), np.argsort(need, kind="stable")
-    # the most room among the first so many, and among those of any other component
+def _offered(need: np.ndarray, room: np.ndarray, offer: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which members of a list have room for the need of one of another component whose offer
+    is theirs: in a pass by need, with the best offers of two components."""
+    out, order = np.zeros(len(need), bool), np.argsort(need, kind="stable")
     none = np.iinfo(np.int64).min
     best = [(none, -1, none)]
-    for r, k in zip(room[order].tolist(), label[order].tolist(), strict=True):
+    for r, k in zip(offer[order].tolist(), label[order].tolist(), strict=True):
         most, of, other = best[-1]
         if k == of:
             most = max(most, r)
@@ -213,6 +211,14 @@ def able(row: np.ndarray, need: np.ndarray, room: np.ndarray, label: np.ndarray)
     return out
 
 
+def able(row: np.ndarray, need: np.ndarray, room: np.ndarray, label: np.ndarray, tight: np.ndarray | None = None) -> np.ndarray:
+    """Which members of a list have one of another component in it that positions allow to be
+    alike: each has room for the other's need, one of them tight room."""
+    if tight is None:
+        return _offered(need, room, room, label)
+    return _offered(need, tight, room, label) | _offered(need, room, tight, label)
+
+
 Arrays = tuple[np.ndarray, ...]
 
 
@@ -224,7 +230,7 @@ def partners(*of: np.ndarray) -> Iterator[Arrays]:
     """For each member of a list that has one, members of other components: TRIES of them, a largest
     component or more further on, so that pairs don't grow faster than the list."""
     fit = able(*of)
-    row, need, room, label = (x[fit] for x in of)
+    row, need, room, label, *_ = (x[fit] for x in of)
     if not len(row):
         return
     order = np.argsort(row)
@@ -241,7 +247,7 @@ def partners(*of: np.ndarray) -> Iterator[Arrays]:
 def crossings(*of: np.ndarray) -> Iterator[Arrays]:
     """All pairs of a list's members of different components that positions allow to be alike."""
     fit = able(*of)
-    row, need, room, label = (x[fit] for x in of)
+    row, need, room, label, *_ = (x[fit] for x in of)
     for i in range(len(row) - 1):
         rest = slice(i + 1, None)
         other = row[rest][(label[rest] != label[i]) & (need[rest] <= room[i]) & (need[i] <= room[rest])]
@@ -251,10 +257,10 @@ def crossings(*of: np.ndarray) -> Iterator[Arrays]:
 
 def _over_lists(lists: DataFrame, of: Callable[..., Iterator[Arrays]], names: str) -> DataFrame:
     """The distinct rows (bigint columns of the names) that `of` gives for every list of a table of
-    s, row_, need, room and label."""
+    s, row_, need, room, label and tight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.empty(0, np.int64)] * 5
+        left = [np.empty(0, np.int64)] * 6
 
         def batch_of(found: list[Arrays]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names.split())
@@ -283,16 +289,28 @@ def _over_lists(lists: DataFrame, of: Callable[..., Iterator[Arrays]], names: st
             left = [c[last:] for c in cols]
         yield from out(*left)
 
-    runs = lists.select("s", "row_", "need", "room", "label").repartition("s").sortWithinPartitions("s")
+    runs = lists.select("s", "row_", "need", "room", "label", "tight").repartition("s").sortWithinPartitions("s")
     return runs.mapInArrow(run, ", ".join(f"{x} bigint" for x in names.split())).distinct()
 
 
-def _measured(lists: DataFrame) -> DataFrame:
-    """lists (s, row_, n, place, label) with need and room. Two sets can't share more than what
-    each has from their first common shingle on, and 0.8 takes OVER / (UNDER + OVER) of the sum
-    of their sizes: each must have room for the other's need in the list of that shingle."""
-    need = OVER * F.col("n")
-    return lists.withColumn("need", need).withColumn("room", (UNDER + OVER) * (F.col("n") - F.col("place")) - need)
+def _room(place: Column) -> Column:
+    """Two sets can't share more than what each has from their first common shingle on, and 0.8
+    takes OVER / (UNDER + OVER) of the sum of their sizes: each needs OVER times its size of this."""
+    return (UNDER + OVER) * (F.col("n") - place) - OVER * F.col("n")
+
+
+def _first() -> Column:
+    """How many shingles of a set are posted."""
+    return F.expr(f"n - ({OVER} * n + {UNDER - 1}) div {UNDER} + 1")
+
+
+def _tight(lists: DataFrame) -> DataFrame:
+    """lists (s, row_, n, place: the posted shingles that more rows posted) with the room there is once
+    the shingles that a row alone posted are left out. That holds for the one of two rows whose
+    posted shingles end first in the order: the other has posted all it shares of them."""
+    of = Window.partitionBy("row_")
+    place = _first() - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("place")) - 1
+    return lists.withColumn("tight", _room(place)).withColumn("room", _room(F.col("place"))).withColumn("need", OVER * F.col("n"))
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -301,21 +319,26 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
-    """s and times of the shingles that rows of different components have."""
-    return labelled.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("times")).where("lo <> hi").select("s", "times")
+    """The shingles that rows of different components have."""
+    return labelled.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s")
 
 
 def _ranked(tokens: DataFrame, roots: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
     """Lists of the first shingles of each row once more, in an order that knows the components:
     shingles of a single component come first, since no pair across components shares them, then
-    the others, rare ones first. tokens: s, row_, n. Also the tokens that aren't of a single one."""
+    the others, rare ones first. tokens: s, row_, n. Also the tokens that aren't of a single one, of
+    the rows that can still be alike to one of another."""
     held = _labelled(tokens, roots).select("s", "row_", "n", "label")
-    mixed = shared_table(_mixed(held), owner, "mixed")
-    kept = shared_table(held.join(mixed, "s"), owner, "tokens")
+    by = Window.partitionBy("s")
+    held = held.select("*", F.min("label").over(by).alias("lo"), F.max("label").over(by).alias("hi"), F.count(F.lit(1)).over(by).alias("times"))
+    kept = shared_table(held.where("lo <> hi").drop("lo", "hi"), owner, "tokens")
     of = Window.partitionBy("row_")
     place = F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("times", "s")) - 1
-    lists = _measured(kept.select("s", "row_", "n", "label", place.alias("place"))).where(F.expr(f"place < n - ({OVER} * n + {UNDER - 1}) div {UNDER} + 1"))
-    return shared_table(lists.select("s", "row_", "need", "room", "label"), owner, "ranked"), kept.select("s", "row_", "n")
+    lists = kept.select("s", "row_", "label", "n", place.alias("place")).where(F.col("place") < _first())
+    lists = lists.select("s", "row_", (OVER * F.col("n")).alias("need"), _room(F.col("place")).alias("room"), "label", _room(F.col("place")).alias("tight"))
+    ranked = shared_table(lists, owner, "ranked")
+    rows = shared_table(_over_lists(ranked, rows_able, "row_"), owner, "rows")
+    return ranked, kept.select("s", "row_", "n").join(few(rows), "row_", "left_semi")
 
 
 def near_groups(texts: DataFrame, owner: str) -> DataFrame:
@@ -329,10 +352,12 @@ def near_groups(texts: DataFrame, owner: str) -> DataFrame:
     roots = components(links, owner)
     posted = prints.join(firsts.select("row_"), "row_", "left_semi").select(F.posexplode("prefix").alias("place", "s"), "row_", "n")
     shared_by = shared_table(posted.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("s"), owner, "shared_by")
-    lists = shared_table(_labelled(posted.join(shared_by, "s"), roots).select("s", "row_", "n", "place", "label"), owner, "lists")
-    mixed = shared_table(_mixed(lists).select("s"), owner, "mixed")
-    runs = _measured(lists.join(mixed, "s", "left_semi"))
-    rows = shared_table(_over_lists(runs, rows_able, "row_"), owner, "rows")
+    lists_path = shared_path(texts.sparkSession, owner, "lists")
+    _labelled(_tight(posted.join(shared_by, "s")), roots).select("s", "row_", "need", "room", "label", "tight").write.parquet(lists_path)
+    lists = texts.sparkSession.read.parquet(lists_path)
+    mixed = shared_table(_mixed(lists), owner, "mixed")
+    rows = shared_table(_over_lists(lists.join(mixed, "s", "left_semi"), rows_able, "row_"), owner, "rows")
+    remove(texts.sparkSession, lists_path)
     sets, _ = _sets_of(texts, rows, owner)
     tokens = sets.select(F.explode("found").alias("s"), "row_", F.size("found").cast("bigint").alias("n"))
     fresh = True

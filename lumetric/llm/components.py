@@ -52,3 +52,22 @@ def components(links: DataFrame, owner: str, rounds: int = 60) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
+
+
+def extended(labels: DataFrame, links: DataFrame, owner: str) -> DataFrame:
+    """labels (v and root, as of `components`) once more links (a, b) hold. Only the components
+    that these join are labelled anew, each as one vertex, so the links before aren't read again.
+    Where nothing is joined, labels itself is returned."""
+    ends = links.select("a", "b")
+    for side in "ab":
+        of = labels.select(F.col("v").alias(side), F.col("root").alias(f"root_{side}"))
+        ends = ends.join(of, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    joined, path = _stored(ends.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).where("a <> b").distinct(), owner, "joined")
+    if not joined.limit(1).count():
+        return labels
+    tops = components(joined, owner)
+    up = tops.select(F.col("v").alias("root"), F.col("root").alias("up"))
+    moved = labels.join(up, "root", "left").select("v", F.coalesce("up", "root").alias("root"))
+    out, _ = _stored(moved.unionByName(tops.join(labels.select("v"), "v", "left_anti")), owner, "labels")
+    remove(labels.sparkSession, path)
+    return out

@@ -20,9 +20,18 @@ Equal sets are one entry. A list of the byte-position index emits a forest, so t
 hot group of near copies is connected by about as many pairs as it has members. In a
 few rounds each list of shingles then proposes TRIES pairs for each member at most, across
 components, and the rows are ranked anew by the components found; at last all pairs
-of different components that positions still allow are compared, so no link is lost. These
-are texts that miss 0.8 by little; where a hot group is full of them, their number still grows
-with the square. Pairs within a component need no comparison.
+of different components that positions still allow are compared, so no link is lost. Pairs
+within a component need no comparison.
+
+In a hot group whose texts miss 0.8 by little, shingles that nearly all of them hold would
+let nearly all pairs meet. So rows that proposals connect at a Jaccard of 0.5 make a family,
+its centre is the shingles that over half of its rows hold, and a row is listed by its
+differences: what it lacks of the centre and what it has beyond. Two sets share at least
+the centre less what either lacks. Where that is enough by itself the pair is alike,
+and linking all such rows to the one with the least need connects all such pairs. Any other
+alike pair has differences in common, at least as many as it is short of, and meets in a list
+of these by the same rule of positions. Rows of different families meet in lists of whole
+sets. Families decide only by which of the two a pair is found.
 
 A pair is first held against a bound: a set's count signature says how many
 of its shingles fall into each of a few buckets, and two sets share at most the sum of
@@ -49,7 +58,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import remove, shared_path, shared_table
-from .components import components
+from .components import components, extended
 
 SHINGLE, SEED = 5, 42
 #: Bytes in which fingerprints may differ: at least 4 of the 8 are shared.
@@ -58,6 +67,8 @@ APART = 4
 OVER, UNDER = 4, 5
 #: Texts of the sample, the count from which it calls a shingle common, and as how many at most.
 SAMPLE, OFTEN, MOST_COMMON = 20_000, 3, 200_000
+#: Least Jaccard, as a fraction, of proposed pairs that make a family.
+KIN_OVER, KIN_UNDER = 1, 2
 #: Rounds of linear proposals before all pairs that are left are compared.
 ROUNDS, TRIES = 3, 4
 #: Row keys up to which they are broadcast, so under 20 MB.
@@ -167,13 +178,15 @@ def _sets_of(texts: DataFrame, rows: DataFrame, owner: str) -> tuple[DataFrame,
 
 
 def _alike(texts: DataFrame, prints: DataFrame, pairs: DataFrame, owner: str, stored: DataFrame | None = None) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike enough; stored: sets of all their rows, if there are any."""
+    """The pairs (a, b) whose whole sets make them kin, with whether they are alike enough; of pairs
+    that sizes and signatures allow. stored: sets of all their rows, if there are any."""
     left = shared_table(_near_enough(prints, pairs), owner, "left")
     need = shared_table(left.select(F.explode(F.array("a", "b")).alias("row_")).distinct(), owner, "need")
     sets, path = (stored.join(few(need), "row_", "left_semi"), None) if stored else _sets_of(texts, need, owner)
     both = left.join(sets.select(F.col("row_").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("row_").alias("b"), F.col("found").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("sum"))
-    out = shared_table(both.where(UNDER * F.col("same") >= OVER * (F.col("sum") - F.col("same"))).select("a", "b"), owner, "alike")
+    alike, kin = (under * F.col("same") >= over * (F.col("sum") - F.col("same")) for over, under in ((OVER, UNDER), (KIN_OVER, KIN_UNDER)))
+    out = shared_table(both.where(kin).select("a", "b", alike.alias("alike")), owner, "alike")
     if path:
         remove(texts.sparkSession, path)
     return out
@@ -323,22 +336,53 @@ def _mixed(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s")
 
 
-def _ranked(tokens: DataFrame, roots: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
-    """Lists of the first shingles of each row once more, in an order that knows the components:
-    shingles of a single component come first, since no pair across components shares them, then
-    the others, rare ones first. tokens: s, row_, n. Also the tokens that aren't of a single one, of
-    the rows that can still be alike to one of another."""
-    held = _labelled(tokens, roots).select("s", "row_", "n", "label")
-    by = Window.partitionBy("s")
+#: Of a row, in the columns of its tokens: how many tokens, the need, the room before the first
+#: token, and the least need of a row alike to it. By whole sets, and by differences.
+WHOLE = {"size": "n", "need": f"{OVER} * n", "room": f"{UNDER} * n", "least": f"({OVER * OVER} * n + {UNDER - 1}) div {UNDER}"}
+APART_BY = {"size": "size", "need": "need", "room": "need + n", "least": "least"}
+
+
+def _ranked(tokens: DataFrame, roots: DataFrame, owner: str, of: dict[str, str] = WHOLE) -> tuple[DataFrame, DataFrame]:
+    """Lists of the first tokens of each row once more, in an order that knows the components:
+    tokens of a single component come first, since no pair across components shares them, then
+    the others, rare ones first. tokens: s, row_ and the columns of `of`. Also the tokens that
+    aren't of a single one."""
+    by, names = Window.partitionBy("s"), tokens.columns
+    held = _labelled(tokens, roots).select(*names, "label")
     held = held.select("*", F.min("label").over(by).alias("lo"), F.max("label").over(by).alias("hi"), F.count(F.lit(1)).over(by).alias("times"))
     kept = shared_table(held.where("lo <> hi").drop("lo", "hi"), owner, "tokens")
-    of = Window.partitionBy("row_")
-    place = F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("times", "s")) - 1
-    lists = kept.select("s", "row_", "label", "n", place.alias("place")).where(F.col("place") < _first())
-    lists = lists.select("s", "row_", (OVER * F.col("n")).alias("need"), _room(F.col("place")).alias("room"), "label", _room(F.col("place")).alias("tight"))
-    ranked = shared_table(lists, owner, "ranked")
-    rows = shared_table(_over_lists(ranked, rows_able, "row_"), owner, "rows")
-    return ranked, kept.select("s", "row_", "n").join(few(rows), "row_", "left_semi")
+    row = Window.partitionBy("row_")
+    place = F.expr(of["size"]) - F.count(F.lit(1)).over(row) + F.row_number().over(row.orderBy("times", "s")) - 1
+    room = F.expr(of["room"]) - (UNDER + OVER) * place
+    lists = kept.select("s", "row_", F.expr(of["need"]).alias("need"), room.alias("room"), "label", F.expr(of["least"]).alias("least")).where("room >= least")
+    lists = lists.select("s", "row_", "need", "room", "label", F.col("room").alias("tight"))
+    return shared_table(lists, owner, "ranked"), kept.select(*names)
+
+
+def _apart(tokens: DataFrame, roots: DataFrame, families: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
+    """The differences of rows from the centre of their family, of families that hold several components:
+    s, row_ and the columns of APART_BY. Also links (a, b) that connect all pairs that are alike
+    by the centre alone. tokens: s, row_, n."""
+    rows = _labelled(tokens.groupBy("row_", "n").agg(F.collect_list("s").alias("found")), roots)
+    rows = shared_table(rows.join(families.select(F.col("v").alias("row_"), F.col("root").alias("family")), "row_"), owner, "kin")
+    several = rows.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("family", "members")
+    several = shared_table(several, owner, "several")
+    held = rows.select("family", F.explode("found").alias("s")).groupBy("family", "s").agg(F.count(F.lit(1)).alias("times"))
+    centre = held.join(several, "family").where("2 * times > members").groupBy("family").agg(F.collect_list("s").alias("centre"))
+    centre = several.select("family").join(centre, "family", "left").select("family", F.coalesce("centre", F.expr("cast(array() as array<bigint>)")).alias("centre"))
+    both = rows.join(shared_table(centre, owner, "centre"), "family").select("family", "row_", "n", F.array_except("centre", "found").alias("lacks"), F.array_except("found", "centre").alias("more"), F.size("centre").cast("bigint").alias("all"))
+    lacks = F.size("lacks").cast("bigint")
+    both = both.select(
+        "family", "row_", "n", (OVER * F.col("n") + (UNDER + OVER) * lacks).alias("need"), (F.col("n") - F.col("all") + 2 * lacks).alias("size"),
+        ((UNDER + OVER) * (F.col("all") - lacks) - OVER * F.col("n")).alias("sure"),
+        F.expr("concat(transform(lacks, x -> xxhash64(family, x, 1)), transform(more, x -> xxhash64(family, x, 0)))").alias("apart"),
+    )
+    both = shared_table(both, owner, "apart")
+    hubs = both.groupBy("family").agg(F.min(F.struct("need", "row_", "sure")).alias("hub"))
+    both = both.join(shared_table(hubs.select("family", "hub.*").toDF("family", "first", "hub", "sure_of_hub"), owner, "hubs"), "family")
+    sure = both.where("row_ <> hub and need <= sure_of_hub").select(F.col("hub").alias("a"), F.col("row_").alias("b"))
+    apart = both.select(F.explode("apart").alias("s"), "row_", "n", "size", "need", F.greatest("first", F.expr(WHOLE["least"])).alias("least"))
+    return apart, shared_table(sure, owner, "sure")
 
 
 def near_groups(texts: DataFrame, owner: str) -> DataFrame:
@@ -348,8 +392,7 @@ def near_groups(texts: DataFrame, owner: str) -> DataFrame:
     prints = shared_table(_prints(texts, shared), owner, "prints")
     firsts = shared_table(prints.groupBy("whole").agg(F.min("row_").alias("row_"), F.min_by("fp", "row_").alias("fp")), owner, "firsts")
     met = _met(firsts, owner)
-    links = _alike(texts, prints, met, owner)
-    roots = components(links, owner)
+    roots = components(_alike(texts, prints, met, owner).where("alike").select("a", "b"), owner)
     posted = prints.join(firsts.select("row_"), "row_", "left_semi").select(F.posexplode("prefix").alias("place", "s"), "row_", "n")
     shared_by = shared_table(posted.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("s"), owner, "shared_by")
     lists_path = shared_path(texts.sparkSession, owner, "lists")
@@ -360,17 +403,23 @@ def near_groups(texts: DataFrame, owner: str) -> DataFrame:
     remove(texts.sparkSession, lists_path)
     sets, _ = _sets_of(texts, rows, owner)
     tokens = sets.select(F.explode("found").alias("s"), "row_", F.size("found").cast("bigint").alias("n"))
-    fresh = True
-    for of in [partners] * ROUNDS + [crossings]:
+    ranked, tokens = _ranked(tokens, roots, owner)
+    able_rows = shared_table(_over_lists(ranked, rows_able, "row_"), owner, "rows")
+    tokens = shared_table(tokens.join(few(able_rows), "row_", "left_semi"), owner, "open")
+    lists, families, fresh = [ranked], roots, True  # fresh: components or families have changed since the lists were made
+    for step, of in enumerate([partners] * ROUNDS + [crossings]):
         if of is partners and not fresh:
             continue
-        if fresh:
-            ranked, tokens = _ranked(tokens, roots, owner)
-        more = _alike(texts, prints, shared_table(_over_lists(ranked, of, "a b"), owner, "pairs"), owner, sets)
-        fresh = more.limit(1).count() > 0
-        if fresh:
-            links = links.unionByName(more)
-            roots = components(links, owner)
+        if step and fresh:
+            apart, sure = _apart(tokens, roots, families, owner)
+            roots = extended(roots, sure, owner)
+            lists = [_ranked(apart, roots, owner, APART_BY)[0], _ranked(tokens, families, owner)[0]]
+        pairs = [_over_lists(x, of, "a b") for x in lists]
+        pairs = shared_table(pairs[0].unionByName(pairs[1]) if pairs[1:] else pairs[0], owner, "pairs")
+        found = _alike(texts, prints, pairs, owner, sets)
+        before = roots, families
+        roots, families = extended(roots, found.where("alike"), owner), extended(families, found, owner)
+        fresh = not step or roots is not before[0] or families is not before[1]
     named = firsts.select("whole", "row_").join(roots.withColumnRenamed("v", "row_"), "row_", "left").select("whole", F.coalesce("root", "row_").alias("root"))
     # both sides are stored tables, so adaptive execution can split a hot text
     return prints.select("row_", "doc_id", "whole").join(shared_table(named, owner, "named"), "whole").select("row_", "doc_id", "root")

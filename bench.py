@@ -39,7 +39,7 @@ def main() -> None:
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     spark.sparkContext.setLogLevel("ERROR")
     for n in (fixtures.ITEMS, fixtures.DENSE_ITEMS):
-        fixtures.administrations(spark, sf, n).count()
+        fixtures.first_answers(spark, sf, n).count()
     fitting.fit(fixtures.responses_dense(spark, sf), most=1)
     bank = planted_bank(spark, 150, 20_365, 0.54)
     seconds = {}

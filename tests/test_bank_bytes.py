@@ -5,13 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumetric.operators import experiments
-from lumetric.plans import oracle
+from lumetric.plans import oracle, queries
 from lumetric.sources import fixtures as fx
 from lumetric.sources import scratch
 
 VIEWS = {
     "framing": lambda s, sf: fx.first_of(s, sf, "template"),
     "position_bias": lambda s, sf: fx.first_of(s, sf, "rotation"),
+    "build_summary": queries.responses,
     "fit_2pl": fx.responses_dense,
 }
 

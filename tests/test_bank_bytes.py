@@ -13,6 +13,7 @@ VIEWS = {
     "framing": lambda s, sf: fx.first_of(s, sf, "template"),
     "position_bias": lambda s, sf: fx.first_of(s, sf, "rotation"),
     "build_summary": queries.responses,
+    "pooled_retest": lambda s, sf: queries.administration(s, sf, 2),
     "fit_2pl": fx.responses_dense,
 }
 

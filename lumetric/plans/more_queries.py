@@ -414,7 +414,7 @@ def benchmark_abilities(spark, sf):
 @query
 def own_run_validation(spark, sf):
     """By method and size: tau against the panel's accuracy, mean posterior error and the bill."""
-    cells = fx.administrations(spark, sf, fx.DENSE_ITEMS).where("rep = 1")
+    cells = fx.first_answers(spark, sf, fx.DENSE_ITEMS).where("rep = 1")
     found = fitting.validate(cells, dense_bank(spark))
     tau = agreement.kendall_by(found, ["method", "n"], "estimate", "truth", "model_id")
     return tau.join(found.groupBy("method", "n").agg(F.avg("se").alias("mean_se"), F.sum("usd").alias("usd")), ["method", "n"])

@@ -14,6 +14,7 @@ VIEWS = {
     "position_bias": lambda s, sf: fx.first_of(s, sf, "rotation"),
     "build_summary": queries.responses,
     "pooled_retest": lambda s, sf: queries.administration(s, sf, 2),
+    "selector_step": lambda s, sf: fx.first_answers(s, sf, fx.DENSE_ITEMS),
     "fit_2pl": fx.responses_dense,
 }
 

@@ -332,7 +332,8 @@ def instance_scan(spark, sf):
 
 def record_log(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("item_id").cast("string")
-    rows = fx.administrations(spark, sf, fx.DENSE_ITEMS)
+    taken = ("model_id", "item_id", "rep", "correct", "rotation", "cost_usd")
+    rows = fx.once(spark, sf, "ledger", lambda: fx.administrations(spark, sf, fx.DENSE_ITEMS).select(*taken))
     return rows.select(
         F.concat_ws("|", "model_id", "item_id", "rep").alias("cell"), i.alias("item_id"), F.concat(F.lit("m"), F.col("model_id").cast("string")).alias("alias"),
         F.when(F.col("rotation") != 3, F.col("correct")).alias("correct"), "cost_usd", F.col("rep").cast("bigint").alias("ledger_id"),

@@ -17,9 +17,12 @@ RECORD = (
     "settings struct<temperature: double, max_tokens: int, system_sha256: string>"
 )
 
+RECORDS_A_FILE = 500_000
+
 
 def append_records(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    """JSON lines in gzip: most of a record is names and hex digits. One task reads a file, so files end by records."""
+    rows.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).json(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

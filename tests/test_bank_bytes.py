@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumetric.operators import experiments
 from lumetric.plans import oracle, queries
 from lumetric.sources import fixtures as fx
-from lumetric.sources import scratch
+from lumetric.sources import records, scratch
 
 VIEWS = {
     "framing": lambda s, sf: fx.first_of(s, sf, "template"),
@@ -77,3 +77,16 @@ def test_framing_is_the_same_in_every_order_of_the_rows(spark, sf):
         mixed = spark.createDataFrame(rows.sample(frac=1, random_state=seed)).repartition(7)
         seen.add(tuple(sorted(map(str, experiments.framing(mixed, 0.1).collect()))))
     assert len(seen) == 1
+
+
+def test_logs_are_compressed_and_read_back_beside_plain_lines(spark, tmp_path):
+    cell = F.col("id").cast("string")
+    rows = spark.range(3000, numPartitions=2).select(cell.alias("cell"), cell.alias("item_id"), F.lit("m1").alias("alias"), F.lit(1).alias("correct"), F.sha2(cell, 256).alias("request_sha256"))
+    path = f"{tmp_path}/log"
+    records.append_records(rows, path)
+    files = list((tmp_path / "log").glob("part-*"))
+    plain = rows.select(F.sum(F.length(F.to_json(F.struct("*"))) + 1)).first()[0]
+    assert sum(f.stat().st_size for f in files) < plain / 2
+    spark.createDataFrame([('{"cell": "x", "item_id": "1"}',), ('{"cell": "cut',)], "value string").write.mode("append").text(path)
+    read = records.read_records(spark, path)
+    assert read.count() == 3001 and read.select("cell", "request_sha256").where("cell <> 'x'").exceptAll(rows.select("cell", "request_sha256")).count() == 0
